@@ -38,8 +38,39 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("doc").alias("doc_id"), hexed(F.col("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import identify
+
+    out = identify(documents(spark, sf_dir), keep=["doc_id", "text"])
+    return out.select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(documents(spark, sf_dir))
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import KINDS, find_secrets, joined
+
+    out = find_secrets(documents(spark, sf_dir).select("doc_id", "text"))
+    counts = [F.size(F.expr(f"filter(secrets, s -> s.kind = '{k}')")).cast("long").alias(f"n_{k}") for k in KINDS[:3]]
+    return out.select("doc_id", *counts, F.sha2(joined(F.col("secrets"), KINDS[:3]).cast("binary"), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"))
+
+
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spans import fingerprints
+
+    return fingerprints(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op3_language_id": op3_language_id,
+    "op5_pack": op5_pack,
+    "op6_secrets": op6_secrets,
+    "op7_fingerprints": op7_fingerprints,
     "op9_simhash": op9_simhash,
 }
 
