@@ -38,6 +38,14 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("doc").alias("doc_id"), hexed(F.col("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import KINDS, detect, joined
+
+    out = detect(documents(spark, sf_dir).select("doc_id", "text"))
+    counts = [F.expr(f"cast(size(filter(pii, x -> x.kind = {k})) as bigint)").alias(f"n_{name}") for k, name in enumerate(KINDS[:4])]
+    return out.select("doc_id", *counts, F.sha2(joined("pii", base=True).cast("binary"), 256).alias("base_sha256"), joined("pii").alias("spans"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language import identify
 
@@ -99,6 +107,7 @@ FROM embeddings e JOIN least ON e.vec_id = least.n LEFT JOIN links ON e.vec_id =
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_pii": op2_pii,
     "op3_language_id": op3_language_id,
     "op5_pack": op5_pack,
     "op6_secrets": op6_secrets,
