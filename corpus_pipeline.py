@@ -1,6 +1,58 @@
-STAGES = []
+"""From raw documents to packed training sequences, one written table after another.
+
+Every stage works on all rows that the stage before kept, and its decisions take effect:
+documents without a language go, repeated lines go, of near-duplicates the smallest id
+stays, personal data is redacted, and what is left is packed.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strandmill.llm import language, lines, packing, pii, scratch, simhash
+
+#: So many ids of dropped documents are sent to every task; more are joined.
+MOST_SENT = 1_000_000
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents for which a language is found; null texts and texts without a letter go."""
+    return language.identify(docs).filter(F.col("lang_pred") != language.UND).select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops repeated lines; a document may become empty."""
+    return lines.dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the smallest id stays; rows without id stay, rows of one id stay together."""
+    found = simhash.near_duplicates(docs)
+    lost = scratch.keep(found.filter("doc <> component").select(F.col("doc").alias("doc_id")).distinct(), "lost")
+    if lost.count() <= MOST_SENT:
+        lost = F.broadcast(lost)
+    return docs.join(lost, "doc_id", "left_anti").select(*docs.columns)
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Puts the kind in brackets in the place of personal data."""
+    return pii.redact(pii.detect(docs)).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces with their places in sequences of 2,048 tokens."""
+    return packing.pack(docs)
+
+
+STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("pii", redact), ("pack", pack)]
+
+#: The first stage learns, which SQL cannot express.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = scratch.documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = scratch.keep(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

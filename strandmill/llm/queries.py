@@ -53,6 +53,14 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, of the model's scheme and of the best path, and what the ids decode to."""
+    from .pieces import decode, encode
+
+    out = decode(encode(documents(spark, sf_dir).select("doc_id", "text")))
+    return out.select("doc_id", "n_ids", F.crc32("ids").alias("ids_crc32"), "n_best", F.crc32("best_ids").alias("best_crc32"), "best_score", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -109,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_pii": op2_pii,
     "op3_language_id": op3_language_id,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_pack": op5_pack,
     "op6_secrets": op6_secrets,
     "op7_fingerprints": op7_fingerprints,
