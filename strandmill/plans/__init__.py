@@ -1,2 +1,4 @@
-QUERIES = {}
-ORACLES = {}
+"""Queries over the standard tables; importing this package registers all of them."""
+
+from . import changes, comparing, events, histories, retrieval, scans, texts  # noqa: F401
+from .registry import ORACLES, QUERIES  # noqa: F401
