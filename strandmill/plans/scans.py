@@ -1 +1,165 @@
-"""To be filled."""
+"""Queries on scans, sinks and paging."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions import scoring as S
+from ..sources import files, jsonl, shared
+from .registry import query, table
+
+
+def events(spark, d):
+    return table(spark, d, "events")
+
+
+@query("a1_n16_json_scan", "SELECT event_id, coalesce((props->>'k')::BIGINT, 0) AS k, coalesce(props->>'source', 'manual') AS source FROM events")
+def a1(spark, d):
+    p = events(spark, d).select("event_id", F.from_json("props", "k bigint, source string", {"mode": "FAILFAST"}).alias("p"))
+    return jsonl.with_defaults(p.select("event_id", "p.*"), {"k": 0, "source": "manual"})
+
+
+@query("a2_tolerant_scan", "SELECT event_id, (line->>'k')::BIGINT AS k FROM (SELECT event_id, props AS line FROM events UNION ALL SELECT event_id, event_type FROM events) WHERE json_valid(line)")
+def a2(spark, d):
+    e = events(spark, d)
+    lines = e.select("event_id", F.col("props").alias("line")).unionByName(e.select("event_id", F.col("event_type").alias("line")))
+    return lines.withColumn("p", jsonl.parsed(F.col("line"), "k bigint")).filter("p IS NOT NULL").select("event_id", "p.k")
+
+
+@query("a3_true_integers", "SELECT event_id FROM events WHERE event_id % 3 = 0")
+def a3(spark, d):
+    line = F.when(F.col("event_id") % 3 == 0, F.col("event_id").cast("string")).when(F.col("event_id") % 3 == 1, "true").otherwise(F.concat(F.lit('"'), F.col("event_id"), F.lit('"')))
+    return jsonl.true_integers(events(spark, d).select("event_id", line.alias("line")), "line").select("event_id")
+
+
+@query("a7_audit_events", "SELECT user_id, event_id, event_type FROM events")
+def a7(spark, d):
+    """Written as JSON lines and read again."""
+    p = shared.path(spark, "audit")
+    jsonl.append(events(spark, d).select("user_id", "event_id", "event_type"), p)
+    return jsonl.read_strict(spark, p, "user_id bigint, event_id bigint, event_type string")
+
+
+@query("a8_defaults", "SELECT d.doc_id, coalesce(l.quality, 0)::BIGINT AS quality FROM documents d LEFT JOIN labels l USING (doc_id)")
+def a8(spark, d):
+    return table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left").select("doc_id", F.coalesce("quality", F.lit(0)).cast("long").alias("quality"))
+
+
+@query("a9_runs", "SELECT user_id AS run, count(*)::BIGINT AS records FROM events GROUP BY 1")
+def a9(spark, d):
+    """One folder per run, named session-<n>, listed from the paths of its files."""
+    p = shared.path(spark, "runs")
+    events(spark, d).select(F.col("user_id").alias("session"), "event_id").repartition(4, "session").write.partitionBy("session").json(p)
+    run = F.regexp_extract(F.col("_metadata.file_path"), "session=([0-9]+)", 1).cast("long")
+    return spark.read.schema("event_id bigint").json(f"{p}/session=*").select(run.alias("run")).groupBy("run").agg(F.count("*").alias("records"))
+
+
+@query("a10_artifacts", "SELECT d.doc_id, d.lang, coalesce(max(CASE WHEN kind = 'quality' THEN v END), -1)::BIGINT AS quality, coalesce(max(CASE WHEN kind = 'toxic' THEN v END), -1)::BIGINT AS toxic FROM documents d LEFT JOIN (SELECT doc_id, 'quality' AS kind, quality AS v FROM labels UNION ALL SELECT doc_id, 'toxic', toxic FROM labels) a USING (doc_id) GROUP BY 1, 2")
+def a10(spark, d):
+    a = table(spark, d, "labels").unpivot(["doc_id"], ["quality", "toxic"], "kind", "v").groupBy("doc_id").pivot("kind", ["quality", "toxic"]).agg(F.max("v"))
+    return table(spark, d, "documents").select("doc_id", "lang").join(a, "doc_id", "left").select("doc_id", "lang", *[F.coalesce(c, F.lit(-1)).cast("long").alias(c) for c in ("quality", "toxic")])
+
+
+ALIASES = {"click": "clicks.md", "view": "views.md", "purchase": "orders.json"}
+
+
+@query("a11_alias", "SELECT event_id, CASE event_type WHEN 'click' THEN 'clicks.md' WHEN 'view' THEN 'views.md' WHEN 'purchase' THEN 'orders.json' ELSE 'none' END AS file FROM events")
+def a11(spark, d):
+    m = F.create_map(*[F.lit(x) for kv in ALIASES.items() for x in kv])
+    return events(spark, d).select("event_id", F.coalesce(m[F.col("event_type")], F.lit("none")).alias("file"))
+
+
+@query("a17_page_range", "SELECT doc_id, greatest(0, doc_id % 7 - 1)::BIGINT AS first, least(n - 1, doc_id % 7 + 3)::BIGINT AS last FROM (SELECT doc_id, greatest(1, n_chars // 300) AS n FROM documents)")
+def a17(spark, d):
+    spec = F.concat_ws("-", (F.col("doc_id") % 7).cast("string"), (F.col("doc_id") % 7 + 4).cast("string"))
+    t = table(spark, d, "documents").select("doc_id", files.page_range(spec, F.greatest(F.lit(1), F.floor(F.col("n_chars") / 300))).alias("r"))
+    return t.select("doc_id", F.col("r.first").cast("long").alias("first"), F.col("r.last").cast("long").alias("last"))
+
+
+@query("b1_append", "SELECT event_id, event_type FROM events UNION ALL SELECT event_id, 'again' FROM events WHERE event_type = 'click'")
+def b1(spark, d):
+    p = shared.path(spark, "log")
+    jsonl.append(events(spark, d).select("event_id", "event_type"), p)
+    jsonl.append(events(spark, d).filter("event_type = 'click'").select("event_id", F.lit("again").alias("event_type")), p)
+    return jsonl.read_strict(spark, p, "event_id bigint, event_type string")
+
+
+@query("b2_overwrite", "SELECT n_nationkey::BIGINT AS n_nationkey, n_name FROM nation WHERE n_regionkey > 1")
+def b2(spark, d):
+    p = shared.path(spark, "index")
+    n = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("n_nationkey"), "n_name", "n_regionkey")
+    jsonl.overwrite(n, p)
+    jsonl.overwrite(n.filter("n_regionkey > 1"), p)
+    return jsonl.read_strict(spark, p, "n_nationkey bigint, n_name string")
+
+
+@query("b4_vector_save", "SELECT vec_id, round(list_sum(embedding::DOUBLE[]), 6) AS total FROM embeddings")
+def b4(spark, d):
+    p = shared.path(spark, "vectors")
+    e = table(spark, d, "embeddings")
+    e.filter("label < 5").write.parquet(p)
+    e.filter("label >= 5").write.mode("append").parquet(p)
+    return spark.read.schema(e.schema).parquet(p).select("vec_id", F.round(F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
+
+
+@query("b5_score_csv", "SELECT source, " + ", ".join(f"(count(*) FILTER (WHERE lang = '{k}'))::BIGINT AS {k}" for k in ("de", "en", "es", "fr")) + " FROM documents GROUP BY source")
+def b5(spark, d):
+    p = shared.path(spark, "matrix")
+    m = table(spark, d, "documents").groupBy("source").pivot("lang", ["de", "en", "es", "fr"]).count().fillna(0)
+    m.write.option("header", True).csv(p)
+    return spark.read.schema("source string, de bigint, en bigint, es bigint, fr bigint").option("header", True).csv(p)
+
+
+@query("b8_spill_preview", "SELECT doc_id, CASE WHEN length(text) > 1200 THEN substr(text, 1, 1200) ELSE text END AS preview, length(text) > 1200 AS spilled FROM documents")
+def b8(spark, d):
+    long = F.length("text") > 1200
+    return table(spark, d, "documents").select("doc_id", F.when(long, F.substring("text", 1, 1200)).otherwise(F.col("text")).alias("preview"), long.alias("spilled"))
+
+
+@query("c3_status_split", "SELECT o_orderkey, o_orderstatus = 'F' AS completed FROM orders")
+def c3(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", (F.col("o_orderstatus") == "F").alias("completed"))
+
+
+@query("t5_page", "SELECT o_orderkey, true AS more FROM orders ORDER BY o_orderkey LIMIT 25 OFFSET 50")
+def t5(spark, d):
+    return files.page(table(spark, d, "orders").select("o_orderkey"), 25, 50, ["o_orderkey"])
+
+
+@query("t6_t7_newest", "SELECT o_orderkey FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 100")
+def t6(spark, d):
+    return table(spark, d, "orders").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).limit(100).select("o_orderkey")
+
+
+@query("n11_budget", "SELECT n_nationkey::BIGINT AS n, greatest(500, floor(6000 / sqrt(n_nationkey + 1)))::BIGINT AS chars FROM nation")
+def n11(spark, d):
+    return table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("n"), S.share_of_budget(F.col("n_nationkey") + 1).alias("chars"))
+
+
+@query("n13_stable_ids", "SELECT doc_id, substr(sha256(doc_id::VARCHAR || ':' || lang), 1, 10) AS id FROM documents")
+def n13(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.substring(F.sha2(F.concat_ws(":", F.col("doc_id").cast("string"), "lang").cast("binary"), 256), 1, 10).alias("id"))
+
+
+@query("x_star_revenue", """SELECT n_name, year(o_orderdate)::BIGINT AS y, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE l_shipdate >= TIMESTAMP '1995-01-01' GROUP BY 1, 2""")
+def star(spark, d):
+    """Beyond what is asked: a star join."""
+    li = table(spark, d, "lineitem").filter("l_shipdate >= TIMESTAMP_NTZ '1995-01-01'").select("l_orderkey", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("r"))
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", F.year("o_orderdate").cast("long").alias("y"))
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("n_nationkey"))
+    n = table(spark, d, "nation").select("n_nationkey", "n_name")
+    return li.join(o, "l_orderkey").join(c, "o_custkey").join(F.broadcast(n), "n_nationkey").groupBy("n_name", "y").agg(F.round(F.sum("r"), 2).alias("revenue"))
+
+
+@query("x_cube", "SELECT coalesce(lang, '*') AS lang, coalesce(source, '*') AS source, count(*)::BIGINT AS n FROM documents GROUP BY CUBE (lang, source)")
+def cube(spark, d):
+    """Beyond what is asked: all subtotals."""
+    return table(spark, d, "documents").cube("lang", "source").agg(F.count("*").alias("n")).select(F.coalesce("lang", F.lit("*")).alias("lang"), F.coalesce("source", F.lit("*")).alias("source"), "n")
+
+
+@query("x_as_of", "SELECT o.o_orderkey, p.o_orderkey AS before FROM orders o JOIN LATERAL (SELECT o_orderkey FROM orders q WHERE q.o_custkey = o.o_custkey AND (q.o_orderdate, q.o_orderkey) < (o.o_orderdate, o.o_orderkey) ORDER BY q.o_orderdate DESC, q.o_orderkey DESC LIMIT 1) p ON true")
+def as_of(spark, d):
+    """Beyond what is asked: the row that was the latest at a time."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    return table(spark, d, "orders").withColumn("before", F.lag("o_orderkey").over(w)).filter("before IS NOT NULL").select("o_orderkey", "before")
