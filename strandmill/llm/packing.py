@@ -11,10 +11,11 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,37 +23,81 @@ from pyspark.sql import functions as F
 from . import scratch
 
 SALTS = 64
-_MOST_CACHED = 400_000
+_MOST_STRINGS = 300_000
+_MOST_WORDS = 500_000
+#: Byte-level models write each byte as one character: itself where it is printable, else the next one from 256 on.
+_OPEN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_SHOWN = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _OPEN)}
 _coders: dict[str, "WordCoder"] = {}
 
 
 class WordCoder:
-    """Ids of a tokenizer whose tokens never cross white space, remembered by word."""
+    """Ids of a tokenizer whose tokens never cross white space, remembered by word.
+
+    Two memories, both filled until they hold enough and then left as they are, so that
+    they hold what is common: strings between white space, and below them words in lower
+    case without the punctuation mark at their end. The second is used only in texts
+    for which lower case first and normal form first give the same.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.strings: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
+    def _fresh(self, words: list[str]) -> dict[str, bytes]:
+        """Words of lower-case letters go to the model as they are, others through all steps."""
+        out, odd = {}, []
+        for w in words:
+            if w.isalpha() and w.islower() and is_normalized("NFC", w):
+                raw = w if w.isascii() else w.encode().decode("latin-1").translate(_SHOWN)
+                out[w] = array("I", [t.id for t in self.model.tokenize(raw)]).tobytes()
+            else:
+                odd.append(w)
+        if odd:
+            out |= {w: array("I", e.ids).tobytes() for w, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False))}
+        return out
+
     def encode(self, text: str) -> bytes:
         """Little-endian uint32 ids, without special tokens added."""
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        words = text.split()
-        known = self.words
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            pass
-        if len(known) > _MOST_CACHED:
-            known.clear()
-        new = list({w for w in words if w not in known})
-        once = {}
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            (known if len(w) <= 64 else once)[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join([known[w] if w in known else once[w] for w in words])
+        if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to str.split alone
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        strings = text.split()
+        out = list(map(self.strings.get, strings))
+        gaps = [i for i, x in enumerate(out) if x is None]
+        if not gaps:
+            return b"".join(out)
+        plain = text.isascii() or ("\u03a3" not in text and is_normalized("NFC", text) and is_normalized("NFC", text.lower()))
+        need, split = {}, []
+        words = self.words
+        for i in gaps:
+            w = strings[i]
+            if plain and w.isalpha():
+                pair = (w.lower(), "")
+            elif plain and len(w) > 1 and w[-1] in ".,;:!?" and w[:-1].isalpha():
+                pair = (w[:-1].lower(), w[-1])
+            else:
+                pair = (w, "")
+            split.append(pair)
+            for x in pair:
+                if x and x not in words:
+                    need[x] = None
+        new = self._fresh(list(need)) if need else {}
+        if len(words) < _MOST_WORDS:
+            words.update((k, v) for k, v in new.items() if len(k) <= 64)
+        keep = len(self.strings) < _MOST_STRINGS
+        for i, (w, mark) in zip(gaps, split):
+            ids = new[w] if w in new else words[w]
+            if mark:
+                ids += new[mark] if mark in new else words[mark]
+            out[i] = ids
+            if keep and len(strings[i]) <= 64:
+                self.strings[strings[i]] = ids
+        return b"".join(out)
 
 
 def coder(path: str) -> WordCoder:
