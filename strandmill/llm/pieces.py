@@ -6,14 +6,13 @@ of best scores from state to state; matrices are combined in order by max-plus p
 and with the states of the best path each chunk is traced back on its own.
 
 Merges (BPE models): ids of such a model are not a best path, so for it the chunks are
-cut where no piece can cross, which is before a space mark, and merged independently by
-the library. Both ways use that cut to remember units, the strings between two of them.
+cut where no piece can cross, which is where two characters meet that stand together in
+no piece, and merged independently by the library. Both ways use these cuts to remember
+units, the strings between two of them.
 """
 
 from __future__ import annotations
 
-import re
-import zlib
 from array import array
 from collections.abc import Iterator
 
@@ -25,10 +24,11 @@ from pyspark.sql import functions as F
 from . import scratch
 
 MARK = "▁"
-UNIT = re.compile(f"{MARK}*[^{MARK}]*")
+#: A character that no piece has.
+ALONE = "\ue000"
 #: Fixed value: what a character that no piece covers costs below the least score.
 PENALTY = 10.0
-_MOST = 400_000
+_MOST = 120_000
 _NONE = float("-inf")
 
 
@@ -78,16 +78,25 @@ class Pieces:
         self.score = {self.names[i]: (sp.get_score(i), i) for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))}
         self.unknown = min((s for s, _ in self.score.values()), default=0.0) - PENALTY
         self.reach = max(map(len, self.score), default=1)
-        self.table: dict[str, tuple[float | None, bool]] = {}  # every prefix of a piece: its score, whether a longer piece starts with it
+        self.trie: dict = {}  # character: (score of the piece that ends here or None, what follows)
+        for p, (score, _) in sorted(self.score.items()):
+            node = self.trie
+            for c in p[:-1]:
+                if c not in node:
+                    node[c] = (None, {})
+                node = node[c][1]
+            node[p[-1]] = (score, node[p[-1]][1] if p[-1] in node else {})
+        #: Pairs of characters that stand together in some piece, by hash; another pair may pass for one, which only misses a cut.
+        self.together = np.zeros(1 << 20, bool)
         for p in self.score:
-            for j in range(1, len(p)):
-                self.table[p[:j]] = (self.table.get(p[:j], (None, True))[0], True)
-            self.table[p] = (self.score[p][0], self.table.get(p, (None, False))[1])
-        self.cuts = not any(re.search(f"[^{MARK}]{MARK}", p) for p in self.score)
-        self.text = [MARK if p == MARK else p for p in self.names]
+            if len(p) > 1:
+                self.together[self._pairs(p)] = True
+        self.skip = len(sp.encode(ALONE))
+        self.apart = ALONE not in "".join(self.score)
         self.value = {i: b for b, i in self.bytes.items()}
-        self.paths: dict[str, tuple[bytes, float]] = {}
-        self.merged: dict[str, bytes] = {}
+        self.high = {i for i, b in self.value.items() if b > 127}
+        self.shown = [chr(self.value[i]) if self.value.get(i, 255) < 128 else p.replace(MARK, " ") for i, p in enumerate(self.names)]
+        self.known: dict[str, tuple[bytes, bytes, float]] = {}
 
     def normal(self, text: str) -> str:
         """With space marks, as the model sees it; empty for an empty text."""
@@ -95,19 +104,18 @@ class Pieces:
 
     def arcs(self, s: str, i: int) -> list[tuple[int, float]]:
         """(end, score) of what may stand at i; a single character always may."""
-        table = self.table
-        hit = table.get(s[i])
-        if hit is None:
-            return [(i + 1, self.unknown)]
-        out = [(i + 1, self.unknown if hit[0] is None else hit[0])]
-        j, n = i + 1, len(s)
-        while hit[1] and j < n:
-            j += 1
-            hit = table.get(s[i:j])
+        out = []
+        node, j = self.trie, i
+        for c in s[i : i + self.reach]:
+            hit = node.get(c)
             if hit is None:
                 break
+            j += 1
             if hit[0] is not None:
                 out.append((j, hit[0]))
+            node = hit[1]
+        if not out or out[0][0] > i + 1:
+            out.insert(0, (i + 1, self.unknown))
         return out
 
     def ids(self, piece: str) -> list[int]:
@@ -122,14 +130,27 @@ class Pieces:
         top = [_NONE] * (end - start + 1)
         back = [0] * (end - start + 1)
         top[0] = 0.0
-        for i in range(start, end):
-            own = top[i - start]
+        trie, unknown, reach = self.trie, self.unknown, self.reach
+        for i in range(end - start):
+            own = top[i]
             if own == _NONE:
                 continue
-            for j, score in self.arcs(s, i):
-                if j <= end and own + score > top[j - start]:
-                    top[j - start] = own + score
-                    back[j - start] = i - start
+            node, j, alone = trie, i, True
+            for c in s[start + i : min(start + i + reach, end)]:
+                hit = node.get(c)
+                if hit is None:
+                    break
+                j += 1
+                score, node = hit
+                if score is not None:
+                    if j == i + 1:
+                        alone = False
+                    if own + score > top[j]:
+                        top[j] = own + score
+                        back[j] = i
+            if alone and own + unknown > top[i + 1]:
+                top[i + 1] = own + unknown
+                back[i + 1] = i
         out, j = [], end - start
         while j:
             out.append(s[start + back[j] : start + j])
@@ -137,49 +158,71 @@ class Pieces:
         return out[::-1], top[-1]
 
     def path(self, unit: str) -> tuple[bytes, float]:
-        known = self.paths.get(unit)
-        if known is None:
-            pieces, score = self.best(unit)
-            known = array("I", [x for p in pieces for x in self.ids(p)]).tobytes(), score
-            if len(self.paths) < _MOST and len(unit) <= 64:
-                self.paths[unit] = known
-        return known
+        pieces, score = self.best(unit)
+        return array("I", [x for p in pieces for x in self.ids(p)]).tobytes(), score
+
+    def merge(self, unit: str) -> bytes:
+        """Ids of the model's own scheme for one unit; behind a character that joins nothing the library puts no space mark."""
+        if unit == MARK and MARK in self.score:
+            return array("I", [self.score[MARK][1]]).tobytes()
+        if unit[0] == MARK:
+            return array("I", self.sp.encode(unit[1:].replace(MARK, " "))).tobytes()
+        return array("I", self.sp.encode(ALONE + unit.replace(MARK, " "))[self.skip :]).tobytes()
+
+    def both(self, unit: str) -> tuple[bytes, bytes, float]:
+        """Ids of the model's scheme, ids and score of the best path; remembered until enough is."""
+        best, score = self.path(unit)
+        out = (self.merge(unit) if self.merges and self.apart else best, best, score)
+        if len(self.known) < _MOST and len(unit) <= 64:
+            self.known[unit] = out
+        return out
+
+    @staticmethod
+    def _pairs(s: str) -> np.ndarray:
+        c = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32)
+        return (c[:-1] * np.uint32(0x9E3779B1) ^ c[1:] * np.uint32(0x85EBCA6B)) >> np.uint32(12)
+
+    def cuts(self, s: str) -> np.ndarray:
+        """Positions in a string that no piece can cross, because no piece has the two characters there together."""
+        return np.flatnonzero(~self.together[self._pairs(s)]) + 1 if len(s) > 1 else np.empty(0, np.int64)
 
     def units(self, s: str) -> list[str]:
-        return [u for u in UNIT.findall(s) if u] if self.cuts else [s] if s else []
+        at = self.cuts(s).tolist()
+        return [s[i:j] for i, j in zip([0, *at], [*at, len(s)])] if s else []
+
+    def encode(self, s: str) -> tuple[bytes, bytes, float]:
+        """Of a normal string: ids of the model's scheme, ids and score of the best path."""
+        units = self.units(s)
+        got = list(map(self.known.get, units))
+        for i, x in enumerate(got):
+            if x is None:
+                got[i] = self.both(units[i])
+        ids = b"".join([g[0] for g in got])
+        if self.merges and not self.apart:
+            ids = array("I", self.sp.encode(s[1:].replace(MARK, " "))).tobytes()
+        return ids, b"".join([g[1] for g in got]), float(sum([g[2] for g in got]))
 
     def encode_best(self, s: str) -> tuple[bytes, float]:
-        """Ids and score of the best path of a normal string."""
-        known = self.paths
-        got = [known.get(u) or self.path(u) for u in self.units(s)]
-        return b"".join([g[0] for g in got]), float(sum([g[1] for g in got]))
+        return self.encode(s)[1:]
 
     def encode_merged(self, s: str) -> bytes:
-        """Ids of the model's own scheme for a normal string that starts with a space mark."""
-        out = []
-        for u in self.units(s):
-            ids = self.merged.get(u)
-            if ids is None:
-                ids = array("I", self.sp.encode(u[1:].replace(MARK, " ") if u[0] == MARK else u)).tobytes()
-                if len(self.merged) < _MOST and len(u) <= 64:
-                    self.merged[u] = ids
-            out.append(ids)
-        return b"".join(out)
+        return self.encode(s)[0]
 
     def decode(self, ids: bytes) -> str:
-        names, value = self.names, self.value
-        out, held = [], bytearray()
-        for i in array("I", ids):
-            if i in value:
-                held.append(value[i])
-                continue
-            if held:
-                out.append(held.decode("utf-8", "replace"))
-                held.clear()
-            out.append(names[i])
-        if held:
-            out.append(held.decode("utf-8", "replace"))
-        text = "".join(out).replace(MARK, " ")
+        numbers = array("I", ids)
+        if self.high.isdisjoint(numbers):
+            text = "".join(map(self.shown.__getitem__, numbers))
+        else:
+            out, held = [], bytearray()
+            for i in numbers:
+                if i in self.value:
+                    held.append(self.value[i])
+                    continue
+                if held:
+                    out.append(held.decode("utf-8", "replace"))
+                    held.clear()
+                out.append(self.shown[i])
+            text = "".join(out) + held.decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
     def transfer(self, s: str, own: int, last: bool) -> np.ndarray:
@@ -249,8 +292,7 @@ def _whole(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBa
         rows = []
         for row, text in zip(batch.column(0).to_pylist(), batch.column(1)):
             s = m.normal(text.as_py() or "")
-            best, score = m.encode_best(s)
-            ids = m.encode_merged(s) if m.merges else best
+            ids, best, score = m.encode(s)
             rows.append((row, len(ids) // 4, ids, len(best) // 4, best, score))
         yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 6, (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.float64()))], names=["row", "n_ids", "ids", "n_best", "best_ids", "best_score"])
 
@@ -264,9 +306,12 @@ def _chunks(batches: Iterator[pa.RecordBatch], path: str, size: int, merged: boo
             at = i = 0
             while at < len(s):
                 end = min(len(s), at + size)
-                if merged:
-                    cut = re.compile(f"(?<=[^{MARK}])(?={MARK})").search(s, end) if m.cuts and end < len(s) else None
-                    end = cut.start() if cut else len(s)
+                while merged and end < len(s):
+                    here = m.cuts(s[end - 1 : end + size])
+                    if m.apart and len(here):
+                        end += int(here[0]) - 1
+                        break
+                    end = min(len(s), end + size)
                 own = end - at
                 part = s[at : end + (0 if merged else m.reach - 1)]
                 yield pa.record_batch([pa.array([row], pa.int64()), pa.array([i], pa.int64()), pa.array([part], pa.string()), pa.array([own], pa.int64()), pa.array([end >= len(s)], pa.bool_())], names=["row", "i", "s", "own", "last"])
@@ -331,7 +376,7 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, giant:
     small = docs.filter(F.coalesce(F.length(text), F.lit(0)) <= giant)
 
     def direct(it):
-        for batch in it:
+        for batch in (whole.slice(k, 500) for whole in it for k in range(0, whole.num_rows, 500)):
             at = batch.schema.names.index(text)
             row = pa.record_batch([pa.array(range(batch.num_rows), pa.int64()), batch.column(at)], names=["row", "t"])
             out = next(_whole(iter([row]), path))
@@ -374,7 +419,3 @@ def decode(encoded: DataFrame, ids: str = "ids", path: str | None = None, to: st
             yield pa.record_batch([batch.column(batch.schema.names.index(c)) for c in kept] + [pa.array(texts, pa.string())], names=[*kept, to])
 
     return encoded.mapInArrow(run, T.StructType([encoded.schema[c] for c in kept] + [T.StructField(to, T.StringType())]))
-
-
-def crc(ids: bytes) -> int:
-    return zlib.crc32(ids)
