@@ -60,7 +60,9 @@ def _found(df: DataFrame, text: str, name: str, pattern: str, digits: str) -> Da
     df = df.withColumn("__lens", F.expr("transform(__hits, (h, i) -> cast(length(h) + length(__gaps[i]) as bigint))"))
     df = df.withColumn("__sums", F.expr("transform(sequence(0, greatest(size(__lens) - 1, 0) div 64), b -> aggregate(slice(__lens, cast(b * 64 + 1 as int), 64), 0L, (s, x) -> s + x))"))
     df = df.withColumn("__offs", F.expr("transform(__sums, (x, b) -> aggregate(slice(__sums, 1, b), 0L, (s, y) -> s + y))"))
-    df = df.withColumn("__at", F.expr("transform(__hits, (h, i) -> __offs[cast(i div 64 as int)] + aggregate(slice(__lens, cast((i div 64) * 64 + 1 as int), cast(i % 64 as int)), 0L, (s, x) -> s + x) + length(__gaps[i]))"))
+    # Named twice, so that the optimizer keeps them as columns and does not compute them again for every match.
+    at = "transform(__hits, (h, i) -> __offs[cast(i div 64 as int)] + aggregate(slice(__lens, cast((i div 64) * 64 + 1 as int), cast(i % 64 as int)), 0L, (s, x) -> s + x) + length(__gaps[i]))"
+    df = df.withColumn("__at", F.expr(f"CASE WHEN size(__hits) > 0 AND size(__gaps) > 0 AND size(__lens) > 0 AND size(__offs) > 0 THEN {at} ELSE cast(array() as array<bigint>) END"))
     around = f", 'before', lower(right(__gaps[i], {CONTEXT})), 'after', left(__gaps[i + 1], 20)" if name in GENERATORS else ""
     df = df.withColumn(name, F.expr(f"transform(__hits, (h, i) -> named_struct('start', __at[i], 'end', __at[i] + length(h), 'hit', h{around}))"))
     return df.drop("__hits", "__gaps", "__lens", "__sums", "__offs", "__at")
