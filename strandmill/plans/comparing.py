@@ -127,7 +127,7 @@ def g21(spark, d):
     return table(spark, d, "events").filter("event_type <> 'error' AND value > 1").agg(F.min("value").alias("wake"))
 
 
-@query("m10_n10_runs", """WITH t AS (SELECT DISTINCT lang AS topic FROM documents), s AS (SELECT unnest([1, 2, 3, 7, 11]) AS seed), r AS (SELECT topic, seed, round(0.6 + (seed % 5) * 0.04 + 8 * 0.01, 4) AS f, round(0.7 + (seed % 4) * 0.03 + 8 * 0.012, 4) AS b FROM t, s)
+@query("m10_n10_runs", """WITH t AS (SELECT DISTINCT lang AS topic FROM documents), s AS (SELECT unnest([1, 2, 3, 7, 11]) AS seed), r AS (SELECT topic, seed, round(0.6 + (seed % 5) * 0.04 + 8 * 0.01, 4) AS f, round(0.7 + (seed % 4) * 0.03 + 8 * 0.012, 4)::DOUBLE AS b FROM t, s)
 SELECT topic, count(*)::BIGINT AS runs, round(avg(f), 6) AS mean_final, max(b) AS best, round(stddev_pop(f), 6) AS spread FROM r GROUP BY topic""")
 def m10(spark, d):
     topics = table(spark, d, "documents").select(F.col("lang").alias("topic")).distinct()
