@@ -28,7 +28,7 @@ def with_defaults(df: DataFrame, defaults: dict[str, Any]) -> DataFrame:
 
 def parsed(line: Column, schema: str) -> Column:
     """Null where a line is not JSON."""
-    return F.when(F.expr("true") & F.try_parse_json(line).isNotNull(), F.from_json(line, schema))
+    return F.when(F.try_parse_json(line).isNotNull(), F.from_json(line, schema))
 
 
 def true_integers(df: DataFrame, value: str) -> DataFrame:
