@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BITS = 15
 ORDERS = (2, 3)
@@ -140,7 +141,7 @@ def _predict(batches: Iterator[pa.RecordBatch], text: str, shared) -> Iterator[p
 
 def held_out(doc: Column) -> Column:
     """crc32 of the id as text, modulo 3, is 1; false for a null id."""
-    return F.coalesce(F.expr("true") & ((F.crc32(doc.cast("string").cast("binary")) % 3) == 1), F.lit(False))
+    return F.coalesce(F.crc32(doc.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 def identify(docs: DataFrame, text: str = "text", lang: str = "lang", doc: str = "doc_id", per_language: int = 2000, keep: list[str] | None = None) -> DataFrame:
@@ -155,7 +156,5 @@ def identify(docs: DataFrame, text: str = "text", lang: str = "lang", doc: str =
     langs, matrix = train(docs.filter(F.col(doc).isNotNull() & ~held_out(F.col(doc))), lang, text, doc, per_language)
     shared = spark.sparkContext.broadcast((langs, matrix))
     rows = docs.select(*(keep or docs.columns)).withColumns({"held_out": held_out(F.col(doc))}).drop("lang_pred", "score")
-    from pyspark.sql import types as T
-
     schema = T.StructType([*rows.schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return rows.mapInArrow(lambda it: _predict(it, text, shared), schema)
