@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from array import array
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ MARK = "▁"
 ALONE = "\ue000"
 #: Fixed value: what a character that no piece covers costs below the least score.
 PENALTY = 10.0
-_MOST = 120_000
+_MOST = 240_000
 _NONE = float("-inf")
 
 
@@ -78,25 +79,34 @@ class Pieces:
         self.score = {self.names[i]: (sp.get_score(i), i) for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))}
         self.unknown = min((s for s, _ in self.score.values()), default=0.0) - PENALTY
         self.reach = max(map(len, self.score), default=1)
-        self.trie: dict = {}  # character: (score of the piece that ends here or None, what follows)
+        self.skip = len(sp.encode(ALONE))
+        self.apart = ALONE not in "".join(self.score)
+        self.value = {i: b for b, i in self.bytes.items()}
+        self.high = {i for i, b in self.value.items() if b > 127}
+        self.shown = [chr(self.value[i]) if self.value.get(i, 255) < 128 else p.replace(MARK, " ") for i, p in enumerate(self.names)]
+        self.known: dict[str, tuple[bytes, bytes, float]] = {}
+
+    @cached_property
+    def trie(self) -> dict:
+        """Character: (score of the piece that ends here, minus infinity if none does, what follows)."""
+        top: dict = {}
         for p, (score, _) in sorted(self.score.items()):
-            node = self.trie
+            node = top
             for c in p[:-1]:
                 if c not in node:
-                    node[c] = (None, {})
+                    node[c] = (_NONE, {})
                 node = node[c][1]
             node[p[-1]] = (score, node[p[-1]][1] if p[-1] in node else {})
-        #: Pairs of characters that stand together in some piece, by hash; another pair may pass for one, which only misses a cut.
-        self.together = np.zeros(1 << 20, bool)
+        return top
+
+    @cached_property
+    def together(self) -> np.ndarray:
+        """Pairs of characters that stand together in some piece, by hash; another pair may pass for one, which only misses a cut."""
+        out = np.zeros(1 << 20, bool)
         for p in self.score:
             if len(p) > 1:
-                self.together[self._pairs(p)] = True
-        self.skip = len(sp.encode(ALONE))
-        self.apart = ALONE not in "".join(self.score)
-        self.value = {i: b for b, i in self.bytes.items()}
-        self.high = {i for i, b in self.value.items() if b > 127}
-        self.shown = [chr(self.value[i]) if self.value.get(i, 255) < 128 else p.replace(MARK, " ") for i, p in enumerate(self.names)]
-        self.known: dict[str, tuple[bytes, bytes, float]] = {}
+                out[self._pairs(p)] = True
+        return out
 
     def normal(self, text: str) -> str:
         """With space marks, as the model sees it; empty for an empty text."""
@@ -111,7 +121,7 @@ class Pieces:
             if hit is None:
                 break
             j += 1
-            if hit[0] is not None:
+            if hit[0] != _NONE:
                 out.append((j, hit[0]))
             node = hit[1]
         if not out or out[0][0] > i + 1:
@@ -131,24 +141,21 @@ class Pieces:
         back = [0] * (end - start + 1)
         top[0] = 0.0
         trie, unknown, reach = self.trie, self.unknown, self.reach
+        part = s if end - start == len(s) else s[start:end]
         for i in range(end - start):
             own = top[i]
-            if own == _NONE:
-                continue
-            node, j, alone = trie, i, True
-            for c in s[start + i : min(start + i + reach, end)]:
+            node, j = trie, i
+            for c in part[i : i + reach]:
                 hit = node.get(c)
                 if hit is None:
                     break
                 j += 1
                 score, node = hit
-                if score is not None:
-                    if j == i + 1:
-                        alone = False
-                    if own + score > top[j]:
-                        top[j] = own + score
-                        back[j] = i
-            if alone and own + unknown > top[i + 1]:
+                score += own
+                if score > top[j]:
+                    top[j] = score
+                    back[j] = i
+            if own + unknown > top[i + 1] and trie.get(part[i], (_NONE,))[0] == _NONE:
                 top[i + 1] = own + unknown
                 back[i + 1] = i
         out, j = [], end - start
@@ -159,22 +166,23 @@ class Pieces:
 
     def path(self, unit: str) -> tuple[bytes, float]:
         pieces, score = self.best(unit)
-        return array("I", [x for p in pieces for x in self.ids(p)]).tobytes(), score
-
-    def merge(self, unit: str) -> bytes:
-        """Ids of the model's own scheme for one unit; behind a character that joins nothing the library puts no space mark."""
-        if unit == MARK and MARK in self.score:
-            return array("I", [self.score[MARK][1]]).tobytes()
-        if unit[0] == MARK:
-            return array("I", self.sp.encode(unit[1:].replace(MARK, " "))).tobytes()
-        return array("I", self.sp.encode(ALONE + unit.replace(MARK, " "))[self.skip :]).tobytes()
-
-    def both(self, unit: str) -> tuple[bytes, bytes, float]:
-        """Ids of the model's scheme, ids and score of the best path; remembered until enough is."""
-        best, score = self.path(unit)
-        out = (self.merge(unit) if self.merges and self.apart else best, best, score)
-        if len(self.known) < _MOST and len(unit) <= 64:
-            self.known[unit] = out
+        known = self.score
+        return array("I", [x for p in pieces for x in ((known[p][1],) if p in known else self.ids(p))]).tobytes(), score
+
+    def merge(self, units: list[str]) -> list[bytes]:
+        """Ids of the model's own scheme by unit; behind a character that joins nothing the library puts no space mark."""
+        asked = [u[1:].replace(MARK, " ") if u[0] == MARK else ALONE + u.replace(MARK, " ") for u in units]
+        own = (self.score[MARK][1],) if MARK in self.score else ()
+        got = self.sp.encode(asked, num_threads=1)
+        return [array("I", own if u == MARK and own else ids if u[0] == MARK else ids[self.skip :]).tobytes() for u, ids in zip(units, got)]
+
+    def learn(self, units: list[str]) -> dict[str, tuple[bytes, bytes, float]]:
+        """By unit the ids of the model's scheme, ids and score of the best path; remembered until enough is."""
+        paths = [self.path(u) for u in units]
+        merged = self.merge(units) if self.merges and self.apart else [p[0] for p in paths]
+        out = {u: (m, *p) for u, m, p in zip(units, merged, paths)}
+        if len(self.known) < _MOST:
+            self.known.update((u, x) for u, x in out.items() if len(u) <= 64)
         return out
 
     @staticmethod
@@ -184,23 +192,31 @@ class Pieces:
 
     def cuts(self, s: str) -> np.ndarray:
         """Positions in a string that no piece can cross, because no piece has the two characters there together."""
-        return np.flatnonzero(~self.together[self._pairs(s)]) + 1 if len(s) > 1 else np.empty(0, np.int64)
+        if len(s) < 2:
+            return np.empty(0, np.int64)
+        return np.flatnonzero(~self.together[self._pairs(s)]) + 1
 
     def units(self, s: str) -> list[str]:
         at = self.cuts(s).tolist()
         return [s[i:j] for i, j in zip([0, *at], [*at, len(s)])] if s else []
 
+    def resolve(self, units: list[str]) -> list[tuple[bytes, bytes, float]]:
+        got = list(map(self.known.get, units))
+        gaps = [i for i, x in enumerate(got) if x is None]
+        if gaps:
+            new = self.learn(list({units[i] for i in gaps}))
+            for i in gaps:
+                got[i] = new[units[i]]
+        return got
+
     def encode(self, s: str) -> tuple[bytes, bytes, float]:
         """Of a normal string: ids of the model's scheme, ids and score of the best path."""
-        units = self.units(s)
-        got = list(map(self.known.get, units))
-        for i, x in enumerate(got):
-            if x is None:
-                got[i] = self.both(units[i])
-        ids = b"".join([g[0] for g in got])
+        if not s:
+            return b"", b"", 0.0
+        ids, best, scores = zip(*self.resolve(self.units(s)))
         if self.merges and not self.apart:
-            ids = array("I", self.sp.encode(s[1:].replace(MARK, " "))).tobytes()
-        return ids, b"".join([g[1] for g in got]), float(sum([g[2] for g in got]))
+            ids = (array("I", self.sp.encode(s[1:].replace(MARK, " "))).tobytes(),)
+        return b"".join(ids), b"".join(best), float(sum(scores))
 
     def encode_best(self, s: str) -> tuple[bytes, float]:
         return self.encode(s)[1:]
@@ -400,7 +416,7 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, giant:
         own = _joined(units.mapInArrow(lambda it: _trace(it, path, True), "row long, i long, ids binary, score double"), "ids")
     else:
         own = best.select("row", F.col("best_ids").alias("ids"))
-    both = large.join(best, F.col("__row") == best["row"]).drop("row").join(own, F.col("__row") == own["row"])
+    both = large.select(*others, "__row").join(best, F.col("__row") == best["row"]).drop("row").join(own, F.col("__row") == own["row"])
     count = lambda c: (F.octet_length(c) / 4).cast("long")
     return out.unionByName(both.select(*others, count("ids").alias("n_ids"), "ids", count("best_ids").alias("n_best"), "best_ids", F.col("best_ids_score").alias("best_score")))
 

@@ -57,8 +57,9 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document, of the model's scheme and of the best path, and what the ids decode to."""
     from .pieces import decode, encode
 
-    out = decode(encode(documents(spark, sf_dir).select("doc_id", "text")))
-    return out.select("doc_id", "n_ids", F.crc32("ids").alias("ids_crc32"), "n_best", F.crc32("best_ids").alias("best_crc32"), "best_score", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+    ids = encode(documents(spark, sf_dir).select("doc_id", "text"))
+    out = decode(ids.select("doc_id", "n_ids", "ids", F.crc32("ids").alias("ids_crc32"), "n_best", F.crc32("best_ids").alias("best_crc32"), "best_score"))
+    return out.select("doc_id", "n_ids", "ids_crc32", "n_best", "best_crc32", "best_score", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 
 
 def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
