@@ -28,8 +28,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the smallest id stays; rows without id stay, rows of one id stay together."""
-    found = simhash.near_duplicates(docs)
-    lost = scratch.keep(found.filter("doc <> component").select(F.col("doc").alias("doc_id")).distinct(), "lost")
+    found = simhash.near_copies(docs)
+    lost = scratch.keep(found.filter("node <> component").select(F.col("node").alias("doc_id")).distinct(), "lost")
     if lost.count() <= MOST_SENT:
         lost = F.broadcast(lost)
     return docs.join(lost, "doc_id", "left_anti").select(*docs.columns)

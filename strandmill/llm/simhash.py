@@ -180,3 +180,154 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc: str = "doc_id", si
     shared = member.join(least.filter(F.col("all") > 1), "component").select("fp", "component_id")
     shared = scratch.keep(shared, "shared")
     return prints.join(shared, "fp", "left").select("doc", "fp", F.coalesce("component_id", "doc").alias("component"))
+
+
+# Near copies by similarity. Two texts that share four fifths of their word shingles
+# differ in some 15 of 100 bits, too many for deletion variants, so a longer SimHash is
+# cut into bands; texts that agree in a band are compared by all bits, and again only
+# the edges of a spanning forest leave a run.
+
+WORDS = 12
+BANDS, BAND_BITS = 24, 14
+
+
+def majority(rows: np.ndarray) -> np.ndarray:
+    """Per bit of the rows (n, words) whether over half have it, counted by carry-save adders on whole words."""
+    n = len(rows)
+    total = np.zeros(rows.shape[1] * 64, np.int64)
+    weight = 0
+    while len(rows):
+        carries = []
+        while len(rows) > 2:
+            m = len(rows) // 3
+            x, y, z = rows[:m], rows[m : 2 * m], rows[2 * m : 3 * m]
+            half = x ^ y
+            carries.append((x & y) | (z & half))
+            rows = np.concatenate((half ^ z, rows[3 * m :]))
+        total += np.unpackbits(np.ascontiguousarray(rows).view(np.uint8).reshape(len(rows), -1), axis=1, bitorder="little").sum(0, dtype=np.int64) << weight
+        rows = np.concatenate(carries) if carries else rows[:0]
+        weight += 1
+    return np.packbits(total * 2 > n, bitorder="little").view(np.uint64)
+
+
+def long_fingerprint(text: bytes | None, size: int = 5, width: int = WORDS) -> bytes | None:
+    """SimHash of ``width`` x 64 bits of the set of word shingles; null without words."""
+    words = (text or b"").lower().split()
+    if not words:
+        return None
+    joined = b" ".join(words)
+    n = max(1, len(words) - size + 1)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))[:n].tolist()
+    ends = ends[min(size, len(words)) - 1 :].tolist()
+    digest = xxhash.xxh3_64_intdigest
+    h = np.unique(np.fromiter((digest(joined[a:b]) for a, b in zip(starts, ends)), np.uint64))
+    odd = np.arange(1, width + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
+    parts = []
+    for at in range(0, len(h), 1 << 14):
+        x = h[at : at + (1 << 14), None] * odd
+        x ^= x >> np.uint64(29)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(29)
+        parts.append(x)
+    return majority(np.concatenate(parts)).tobytes()
+
+
+def most_differing(least: float, bits: int) -> int:
+    """Bits in which texts of a Jaccard likeness of ``least`` differ, and one and a half standard deviations more."""
+    share = float(np.arccos(2 * least / (1 + least)) / np.pi)
+    return int(bits * (share + 1.5 * (share * (1 - share) / bits) ** 0.5))
+
+
+def _long_prints(batches: Iterator[pa.RecordBatch], short: int, size: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = [t.as_py() for t in batch.column(1)]
+        fps = np.array([fingerprint(t, short) for t in texts], np.uint64).view(np.int64)
+        yield pa.record_batch([batch.column(0), pa.array(fps), pa.array([long_fingerprint(t, size) for t in texts], pa.binary())], names=["doc", "fp", "long"])
+
+
+def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for at in range(0, whole.num_rows, 2000):
+            batch = whole.slice(at, 2000)
+            raw = batch.column(1).to_pylist()
+            bits = np.unpackbits(np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), -1), axis=1, bitorder="little")[:, : BANDS * BAND_BITS]
+            keys = bits.reshape(len(raw), BANDS, BAND_BITS).astype(np.int64) @ (1 << np.arange(BAND_BITS)) + (np.arange(BANDS) << BAND_BITS)
+            docs = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), BANDS)
+            yield pa.record_batch([pa.array(keys.reshape(-1)), pa.array(docs), pa.array([r for r in raw for _ in range(BANDS)], pa.binary())], names=["key", "doc", "long"])
+
+
+def _alike(docs: np.ndarray, fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Spanning edges (positions) among the members of one band."""
+    if len(docs) <= 200:
+        near = np.bitwise_count(fps[:, None] ^ fps[None]).sum(2, dtype=np.int64) <= radius
+        if near.sum() == len(docs):
+            return []
+    out = []
+    left = np.arange(len(docs))
+    while len(left):
+        front, left = [left[0]], left[1:]
+        while front and len(left):
+            x = front.pop()
+            hit = near[x, left] if len(docs) <= 200 else np.bitwise_count(fps[left] ^ fps[x]).sum(1, dtype=np.int64) <= radius
+            if hit.any():
+                new = left[hit]
+                out.extend((x, y) for y in new)
+                front.extend(new)
+                left = left[~hit]
+    return out
+
+
+def _band_links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by key; the last run of a batch is carried over."""
+
+    def runs(keys: np.ndarray, docs: np.ndarray, fps: np.ndarray) -> pa.RecordBatch | None:
+        cut = np.concatenate(([0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]))
+        u, v = [], []
+        for a, b in zip(cut[:-1], cut[1:]):
+            if b - a > 1:
+                for i, j in _alike(docs[a:b], fps[a:b], radius):
+                    u.append(docs[a + i])
+                    v.append(docs[a + j])
+        return pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"]) if u else None
+
+    keys = docs = fps = None
+    for batch in batches:
+        k, d = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        f = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(len(k), -1)
+        if keys is not None:
+            k, d, f = np.concatenate((keys, k)), np.concatenate((docs, d)), np.concatenate((fps, f))
+        cut = int(np.searchsorted(k, k[-1]))
+        keys, docs, fps = k[cut:], d[cut:], f[cut:]
+        out = runs(k[:cut], d[:cut], f[:cut]) if cut else None
+        if out:
+            yield out
+    if keys is not None:
+        out = runs(keys, docs, fps)
+        if out:
+            yield out
+
+
+def near_copies(docs: DataFrame, text: str = "text", doc: str = "doc_id", short: int = 3, radius: int = 3, size: int = 5, least: float = 0.8) -> DataFrame:
+    """(node, component): documents with near copies and the smallest id reachable.
+
+    Documents link if their fingerprints of ``short``-word shingles differ in ``radius`` bits
+    or fewer (deletion variants), or if the longer fingerprint of ``size``-word shingles puts
+    their likeness at ``least`` or more (bands). Null ids are left out; an empty table, and
+    documents without copies, give no rows; repeated rows of an id are one node.
+    """
+    spark = docs.sparkSession
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = docs.filter(F.col(doc).isNotNull()).select(F.col(doc).cast("long").alias("doc"), F.col(text).cast("binary").alias("t"))
+    prints = scratch.keep(rows.mapInArrow(lambda it: _long_prints(it, short, size), "doc long, fp long, long binary"), "prints")
+    fps = scratch.keep(prints.groupBy("fp").agg(F.min("doc").alias("least")), "classes")
+    close = link(fps.select("fp"), radius).join(fps.select(F.col("fp").alias("u"), F.col("least").alias("a")), "u").join(fps.select(F.col("fp").alias("v"), F.col("least").alias("b")), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    longs = scratch.keep(prints.filter("long IS NOT NULL").groupBy("long").agg(F.min("doc").alias("least")), "longs")
+    bits = WORDS * 64
+    dealt = longs.select("least", "long").mapInArrow(_bands, "key long, doc long, long binary").repartition(parts, "key").sortWithinPartitions("key")
+    alike = dealt.mapInArrow(lambda it: _band_links(it, most_differing(least, bits)), "u long, v long")
+    same = prints.join(fps, "fp").filter("doc <> least").select(F.col("doc").alias("u"), F.col("least").alias("v"))
+    equal = prints.join(longs, "long").filter("doc <> least").select(F.col("doc").alias("u"), F.col("least").alias("v"))
+    return components(close.unionByName(alike).unionByName(same).unionByName(equal))
