@@ -110,3 +110,36 @@ def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(1000, 1001), (None, 5), (7, 7)], "u long, v long")
     got = {r["node"]: r["component"] for r in components(edges).collect()}
     assert got == {**{i: 0 for i in range(n + 1)}, 1000: 1000, 1001: 1000}
+
+
+def test_majority_counts_bits():
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 3, 4, 7, 64, 1000):
+        rows = rng.integers(0, 1 << 63, (n, 3), dtype=np.uint64)
+        bits = np.unpackbits(rows.view(np.uint8).reshape(n, -1), axis=1, bitorder="little")
+        want = np.packbits(bits.sum(0, dtype=int) * 2 > n, bitorder="little").view(np.uint64)
+        assert (S.majority(rows.copy()) == want).all()
+
+
+def test_near_copies_by_similarity(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(2000)]
+    rows, groups = [], []
+    for g in range(40):
+        base = [rng.choice(words) for _ in range(rng.randrange(120, 400))]
+        ids = []
+        for k in range(4):
+            t = list(base)
+            for _ in range(len(t) // 60 if k else 0):  # a likeness of about 0.85 to the first
+                t[rng.randrange(len(t))] = rng.choice(words)
+            rows.append((g * 10 + k, " ".join(t)))
+            ids.append(g * 10 + k)
+        groups.append(ids)
+    clean = [(5000 + i, " ".join(rng.choice(words) for _ in range(200))) for i in range(300)]
+    odd = [(9000, None), (9001, ""), (9002, "one two"), (9003, "ONE two"), (None, "one two")]
+    df = spark.createDataFrame(rows + clean + odd, "doc_id long, text string").repartition(5)
+    got = {r["node"]: r["component"] for r in S.near_copies(df).collect()}
+    assert not {i for i, _ in clean} & set(got)
+    assert (got[9001], got[9003]) == (9000, 9002)
+    assert sum(got.get(i) == g[0] for g in groups for i in g) >= 0.97 * 160
+    assert S.near_copies(df.limit(0)).count() == 0
