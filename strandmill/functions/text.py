@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -208,10 +211,17 @@ def without_diagram_labels(text: Column) -> Column:
     return F.array_join(F.filter(lines(text), lambda x: ~label(x)), "\n")
 
 
+def bound(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn`` of a value that is computed once however often ``fn`` names it."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def topics(text: Column) -> Column:
-    low = F.lower(text)
-    shown = [F.when(low.rlike("|".join(p.lower() for p in pats)), F.lit(name)) for name, pats in TOPICS.items()]
-    return F.array_compact(F.array(*shown))
+    def shown(low: Column) -> Column:
+        some = lambda pats: reduce(lambda a, b: a | b, [low.contains(p.lower()) for p in pats])
+        return F.array_compact(F.array(*[F.when(some(pats), F.lit(name)) for name, pats in TOPICS.items()]))
+
+    return bound(F.lower(text), shown)
 
 
 def category(heading: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.text import tokens
 
 K1, B = 1.5, 0.75
+WORD = r"[\p{L}\p{N}_]"
 
 
 @dataclass
@@ -38,16 +39,16 @@ class Index:
 def score(docs: DataFrame, query: str, doc: str = "doc_id", text: str = "text", k1: float = K1, b: float = B) -> DataFrame:
     """(doc, score) of documents that hold a term of the query.
 
-    Only the query's terms are counted: a document's frequencies come from a filter over
-    its tokens, so no postings are built, and the only shuffle is that of the totals. The
+    Only the query's terms are counted, as whole words in the text, so neither tokens nor
+    postings are built, and the only shuffle is that of the totals. The
     statistics of the terms are one row, as large as the query.
     """
     wanted = Counter(t for t in _terms(query))
     if not wanted:
         return docs.select(F.col(doc).alias("doc"), F.lit(0.0).alias("score")).limit(0)
     names = sorted(wanted)
-    t = docs.select(F.col(doc).alias("doc"), tokens(F.coalesce(F.col(text), F.lit(""))).alias("tokens"))
-    t = t.select("doc", F.size("tokens").alias("len"), *[F.size(F.filter("tokens", (lambda w: lambda x: x == w)(w))).alias(f"tf{i}") for i, w in enumerate(names)])
+    low = docs.select(F.col(doc).alias("doc"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("low"))
+    t = low.select("doc", F.regexp_count("low", F.lit(WORD + "++")).alias("len"), *[F.regexp_count("low", F.lit(f"{w}(?<!{WORD}{w})(?!{WORD})")).alias(f"tf{i}") for i, w in enumerate(names)])
     totals = t.agg(F.count("*").alias("n"), F.sum("len").alias("all"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(names))])
     hit = t.filter(" OR ".join(f"tf{i} > 0" for i in range(len(names)))).crossJoin(F.broadcast(totals))
     avgdl = F.col("all") / F.greatest(F.lit(1), F.col("n"))
@@ -62,7 +63,7 @@ def score(docs: DataFrame, query: str, doc: str = "doc_id", text: str = "text",
 def _terms(query: str) -> list[str]:
     import re
 
-    return re.findall(r"[\w]+", query.lower())
+    return re.findall(r"\w+", query.lower())
 
 
 def search(docs: DataFrame, query: str, k: int = 20, **kw) -> DataFrame:
