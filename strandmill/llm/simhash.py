@@ -187,8 +187,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc: str = "doc_id", si
 # cut into bands; texts that agree in a band are compared by all bits, and again only
 # the edges of a spanning forest leave a run.
 
-WORDS = 12
-BANDS, BAND_BITS = 24, 14
+WORDS = 8
+BANDS, BAND_BITS = 20, 13
 
 
 def majority(rows: np.ndarray) -> np.ndarray:
