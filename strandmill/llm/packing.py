@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from . import scratch
 
 SALTS = 64
-_MOST_STRINGS = 300_000
-_MOST_WORDS = 500_000
+_MOST_STRINGS = 150_000
+_MOST_WORDS = 250_000
 #: Byte-level models write each byte as one character: itself where it is printable, else the next one from 256 on.
 _OPEN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 _SHOWN = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _OPEN)}
