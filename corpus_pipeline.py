@@ -18,16 +18,19 @@ MOST_SENT = 1_000_000
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents for which a language is found; null texts and texts without a letter go."""
+    scratch.bounded(spark)
     return language.identify(docs).filter(F.col("lang_pred") != language.UND).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops repeated lines; a document may become empty."""
+    scratch.bounded(spark)
     return lines.dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the smallest id stays; rows without id stay, rows of one id stay together."""
+    scratch.bounded(spark)
     found = simhash.near_copies(docs)
     lost = scratch.keep(found.filter("node <> component").select(F.col("node").alias("doc_id")).distinct(), "lost")
     if lost.count() <= MOST_SENT:
@@ -42,6 +45,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces with their places in sequences of 2,048 tokens."""
+    scratch.bounded(spark)
     return packing.pack(docs)
 
 

@@ -41,5 +41,18 @@ def drop(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Rows that go to a Python worker at once: texts are long, so Spark's default of 10,000 is much memory.
+BATCH = 1000
+
+
+def bounded(spark: SparkSession) -> None:
+    """From here on the session hands rows to Python in batches of at most BATCH."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > BATCH:
+        spark.conf.set(key, str(BATCH))
+
+
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
