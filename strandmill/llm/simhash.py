@@ -183,12 +183,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc: str = "doc_id", si
 
 
 # Near copies by similarity. Two texts that share four fifths of their word shingles
-# differ in some 15 of 100 bits, too many for deletion variants, so a longer SimHash is
-# cut into bands; texts that agree in a band are compared by all bits, and again only
-# the edges of a spanning forest leave a run.
+# differ in some 15 of 100 bits, too many for deletion variants and too vague for a longer
+# SimHash. Their sets of shingles have a band of minima in common instead (MinHash), which
+# only proposes: the sets of those that meet are compared, and the edges of a spanning
+# forest leave a run.
 
-WORDS = 8
-BANDS, BAND_BITS = 20, 13
+BANDS, ROWS = 16, 3
 
 
 def majority(rows: np.ndarray) -> np.ndarray:
@@ -210,68 +210,114 @@ def majority(rows: np.ndarray) -> np.ndarray:
     return np.packbits(total * 2 > n, bitorder="little").view(np.uint64)
 
 
-def long_fingerprint(text: bytes | None, size: int = 5, width: int = WORDS) -> bytes | None:
-    """SimHash of ``width`` x 64 bits of the set of word shingles; null without words."""
+_ODD = (np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+
+def shingles(text: bytes | None, size: int = 5) -> np.ndarray:
+    """The different hashes of the word shingles of a text, sorted; fewer words than ``size`` are one shingle, none give none."""
     words = (text or b"").lower().split()
     if not words:
-        return None
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     n = max(1, len(words) - size + 1)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))[:n].tolist()
     ends = ends[min(size, len(words)) - 1 :].tolist()
     digest = xxhash.xxh3_64_intdigest
-    h = np.unique(np.fromiter((digest(joined[a:b]) for a, b in zip(starts, ends)), np.uint64))
-    odd = np.arange(1, width + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
-    parts = []
-    for at in range(0, len(h), 1 << 14):
-        x = h[at : at + (1 << 14), None] * odd
-        x ^= x >> np.uint64(29)
-        x *= np.uint64(0xBF58476D1CE4E5B9)
+    return np.unique(np.fromiter((digest(joined[a:b]) for a, b in zip(starts, ends)), np.uint64, n))
+
+
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """A key per band: of ROWS minima of the set under as many orders."""
+    low = np.full(len(_ODD), ~np.uint64(0))
+    for at in range(0, len(hashes), 1 << 12):
+        x = hashes[None, at : at + (1 << 12)] * _ODD[:, None]
         x ^= x >> np.uint64(32)
-        x *= np.uint64(0x94D049BB133111EB)
-        x ^= x >> np.uint64(29)
-        parts.append(x)
-    return majority(np.concatenate(parts)).tobytes()
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        np.minimum(low, x.min(1), out=low)
+    low = low.reshape(BANDS, ROWS)
+    key = np.arange(BANDS, dtype=np.uint64)
+    for i in range(ROWS):
+        key = (key ^ low[:, i]) * np.uint64(0x94D049BB133111EB)
+        key ^= key >> np.uint64(29)
+    return key.view(np.int64)
+
+
+def set_id(hashes: np.ndarray) -> int | None:
+    """64 bits, as a signed long, that name the set; null for none."""
+    return int(np.uint64(xxhash.xxh3_64_intdigest(hashes.tobytes())).view(np.int64)) if len(hashes) else None
+
+
+def _set_prints(batches: Iterator[pa.RecordBatch], short: int, size: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        fps, ids, keys = [], [], []
+        for t in batch.column(1):
+            t = t.as_py()
+            h = shingles(t, size)
+            fps.append(fingerprint(t, short))
+            ids.append(set_id(h))
+            keys.append(bands(h) if len(h) else None)
+        yield pa.record_batch([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(ids, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc", "fp", "id", "keys"])
 
 
-def most_differing(least: float, bits: int) -> int:
-    """Bits in which texts of a Jaccard likeness of ``least`` differ, and one and a half standard deviations more."""
-    share = float(np.arccos(2 * least / (1 + least)) / np.pi)
-    return int(bits * (share + 1.5 * (share * (1 - share) / bits) ** 0.5))
+def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [shingles(t.as_py(), size) for t in batch.column(0)]
+        yield pa.record_batch([pa.array([set_id(h) for h in found], pa.int64()), pa.array([h.tobytes() for h in found], pa.binary())], names=["id", "hashes"])
 
 
-def _long_prints(batches: Iterator[pa.RecordBatch], short: int, size: int) -> Iterator[pa.RecordBatch]:
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list]]:
+    """(keys, other columns) of whole runs; rows come sorted by key, and parts of a run are put together once."""
+    held = []
     for batch in batches:
-        texts = [t.as_py() for t in batch.column(1)]
-        fps = np.array([fingerprint(t, short) for t in texts], np.uint64).view(np.int64)
-        yield pa.record_batch([batch.column(0), pa.array(fps), pa.array([long_fingerprint(t, size) for t in texts], pa.binary())], names=["doc", "fp", "long"])
-
-
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for at in range(0, whole.num_rows, 2000):
-            batch = whole.slice(at, 2000)
-            raw = batch.column(1).to_pylist()
-            bits = np.unpackbits(np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), -1), axis=1, bitorder="little")[:, : BANDS * BAND_BITS]
-            keys = bits.reshape(len(raw), BANDS, BAND_BITS).astype(np.int64) @ (1 << np.arange(BAND_BITS)) + (np.arange(BANDS) << BAND_BITS)
-            docs = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), BANDS)
-            yield pa.record_batch([pa.array(keys.reshape(-1)), pa.array(docs), pa.array([r for r in raw for _ in range(BANDS)], pa.binary())], names=["key", "doc", "long"])
-
-
-def _alike(docs: np.ndarray, fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Spanning edges (positions) among the members of one band."""
-    if len(docs) <= 200:
-        near = np.bitwise_count(fps[:, None] ^ fps[None]).sum(2, dtype=np.int64) <= radius
-        if near.sum() == len(docs):
-            return []
+        keys = batch.column(0).to_numpy(zero_copy_only=False)
+        if not len(keys):
+            continue
+        cut = int(np.searchsorted(keys, keys[-1]))
+        if held and (cut or keys[-1] != held[-1].column(0)[-1].as_py()):
+            held.append(batch.slice(0, cut))
+            yield pa.Table.from_batches(held)
+            held = []
+        elif cut:
+            yield pa.Table.from_batches([batch.slice(0, cut)])
+        held.append(batch.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(run, id) of the runs of more than one, which come sorted by key and id; runs of the same members get one name."""
+    for table in _runs(batches):
+        keys, ids = (table.column(i).to_numpy() for i in (0, 1))
+        cut = np.concatenate(([0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]))
+        size = np.diff(cut)
+        some = np.flatnonzero(size > 1)
+        if len(some):
+            names = np.array([xxhash.xxh3_64_intdigest(ids[cut[i] : cut[i + 1]].tobytes()) for i in some], np.uint64).view(np.int64)
+            yield pa.record_batch([pa.array(np.repeat(names, size[some])), pa.array(ids[np.repeat(size > 1, size)])], names=["run", "id"])
+
+
+def alike(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Spanning edges (positions) of the graph that links sets of a Jaccard likeness of ``least`` or more."""
+    size = np.array([len(s) for s in sets])
+    which, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    parts = np.split(flat, np.cumsum(size)[:-1])
+    mask = np.zeros(len(which), bool)
     out = []
-    left = np.arange(len(docs))
+    left = held = np.arange(len(sets))
+    starts = np.concatenate(([0], np.cumsum(size)[:-1]))
     while len(left):
         front, left = [left[0]], left[1:]
         while front and len(left):
             x = front.pop()
-            hit = near[x, left] if len(docs) <= 200 else np.bitwise_count(fps[left] ^ fps[x]).sum(1, dtype=np.int64) <= radius
+            if 2 * len(left) < len(held):  # those reached are no longer counted
+                held = left
+                flat = np.concatenate([parts[i] for i in held])
+                starts = np.concatenate(([0], np.cumsum(size[held])[:-1]))
+            mask[parts[x]] = True
+            common = np.add.reduceat(mask[flat], starts, dtype=np.int64)[np.searchsorted(held, left)]
+            mask[parts[x]] = False
+            hit = common >= least * (size[x] + size[left] - common) - 1e-9
             if hit.any():
                 new = left[hit]
                 out.extend((x, y) for y in new)
@@ -280,54 +326,51 @@ def _alike(docs: np.ndarray, fps: np.ndarray, radius: int) -> list[tuple[int, in
     return out
 
 
-def _band_links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by key; the last run of a batch is carried over."""
-
-    def runs(keys: np.ndarray, docs: np.ndarray, fps: np.ndarray) -> pa.RecordBatch | None:
+def _verified(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    for table in _runs(batches):
+        keys, ids = (table.column(i).to_numpy() for i in (0, 1))
+        raw = table.column(2)
         cut = np.concatenate(([0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]))
         u, v = [], []
         for a, b in zip(cut[:-1], cut[1:]):
             if b - a > 1:
-                for i, j in _alike(docs[a:b], fps[a:b], radius):
-                    u.append(docs[a + i])
-                    v.append(docs[a + j])
-        return pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"]) if u else None
+                for i, j in alike([np.frombuffer(r.as_py(), np.uint64) for r in raw[int(a) : int(b)]], least):
+                    u.append(ids[a + i])
+                    v.append(ids[a + j])
+        if u:
+            yield pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
-    keys = docs = fps = None
-    for batch in batches:
-        k, d = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        f = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(len(k), -1)
-        if keys is not None:
-            k, d, f = np.concatenate((keys, k)), np.concatenate((docs, d)), np.concatenate((fps, f))
-        cut = int(np.searchsorted(k, k[-1]))
-        keys, docs, fps = k[cut:], d[cut:], f[cut:]
-        out = runs(k[:cut], d[:cut], f[:cut]) if cut else None
-        if out:
-            yield out
-    if keys is not None:
-        out = runs(keys, docs, fps)
-        if out:
-            yield out
+
+#: So many ids of documents to compare are sent to every task; more are joined.
+MOST_SENT = 1_000_000
 
 
 def near_copies(docs: DataFrame, text: str = "text", doc: str = "doc_id", short: int = 3, radius: int = 3, size: int = 5, least: float = 0.8) -> DataFrame:
     """(node, component): documents with near copies and the smallest id reachable.
 
     Documents link if their fingerprints of ``short``-word shingles differ in ``radius`` bits
-    or fewer (deletion variants), or if the longer fingerprint of ``size``-word shingles puts
-    their likeness at ``least`` or more (bands). Null ids are left out; an empty table, and
-    documents without copies, give no rows; repeated rows of an id are one node.
+    or fewer (deletion variants), or if their sets of ``size``-word shingles have a Jaccard
+    likeness of ``least`` or more: equal sets always, others if they share a band, which
+    proposes them, and the comparison of the sets themselves confirms it. Null ids are left
+    out; an empty table, and documents without copies, give no rows; repeated rows of an id
+    are one node.
     """
     spark = docs.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.filter(F.col(doc).isNotNull()).select(F.col(doc).cast("long").alias("doc"), F.col(text).cast("binary").alias("t"))
-    prints = scratch.keep(rows.mapInArrow(lambda it: _long_prints(it, short, size), "doc long, fp long, long binary"), "prints")
+    prints = scratch.keep(rows.mapInArrow(lambda it: _set_prints(it, short, size), "doc long, fp long, id long, keys array<long>"), "prints")
     fps = scratch.keep(prints.groupBy("fp").agg(F.min("doc").alias("least")), "classes")
     close = link(fps.select("fp"), radius).join(fps.select(F.col("fp").alias("u"), F.col("least").alias("a")), "u").join(fps.select(F.col("fp").alias("v"), F.col("least").alias("b")), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    longs = scratch.keep(prints.filter("long IS NOT NULL").groupBy("long").agg(F.min("doc").alias("least")), "longs")
-    bits = WORDS * 64
-    dealt = longs.select("least", "long").mapInArrow(_bands, "key long, doc long, long binary").repartition(parts, "key").sortWithinPartitions("key")
-    alike = dealt.mapInArrow(lambda it: _band_links(it, most_differing(least, bits)), "u long, v long")
+    sets = scratch.keep(prints.filter("id IS NOT NULL").groupBy("id").agg(F.min("doc").alias("least"), F.first("keys").alias("keys")), "sets")
+    dealt = sets.select(F.explode("keys").alias("key"), "id").repartition(parts, "key").sortWithinPartitions("key", "id")
+    met = scratch.keep(dealt.mapInArrow(_meetings, "run long, id long").distinct(), "met")
+    asked = scratch.keep(sets.join(met.select("id").distinct(), "id").select(F.col("least").alias("doc")).distinct(), "asked")
+    if asked.count() <= MOST_SENT:
+        asked = F.broadcast(asked)
+    hashes = rows.join(asked, "doc", "left_semi").select("t").mapInArrow(lambda it: _sets(it, size), "id long, hashes binary").dropDuplicates(["id"])
+    paired = met.join(hashes, "id").select("run", "id", "hashes").repartition(parts, "run").sortWithinPartitions("run")
+    ends = paired.mapInArrow(lambda it: _verified(it, least), "u long, v long").distinct()
+    alike = ends.join(sets.select(F.col("id").alias("u"), F.col("least").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("least").alias("b")), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
     same = prints.join(fps, "fp").filter("doc <> least").select(F.col("doc").alias("u"), F.col("least").alias("v"))
-    equal = prints.join(longs, "long").filter("doc <> least").select(F.col("doc").alias("u"), F.col("least").alias("v"))
+    equal = prints.join(sets.select("id", "least"), "id").filter("doc <> least").select(F.col("doc").alias("u"), F.col("least").alias("v"))
     return components(close.unionByName(alike).unionByName(same).unionByName(equal))

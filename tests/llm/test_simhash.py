@@ -143,3 +143,34 @@ def test_near_copies_by_similarity(spark):
     assert (got[9001], got[9003]) == (9000, 9002)
     assert sum(got.get(i) == g[0] for g in groups for i in g) >= 0.97 * 160
     assert S.near_copies(df.limit(0)).count() == 0
+
+
+def test_short_texts_link_by_their_shingles(spark):
+    """8 against 9 words share 4 of 5 shingles, 10 against 11 six of seven, 7 against 8 three of four."""
+    rng = random.Random(5)
+    rows, want = [], {}
+    for i in range(150):
+        n = (8, 10, 7)[i % 3]
+        words = [f"x{rng.randrange(1 << 40)}" for _ in range(n + 1)]
+        rows += [(2 * i, " ".join(words[:n])), (2 * i + 1, " ".join(words))]
+        if n >= 8:
+            want |= {2 * i: 2 * i, 2 * i + 1: 2 * i}
+    got = {r["node"]: r["component"] for r in S.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
+def test_spanning_edges_of_sets_equal_brute_force():
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
+    sets = [np.unique(np.concatenate((rng.choice(base, rng.integers(40, 58), replace=False), rng.integers(0, 1 << 63, 2, dtype=np.uint64)))) for _ in range(60)]
+    label = list(range(60))
+    want = list(range(60))
+    for a, b in S.alike(sets, 0.8):
+        label = [label[a] if x == label[b] else x for x in label]
+    for a in range(60):
+        for b in range(a):
+            both = len(np.intersect1d(sets[a], sets[b]))
+            if both * 10 >= 8 * (len(sets[a]) + len(sets[b]) - both):
+                want = [want[a] if x == want[b] else x for x in want]
+    first, other = {}, {}
+    assert [first.setdefault(x, i) for i, x in enumerate(label)] == [other.setdefault(x, i) for i, x in enumerate(want)]
