@@ -145,6 +145,28 @@ def test_near_copies_by_similarity(spark):
     assert S.near_copies(df.limit(0)).count() == 0
 
 
+def overlapping(rng, common, own):
+    """Two texts with ``common`` shared five-word shingles and ``own`` more each."""
+    fresh = lambda n: [f"x{rng.randrange(1 << 40)}" for _ in range(n)]
+    base = fresh(common + 4)
+    return " ".join(base + fresh(own)), " ".join(base + fresh(own))
+
+
+def test_likeness_is_checked_on_the_shingles(spark):
+    """80 of 100 and 81 of 101 link; below that none does, however alike the sketches are."""
+    rng = random.Random(4)
+    rows, found, below = [], [], []
+    for i in range(300):
+        common, own = [(80, 10), (160, 20), (78, 11), (70, 15), (74, 13)][i % 5]
+        a, b = overlapping(rng, common, own)
+        rows += [(2 * i, a), (2 * i + 1, b)]
+        (found if common >= 0.8 * (common + 2 * own) else below).append(2 * i + 1)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r["node"]: r["component"] for r in S.near_copies(df).collect()}
+    assert all(got.get(i) == i - 1 for i in found)
+    assert not set(below) & set(got)
+
+
 def test_short_texts_link_by_their_shingles(spark):
     """8 against 9 words share 4 of 5 shingles, 10 against 11 six of seven, 7 against 8 three of four."""
     rng = random.Random(5)
