@@ -19,7 +19,7 @@ def c16(spark, d):
 
 @query("c14_substantial", r"SELECT item_id, length(substr(text, 1, 30)) >= 5 AND (regexp_matches(substr(text, 1, 30), '[=+<>≤≥≠≈≡∈⊂⊆∪∩∫∑∏∇∂⋅×±−_^]') OR length(regexp_replace(substr(text, 1, 30), '[\s,.;:()\[\]{}|−]', '', 'g')) > 0) AS ok FROM benchmark")
 def c14(spark, d):
-    return table(spark, d, "benchmark").select("item_id", M.is_substantial(F.substring("text", 1, 30)).alias("ok"))
+    return table(spark, d, "benchmark").select("item_id", M.is_substantial(F.col("text")).alias("ok"))
 
 
 @query("i9_i10_latex", "SELECT item_id, replace(replace(text, 'Σ', '\\Sigma'), '×', '\\times') AS latex FROM benchmark")
@@ -73,7 +73,7 @@ def j20(spark, d):
 
 @query("j9_similarity_matrix")
 def j9(spark, d):
-    return models.similarity_matrix(table(spark, d, "benchmark").select("item_id", F.substring("text", 1, 300).alias("text")), "item_id", "text")
+    return models.similarity_matrix(table(spark, d, "benchmark").select("item_id", "text"), "item_id", "text")
 
 
 @query("l_model_answers", "SELECT conv_id, turn, length(substr(text, 1, 800)) || ':' || substr(text, 1, 20) AS answer FROM conversations")
