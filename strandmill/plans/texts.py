@@ -23,8 +23,9 @@ def i1(spark, d):
 
 @query("i2_sections", f"SELECT doc_id, 1::BIGINT AS section_no, substr(string_split(trim(text, {WS}), chr(10))[1], 1, 40) AS head, length(CASE WHEN trim(substr(trim(text, {WS}), length(string_split(trim(text, {WS}), chr(10))[1]) + 1), {WS}) = '' THEN trim(text, {WS}) ELSE trim(substr(trim(text, {WS}), length(string_split(trim(text, {WS}), chr(10))[1]) + 1), {WS}) END)::BIGINT AS body_chars FROM documents WHERE NOT regexp_matches(text, '\\n\\n')")
 def i2(spark, d):
-    docs = table(spark, d, "documents").filter(~F.col("text").contains("\n\n"))
-    return docs.select("doc_id", F.posexplode(X.sections(F.col("text"))).alias("p", "s")).select("doc_id", (F.col("p") + 1).cast("long").alias("section_no"), F.col("s.head").alias("head"), F.length("s.body").cast("long").alias("body_chars"))
+    """The SQL leaves out texts with blank lines and null; here they have all their sections, null as an empty text."""
+    t = X.sections(F.coalesce("text", F.lit("")))
+    return table(spark, d, "documents").select("doc_id", F.posexplode(t).alias("p", "s")).select("doc_id", (F.col("p") + 1).cast("long").alias("section_no"), F.col("s.head").alias("head"), F.length("s.body").cast("long").alias("body_chars"))
 
 
 @query("i6_truncate", r"""SELECT doc_id, CASE WHEN length(text) > 1200 THEN substr(text, 1, 1200) || chr(10) || '... (truncated)' ELSE text END AS cut,

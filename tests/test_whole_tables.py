@@ -1,6 +1,7 @@
 """Queries on tables with rows that the shared ones lack."""
 
 import difflib
+import re
 
 from strandmill.plans import QUERIES
 
@@ -22,3 +23,18 @@ def test_the_whole_formula_is_judged(spark, tmp_path):
     benchmark(spark, tmp_path, [", " * 20 + "x = 1", ", " * 20, "(" * 40 + r"\frac{a}{b}"])
     got = {r["item_id"]: r["ok"] for r in QUERIES["c14_substantial"](spark, str(tmp_path)).collect()}
     assert got == {0: True, 1: False, 2: True}
+
+
+def test_every_section_of_a_text_with_blank_lines(spark, tmp_path):
+    texts = ["Head\nbody of one\n\n\nNext\nbody\nof two\n\nAlone", "one\ntwo", None, "", "\n\n \n\n"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r[c] for c in ("doc_id", "section_no", "head", "body_chars")) for r in QUERIES["i2_sections"](spark, str(tmp_path)).collect())
+    want = []
+    for d, text in enumerate(texts):
+        parts = [p.strip() for p in re.split(r"\n{2,}", text or "") if p.strip()]
+        for n, p in enumerate(parts, 1):
+            first, _, rest = p.partition("\n")
+            want.append((d, n, first[:40], len(rest.strip() or p)))
+        if not parts:
+            want.append((d, 1, "全文", 0))
+    assert got == want
