@@ -38,3 +38,10 @@ def test_every_section_of_a_text_with_blank_lines(spark, tmp_path):
         if not parts:
             want.append((d, 1, "全文", 0))
     assert got == want
+
+
+def test_events_find_every_document(spark, tmp_path):
+    spark.createDataFrame([(1, "odd text", "en"), (2, "even text of more than twenty characters", "de"), (4, None, None)], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(10, 1), (11, 2), (12, 3), (13, 4), (14, None)], "event_id long, user_id long").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r["event_id"]: (r["title"], r["language"]) for r in QUERIES["j5_events_all_papers"](spark, str(tmp_path)).collect()}
+    assert got == {10: ("odd text", "en"), 11: ("even text of more th", "de"), 12: ("3", "?"), 13: ("4", "?"), 14: (None, "?")}
