@@ -33,7 +33,8 @@ GENERATORS = {
     "national_id": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
 }
-PART = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
+#: A number of at most 255 with any zeros before it; zeros alone are 0. Hits have a digit in every part.
+PART = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9][0-9]?)?+"
 NEED = {"email": "contains({t}, '@')", "phone": "contains({t}, '+')", "written_email": "(contains({t}, 'at]') OR contains({t}, 'at)') OR contains({t}, ' at ')) AND (contains({t}, 'dot') OR contains({t}, '[at') OR contains({t}, '(at'))"}
 CONTEXT = 40
 WORDS = {

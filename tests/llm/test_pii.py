@@ -39,6 +39,20 @@ def test_base_equals_plain_expressions(spark):
         assert got == base(all_texts[r["doc_id"]]), all_texts[r["doc_id"]][:80]
 
 
+def test_addresses_with_zero_octets(spark):
+    """Parts of zeros alone count as 0; zeros before a number change nothing."""
+    good = ["10.0.0.1", "0.0.0.0", "192.168.0.10", "8.8.8.8", "00.1.2.3", "127.0.0.1", "10.20.30.40", "255.255.255.255", "000.000.000.000", "0255.1.2.3", "1.2.3.0"]
+    bad = ["256.0.0.1", "1.2.3.256", "0256.1.1.1", "1.300.0.0", "1.2.3", "1.1000.1.1"]
+    df = spark.createDataFrame([(t,) for t in good + bad], "text string")
+    got = {r["text"]: [(s["start"], s["kind"], s["end"]) for s in r["pii"]] for r in detect(df).collect()}
+    assert all(got[t] == [(0, 1, len(t))] for t in good) and not any(got[t] for t in bad)
+    rng = random.Random(6)
+    octet = lambda: rng.choice(("0", "00", "000", "0" * rng.randrange(1, 5) + str(rng.randrange(300)), str(rng.randrange(300))))
+    mixed = [" ".join(".".join(octet() for _ in range(rng.randrange(3, 10))) for _ in range(5)) for _ in range(400)]
+    for r in detect(spark.createDataFrame([(t,) for t in mixed], "text string")).collect():
+        assert [(s["start"], s["kind"], s["end"]) for s in r["pii"] if s["base"]] == base(r["text"]), r["text"]
+
+
 def test_very_long_texts(spark):
     """Plain expressions would take hours here; the spans are known."""
     n = 300_000
