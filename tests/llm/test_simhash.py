@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 import xxhash
 from strandmill.llm import simhash as S
 from strandmill.llm.components import components
@@ -196,3 +197,68 @@ def test_spanning_edges_of_sets_equal_brute_force():
                 want = [want[a] if x == want[b] else x for x in want]
     first, other = {}, {}
     assert [first.setdefault(x, i) for i, x in enumerate(label)] == [other.setdefault(x, i) for i, x in enumerate(want)]
+
+
+def grouped(edges):
+    out = {}
+    for r in components(edges).collect():
+        out.setdefault(r["component"], set()).add(r["node"])
+    return sorted(map(sorted, out.values()))
+
+
+def test_long_runs_are_cut_without_loss(spark):
+    """A third of all fingerprints share a segment; with runs cut at 50 rows the components stay as by brute force."""
+    rng = np.random.default_rng(11)
+    low = np.uint64(0x12345678)
+    hot = np.unique((rng.integers(0, 1 << 11, 500).astype(np.uint64) << np.uint64(40)) | low)
+    fps = np.unique(np.concatenate((hot, rng.integers(0, 1 << 63, 900, dtype=np.uint64))))
+    df = spark.createDataFrame([(int(x.view(np.int64)),) for x in fps], "fp long").repartition(7)
+    want = grouped(spark.createDataFrame([(int(fps[a].view(np.int64)), int(fps[b].view(np.int64))) for a, b in S._dense(fps, 3)], "u long, v long"))
+    assert grouped(S.link(df, 3, hot=50)) == want == grouped(S.link(df, 3))
+    named = df.withColumn("node", F.col("fp") * 0 + F.monotonically_increasing_id())
+    assert [len(g) for g in grouped(S.link(named, 3, hot=50))] and sorted(map(len, grouped(S.link(named, 3, hot=50)))) == sorted(map(len, want))
+
+
+def variety(rng, n):
+    """Texts of one stock of words: near copies of a base, of each other, and half copies that are not alike enough."""
+    base = [f"w{i}" for i in range(120)]
+    out = []
+    for i in range(n):
+        t = list(base)
+        for _ in range((0, 1, 2, 3, 9)[i % 5]):
+            t[rng.randrange(len(t))] = f"x{rng.randrange(1 << 30)}"
+        out.append((i, " ".join(t)))
+    return out
+
+
+def test_crowded_runs_and_measures_equal_brute_force(spark):
+    rows = variety(random.Random(12), 150)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    sets = [S.shingles(t.encode()) for _, t in rows]
+    prints = [S.fingerprint(t.encode()) for _, t in rows]
+    for measure in ("jaccard", "cosine"):
+        edges = []
+        for a in range(len(rows)):
+            for b in range(a):
+                both = len(np.intersect1d(sets[a], sets[b]))
+                bar = 0.8 * (len(sets[a]) + len(sets[b]) - both) if measure == "jaccard" else 0.8 * (len(sets[a]) * len(sets[b])) ** 0.5
+                if both >= bar - 1e-9 or bin(prints[a] ^ prints[b]).count("1") <= 3:
+                    edges.append((a, b))
+        want = grouped(spark.createDataFrame(edges, "u long, v long"))
+        for kw in ({}, {"crowd": 12}, {"crowd": 12, "most_sent": 0}):
+            out = {}
+            for r in S.near_copies(df, measure=measure, **kw).collect():
+                out.setdefault(r["component"], set()).add(r["node"])
+            assert sorted(map(sorted, out.values())) == want, (measure, kw)
+
+
+def test_near_copies_with_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a b c d e f", 1, "x"), (2, "a b c d e f", 2, "y")], "doc_id long, text string, id int, fp string").withColumn("run", F.lit(1))
+    assert {tuple(r) for r in S.near_copies(df).collect()} == {(1, 1), (2, 1)}
+
+
+def test_components_of_hubs(spark):
+    """Two hubs with most edges each, above the bound from which a hub is met by a broadcast."""
+    edges = [(0, i) for i in range(1, 1500)] + [(5000, i) for i in range(5001, 6500)] + [(1499, 6400)]
+    got = {r["component"] for r in components(spark.createDataFrame(edges, "u long, v long").repartition(6)).collect()}
+    assert got == {0}
