@@ -229,6 +229,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc: str = "doc_id", si
     least = member.groupBy("component").agg(F.min("least").alias("component_id"), F.sum("n").alias("all"), F.count("*").alias("size"))
     shared = lookup(member.select("fp", "n", "component"), least.filter(F.col("all") > 1).drop("all"), "component", "size", member.count())
     shared = scratch.keep(shared.select("fp", "n", "component_id"), "shared")
+    scratch.drop(classes, member)
     out = lookup(prints, shared, "fp", "n", prints.count(), "left")
     return out.select("doc", "fp", F.coalesce("component_id", "doc").alias("component"))
 
@@ -461,13 +462,16 @@ def near_copies(docs: DataFrame, text: str = "text", doc: str = "doc_id", short:
     sets = scratch.keep(prints.filter("id IS NOT NULL").groupBy("id").agg(F.min("doc").alias("least"), F.count("*").alias("n"), F.first("keys").alias("keys")), "sets")
     dealt = sets.select(F.explode("keys").alias("key"), "id", F.col("least").alias("doc")).repartition(parts, "key").sortWithinPartitions("key", "id")
     met = scratch.keep(dealt.mapInArrow(_meetings, "run long, size long, id long, doc long").distinct(), "met")
+    written = [prints, fps, sets, met]
     asked = scratch.keep(met.select("doc").distinct(), "asked")
+    written.append(asked)
     if asked.count() <= most_sent:
         asked = F.broadcast(asked)
     hashes = rows.join(asked, "doc", "left_semi").select("t").mapInArrow(lambda it: _sets(it, size), "id long, hashes binary").dropDuplicates(["id"])
     big = met.filter(F.col("size") > crowd)
     if big.take(1):
         hashes = scratch.keep(hashes, "hashes")
+        written.append(hashes)
         some, more = _crowded(big, hashes, least, measure, crowd, parts)
         edges += [some, more.repartition(parts, "run").sortWithinPartitions("run").mapInArrow(lambda it: _verified(it, least, measure), "u long, v long")]
     paired = met.filter(F.col("size") <= crowd).join(hashes, "id").select("run", "doc", "hashes").repartition(parts, "run").sortWithinPartitions("run")
@@ -477,4 +481,6 @@ def near_copies(docs: DataFrame, text: str = "text", doc: str = "doc_id", short:
     every = edges[0]
     for e in edges[1:]:
         every = every.unionByName(e)
-    return components(every)
+    out = components(every)
+    scratch.drop(*written)
+    return out
