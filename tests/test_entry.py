@@ -43,4 +43,5 @@ def test_query(spark, db, name):
 def test_contract(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() >= 0
-    assert ("pipeline" in entry.queries()) == os.path.exists(os.path.join(os.path.dirname(entry.__file__), "corpus_pipeline.py"))
+    here = os.path.dirname(entry.__file__)
+    assert ("pipeline" in entry.queries()) == all(os.path.exists(os.path.join(here, f)) for f in ("corpus_pipeline.py", "strandmill/llm/queries.py"))
