@@ -20,8 +20,8 @@ def bound(total: int) -> int:
     return max(LEAST, total // MOST)
 
 
-def lookup(rows: DataFrame, table: DataFrame, key: str, size: str, total: int, how: str = "inner") -> DataFrame:
-    """``rows`` joined with ``table`` by ``key``, which is unique there.
+def lookup(rows: DataFrame, table: DataFrame, key: str | list[str], size: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``table`` by ``key`` (a column or some), which is unique there.
 
     ``size`` is the column of ``table`` that counts the rows of a key among the ``total``
     of ``rows``; it is dropped. ``how`` is inner or left; null keys meet nothing.
