@@ -1,18 +1,24 @@
 """SentencePiece encoding and decoding.
 
 Best path (unigram scoring): a max-plus scan. The state at a boundary is how far the
-piece that covers it reaches beyond, so a chunk of a giant document gives a small matrix
-of best scores from state to state; matrices are combined in order by max-plus products,
-and with the states of the best path each chunk is traced back on its own.
-
-Merges (BPE models): ids of such a model are not a best path, so for it the chunks are
-cut where no piece can cross, which is where two characters meet that stand together in
-no piece, and merged independently by the library. Both ways use these cuts to remember
-units, the strings between two of them.
+piece that covers it reaches beyond, so a chunk of a document gives a small matrix of
+best scores from state to state. The matrices of neighbouring chunks are combined by
+max-plus products in a tree, level by level; from its root the states at all boundaries
+follow downward, and with them each chunk is traced back on its own. A text of one chunk
+has state 0 at both ends and needs no matrix.
+
+No piece crosses a place where two characters meet that stand together in no piece.
+Between two such cuts lies a unit; at a cut the state is 0, so a unit's matrix is a
+single number. Scores and ids of units are remembered, and a chunk's matrix is put
+together from what leads to its first cut, the units, and what follows its last cut.
+
+Merges (BPE models): ids of such a model are not a best path. The library merges the
+units, each of which belongs to the chunk in which it starts.
 """
 
 from __future__ import annotations
 
+import re
 from array import array
 from collections.abc import Iterator
 from functools import cached_property
@@ -25,11 +31,10 @@ from pyspark.sql import functions as F
 from . import scratch
 
 MARK = "▁"
-#: A character that no piece has.
-ALONE = "\ue000"
 #: Fixed value: what a character that no piece covers costs below the least score.
 PENALTY = 10.0
 _MOST = 240_000
+BETWEEN = re.compile(r"(?<=[0-9A-Za-z]) (?=[0-9A-Za-z])")
 _NONE = float("-inf")
 
 
@@ -79,8 +84,9 @@ class Pieces:
         self.score = {self.names[i]: (sp.get_score(i), i) for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))}
         self.unknown = min((s for s, _ in self.score.values()), default=0.0) - PENALTY
         self.reach = max(map(len, self.score), default=1)
-        self.skip = len(sp.encode(ALONE))
-        self.apart = ALONE not in "".join(self.score)
+        used = set("".join(self.score))
+        self.alone = next(c for c in map(chr, range(0xE000, 0xF8FF)) if c not in used)  # a character that no piece has
+        self.skip = len(sp.encode(self.alone))
         self.value = {i: b for b, i in self.bytes.items()}
         self.high = {i for i, b in self.value.items() if b > 127}
         self.shown = [chr(self.value[i]) if self.value.get(i, 255) < 128 else p.replace(MARK, " ") for i, p in enumerate(self.names)]
@@ -171,7 +177,7 @@ class Pieces:
 
     def merge(self, units: list[str]) -> list[bytes]:
         """Ids of the model's own scheme by unit; behind a character that joins nothing the library puts no space mark."""
-        asked = [u[1:].replace(MARK, " ") if u[0] == MARK else ALONE + u.replace(MARK, " ") for u in units]
+        asked = [u[1:].replace(MARK, " ") if u[0] == MARK else self.alone + u.replace(MARK, " ") for u in units]
         own = (self.score[MARK][1],) if MARK in self.score else ()
         got = self.sp.encode(asked, num_threads=1)
         return [array("I", own if u == MARK and own else ids if u[0] == MARK else ids[self.skip :]).tobytes() for u, ids in zip(units, got)]
@@ -179,7 +185,7 @@ class Pieces:
     def learn(self, units: list[str]) -> dict[str, tuple[bytes, bytes, float]]:
         """By unit the ids of the model's scheme, ids and score of the best path; remembered until enough is."""
         paths = [self.path(u) for u in units]
-        merged = self.merge(units) if self.merges and self.apart else [p[0] for p in paths]
+        merged = self.merge(units) if self.merges else [p[0] for p in paths]
         out = {u: (m, *p) for u, m, p in zip(units, merged, paths)}
         if len(self.known) < _MOST:
             self.known.update((u, x) for u, x in out.items() if len(u) <= 64)
@@ -214,8 +220,6 @@ class Pieces:
         if not s:
             return b"", b"", 0.0
         ids, best, scores = zip(*self.resolve(self.units(s)))
-        if self.merges and not self.apart:
-            ids = (array("I", self.sp.encode(s[1:].replace(MARK, " "))).tobytes(),)
         return b"".join(ids), b"".join(best), float(sum(scores))
 
     def encode_best(self, s: str) -> tuple[bytes, float]:
@@ -241,7 +245,17 @@ class Pieces:
             text = "".join(out) + held.decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
-    def transfer(self, s: str, own: int, last: bool) -> np.ndarray:
+    def normal_parts(self, text: str, size: int) -> Iterator[str]:
+        """The normal string of a text in parts, from slices of some ``size`` characters cut before a space between letters or digits."""
+        lead = self.normal("a")
+        at = 0
+        while at < len(text):
+            cut = BETWEEN.search(text, at + size)
+            end = cut.start() if cut else len(text)
+            yield self.normal("a" + text[at:end])[len(lead) :] if at else self.normal(text[:end])
+            at = end
+
+    def plain_transfer(self, s: str, own: int, last: bool) -> np.ndarray:
         """Best scores from state to state over the first ``own`` characters of s, which goes on behind them unless ``last``.
 
         State k: the piece over the boundary ends k characters behind it.
@@ -268,6 +282,31 @@ class Pieces:
         return out
 
 
+    def transfer(self, s: str, own: int, last: bool) -> np.ndarray:
+        """The same matrix by way of the cuts, where there are some."""
+        cuts = self.cuts(s[: own + 1])
+        if last and own:
+            cuts = np.append(cuts, own)
+        if not len(cuts):
+            return self.plain_transfer(s, own, last)
+        first, end = int(cuts[0]), int(cuts[-1])
+        width = self.reach
+        out = np.full((width, width), _NONE)
+        lead = [_NONE] * first + [0.0]  # best score from a place to the first cut
+        for i in reversed(range(first)):
+            lead[i] = max((score + lead[j] for j, score in self.arcs(s[:first], i)), default=_NONE)
+        middle = sum(x[2] for x in self.resolve([s[i:j] for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist())]))
+        span = own - end + (0 if last else width - 1)
+        after = [0.0] + [_NONE] * span  # best score from the last cut on, by pieces that start in this chunk
+        for i in range(own - end):
+            for j, score in self.arcs(s, end + i):
+                if j - end <= span:
+                    after[j - end] = max(after[j - end], after[i] + score)
+        into, beyond = np.array(lead[:width]), np.array(after[own - end :][:width])
+        out[: len(into), : len(beyond)] = into[:, None] + middle + beyond[None, :]
+        return out
+
+
 _models: dict[str, Pieces] = {}
 
 
@@ -283,17 +322,24 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def states(matrices: list[np.ndarray]) -> list[int]:
-    """The state at every boundary of the best path: max-plus products forward, then back from state 0."""
-    width = matrices[0].shape[0]
-    front = np.full(width, _NONE)
-    front[0] = 0.0
+def product(matrices: list[np.ndarray]) -> np.ndarray:
+    """Max-plus product, combined in pairs."""
+    while len(matrices) > 1:
+        pairs = [(a[:, :, None] + b[None]).max(1) for a, b in zip(matrices[::2], matrices[1::2])]
+        matrices = pairs + matrices[len(pairs) * 2 :]
+    return matrices[0]
+
+
+def states(matrices: list[np.ndarray], enter: int = 0, leave: int = 0) -> list[int]:
+    """The state at every boundary of the best path from state ``enter`` to ``leave``."""
+    front = np.full(matrices[0].shape[0], _NONE)
+    front[enter] = 0.0
     steps = []
     for m in matrices:
         ways = front[:, None] + m
         steps.append(ways.argmax(0))
         front = ways.max(0)
-    out = [0]
+    out = [leave]
     for s in reversed(steps):
         out.append(int(s[out[-1]]))
     return out[::-1]
@@ -313,83 +359,122 @@ def _whole(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBa
         yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 6, (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.float64()))], names=["row", "n_ids", "ids", "n_best", "best_ids", "best_score"])
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], path: str, size: int, merged: bool) -> Iterator[pa.RecordBatch]:
-    """(row, i, s, own, last): chunks of normal strings, for merges cut at units, else anywhere and with what a piece may reach into."""
+CHUNK = "row long, i long, s string, own long, skip long, until long, last boolean"
+
+
+def cut_up(m: Pieces, text: str, size: int) -> Iterator[tuple[str, int, int, int, bool]]:
+    """Chunks (s, own, skip, until, last) of ``size`` characters of a normal string; of s the first ``own`` are the chunk's.
+
+    Behind them s goes on as far as a piece or a unit that starts in the chunk may reach.
+    Units of the chunk lie between ``skip`` and ``until``.
+    """
+    parts = m.normal_parts(text, size)
+    buffer, skip, ended = "", 0, False
+
+    def fill(n: int) -> None:
+        nonlocal buffer, ended
+        while len(buffer) < n and not ended:
+            more = next(parts, None)
+            ended, buffer = more is None, buffer + (more or "")
+
+    fill(size + m.reach)
+    while buffer:
+        own = min(size, len(buffer))
+        until = own
+        while own < len(buffer) and not len(at := m.cuts(buffer[own - 1 :])):
+            until = len(buffer)
+            if ended:
+                break
+            fill(len(buffer) + 1)
+        else:
+            until = own - 1 + int(at[0]) if own < len(buffer) else own
+        yield buffer[: max(until, own + m.reach - 1)], own, skip, until, own == len(buffer)
+        skip, buffer = until - own, buffer[own:]
+        fill(size + m.reach)
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], path: str, size: int) -> Iterator[pa.RecordBatch]:
     m = model(path)
     for batch in batches:
         for row, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            s = m.normal(text.as_py() or "")
-            at = i = 0
-            while at < len(s):
-                end = min(len(s), at + size)
-                while merged and end < len(s):
-                    here = m.cuts(s[end - 1 : end + size])
-                    if m.apart and len(here):
-                        end += int(here[0]) - 1
-                        break
-                    end = min(len(s), end + size)
-                own = end - at
-                part = s[at : end + (0 if merged else m.reach - 1)]
-                yield pa.record_batch([pa.array([row], pa.int64()), pa.array([i], pa.int64()), pa.array([part], pa.string()), pa.array([own], pa.int64()), pa.array([end >= len(s)], pa.bool_())], names=["row", "i", "s", "own", "last"])
-                at, i = end, i + 1
+            for i, (s, own, skip, until, last) in enumerate(cut_up(m, text.as_py() or "", size)):
+                yield pa.record_batch([pa.array([x]) for x in (row, i, s, own, skip, until, last)], names=["row", "i", "s", "own", "skip", "until", "last"])
 
 
 def _transfers(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     m = model(path)
     for batch in batches:
-        got = [m.transfer(s, own, last).tobytes() for s, own, last in zip(*(batch.column(c).to_pylist() for c in (2, 3, 4)))]
+        got = [m.transfer(s, own, last).tobytes() for s, own, last in zip(*(batch.column(c).to_pylist() for c in ("s", "own", "last")))]
         yield pa.record_batch([batch.column(0), batch.column(1), pa.array(got, pa.binary())], names=["row", "i", "m"])
 
 
-def _combine(table: pa.Table) -> pa.Table:
+def _matrices(table: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Positions in order, and the matrices of a block in that order."""
     order = np.argsort(table.column("i").to_numpy())
     raw = table.column("m").to_pylist()
     width = int((len(raw[0]) // 8) ** 0.5)
-    found = states([np.frombuffer(raw[k]).reshape(width, width) for k in order])
-    n = len(found) - 1
-    return pa.table({"row": pa.array([table.column("row")[0].as_py()] * n, pa.int64()), "i": pa.array(range(n), pa.int64()), "enter": pa.array(found[:-1], pa.int64()), "leave": pa.array(found[1:], pa.int64())})
+    return order, [np.frombuffer(raw[k]).reshape(width, width) for k in order]
 
 
-def _trace(batches: Iterator[pa.RecordBatch], path: str, merged: bool) -> Iterator[pa.RecordBatch]:
-    m = model(path)
-    for batch in batches:
-        rows, nos, s, own = (batch.column(batch.schema.names.index(c)).to_pylist() for c in ("row", "i", "s", "own"))
-        ids, scores = [], []
-        if merged:
-            ids = [m.encode_merged(x) for x in s]
-            scores = [0.0] * len(ids)
-        else:
-            enter, leave = (batch.column(batch.schema.names.index(c)).to_pylist() for c in ("enter", "leave"))
-            for x, n, a, b in zip(s, own, enter, leave):
-                if a >= n + b:
-                    ids.append(b"")
-                    scores.append(0.0)
-                    continue
-                pieces, score = m.best(x, a, n + b)
-                ids.append(array("I", [y for p in pieces for y in m.ids(p)]).tobytes())
-                scores.append(score)
-        yield pa.record_batch([pa.array(rows, pa.int64()), pa.array(nos, pa.int64()), pa.array(ids, pa.binary()), pa.array(scores)], names=["row", "i", "ids", "score"])
+def _combined(table: pa.Table) -> pa.Table:
+    """The product of a block's matrices."""
+    _, m = _matrices(table)
+    return pa.table({"row": table.column("row")[:1], "i": table.column("block")[:1], "m": pa.array([product(m).tobytes()], pa.binary())})
+
 
+def _resolved(table: pa.Table) -> pa.Table:
+    """The states at the boundaries in a block, of which those at its ends are known."""
+    order, m = _matrices(table)
+    found = states(m, table.column("enter")[0].as_py(), table.column("leave")[0].as_py())
+    return pa.table({"row": table.column("row"), "i": table.column("i").take(pa.array(order)), "enter": pa.array(found[:-1], pa.int64()), "leave": pa.array(found[1:], pa.int64())})
 
-def _joined(parts: DataFrame, name: str) -> DataFrame:
-    whole = parts.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("i", "ids"))).alias("p"), F.sum("score").alias(f"{name}_score"))
-    return whole.select("row", F.expr("unhex(array_join(transform(p, x -> hex(x.ids)), ''))").alias(name), f"{name}_score")
 
+def boundaries(matrices: DataFrame, chunks: int, fan: int) -> DataFrame:
+    """(row, i, enter, leave): states of the best path, by products of ``fan`` matrices upward and their resolution downward.
 
-def encode(docs: DataFrame, text: str = "text", path: str | None = None, giant: int = 1 << 20, chunk: int = 1 << 15) -> DataFrame:
+    ``chunks`` is the largest number of chunks of a row; there are log(chunks) / log(fan) levels.
+    """
+    blocks = F.expr(f"i div {fan}").alias("block")
+    levels, most = [matrices], chunks
+    while most > fan:
+        up = levels[-1].select("row", "i", "m", blocks).groupBy("row", "block").applyInArrow(_combined, "row long, i long, m binary")
+        levels.append(scratch.keep(up, "products"))
+        most = -(-most // fan)
+    known = levels[-1].select("row", F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("enter"), F.lit(0).cast("long").alias("leave")).distinct()
+    for level in reversed(levels):
+        down = level.select("row", "i", "m", blocks).join(known, ["row", "block"]).groupBy("row", "block").applyInArrow(_resolved, "row long, i long, enter long, leave long")
+        known = down.withColumnRenamed("i", "block")
+    return known.withColumnRenamed("block", "i")
+
+
+def _trace(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    """Ids of the units of a chunk, and ids and score of its part of the best path."""
+    m = model(path)
+    for batch in batches:
+        ids, best, scores = [], [], []
+        for s, own, skip, until, a, b in zip(*(batch.column(batch.schema.names.index(c)).to_pylist() for c in ("s", "own", "skip", "until", "enter", "leave"))):
+            ids.append(m.encode_merged(s[skip:until]) if m.merges else b"")
+            raw, score = m.encode_best(s[a : own + b]) if a < own + b else (b"", 0.0)
+            best.append(raw)
+            scores.append(score)
+        yield pa.record_batch([*(batch.column(batch.schema.names.index(c)) for c in ("row", "i")), pa.array(ids, pa.binary()), pa.array(best, pa.binary()), pa.array(scores, pa.float64())], names=["row", "i", "ids", "best_ids", "score"])
+
+
+def encode(docs: DataFrame, text: str = "text", path: str | None = None, chunk: int = 1 << 15, fan: int = 16) -> DataFrame:
     """Columns of ``docs`` but the text, and ids, n_ids (the model's scheme), best_ids, n_best, best_score (the best path).
 
-    Ids are little-endian unsigned 32-bit numbers. Texts of more than ``giant`` characters
-    are dealt out in chunks of ``chunk``. A null or empty text has no ids and score 0.
-    Repeated rows are encoded alike; columns of these names are replaced, others pass
-    through. An empty table gives an empty table.
+    Ids are little-endian unsigned 32-bit numbers. A text of more than ``chunk`` characters
+    is dealt out in chunks of that size, however long it is; its ids come together in one
+    row at the end. A null or empty text has no ids and score 0. Of paths of equal score any
+    may be given. Repeated rows are encoded alike; columns of these names are replaced,
+    others pass through. An empty table gives an empty table.
     """
     path = path or piece_model()
     others = [c for c in docs.columns if c not in (text, "ids", "n_ids", "best_ids", "n_best", "best_score")]
     kind = docs.schema
     from pyspark.sql import types as T
 
-    small = docs.filter(F.coalesce(F.length(text), F.lit(0)) <= giant)
+    small = docs.filter(F.coalesce(F.length(text), F.lit(0)) <= chunk)
 
     def direct(it):
         for batch in (whole.slice(k, 500) for whole in it for k in range(0, whole.num_rows, 500)):
@@ -400,29 +485,29 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, giant:
 
     tail = [T.StructField("n_ids", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("n_best", T.LongType()), T.StructField("best_ids", T.BinaryType()), T.StructField("best_score", T.DoubleType())]
     out = small.mapInArrow(direct, T.StructType([kind[c] for c in others] + tail))
-    large = docs.filter(F.length(text) > giant)
+    large = docs.filter(F.length(text) > chunk)
     if not large.take(1):
         return out
-    large = scratch.keep(large.withColumn("__row", F.monotonically_increasing_id()), "giant")
-    rows = large.select(F.col("__row").alias("row"), F.col(text).alias("t"))
-    cut = "row long, i long, s string, own long, last boolean"
+    large = scratch.keep(large.select(F.struct(*others).alias("__others"), F.col(text).alias("__t"), F.monotonically_increasing_id().alias("row")), "large")
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    chunks = scratch.keep(rows.mapInArrow(lambda it: _chunks(it, path, chunk, False), cut).repartition(parts, "row", "i"), "chunks")
-    transfers = chunks.mapInArrow(lambda it: _transfers(it, path), "row long, i long, m binary")
-    at = transfers.groupBy("row").applyInArrow(_combine, "row long, i long, enter long, leave long")
-    best = _joined(chunks.join(at, ["row", "i"]).mapInArrow(lambda it: _trace(it, path, False), "row long, i long, ids binary, score double"), "best_ids")
-    if model(path).merges:
-        units = rows.mapInArrow(lambda it: _chunks(it, path, chunk, True), cut).repartition(parts, "row", "i")
-        own = _joined(units.mapInArrow(lambda it: _trace(it, path, True), "row long, i long, ids binary, score double"), "ids")
-    else:
-        own = best.select("row", F.col("best_ids").alias("ids"))
-    both = large.select(*others, "__row").join(best, F.col("__row") == best["row"]).drop("row").join(own, F.col("__row") == own["row"])
+    chunks = scratch.keep(large.select("row", "__t").mapInArrow(lambda it: _chunks(it, path, chunk), CHUNK).repartition(parts, "row", "i"), "chunks")
+    matrices = scratch.keep(chunks.mapInArrow(lambda it: _transfers(it, path), "row long, i long, m binary"), "matrices")
+    at = boundaries(matrices, (chunks.agg(F.max("i")).first()[0] or 0) + 1, fan)
+    traced = chunks.join(at, ["row", "i"]).mapInArrow(lambda it: _trace(it, path), "row long, i long, ids binary, best_ids binary, score double")
+    along = lambda c: F.expr(f"coalesce(listagg({c}) WITHIN GROUP (ORDER BY i), X'')").alias(c)
+    found = traced.groupBy("row").agg(along("ids"), along("best_ids"), F.sum("score").alias("best_score"))
     count = lambda c: (F.octet_length(c) / 4).cast("long")
-    return out.unionByName(both.select(*others, count("ids").alias("n_ids"), "ids", count("best_ids").alias("n_best"), "best_ids", F.col("best_ids_score").alias("best_score")))
+    own = "ids" if model(path).merges else "best_ids"
+    both = large.select("__others", "row").join(found, "row", "left").select("__others.*", count(own).alias("n_ids"), F.col(own).alias("ids"), count("best_ids").alias("n_best"), "best_ids", "best_score")
+    return out.unionByName(both)
 
 
 def decode(encoded: DataFrame, ids: str = "ids", path: str | None = None, to: str = "text") -> DataFrame:
-    """``encoded`` with the text of its ids; null ids give an empty text."""
+    """``encoded`` with the text of its ids; null ids give an empty text.
+
+    Repeated rows are decoded alike, texts of any length whole; a column called as ``to`` is
+    replaced, others pass through. An empty table gives an empty table.
+    """
     path = path or piece_model()
     from pyspark.sql import types as T
 

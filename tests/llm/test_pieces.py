@@ -2,7 +2,8 @@ from array import array
 
 import numpy as np
 import sentencepiece
-from strandmill.llm.pieces import decode, encode, model, piece_model, states
+from strandmill.llm import pieces
+from strandmill.llm.pieces import cut_up, decode, encode, model, piece_model, product, states
 
 ODD = ["a", "  hello   world\n\tü  x", " ", "   ", "日本語 🎉 x", "\n\n a", "x" * 300, " a b", "aa  bb" * 50, "\x01 \x02"]
 
@@ -78,10 +79,56 @@ def test_giant_documents_and_round_trip(spark):
     df = spark.createDataFrame([(i % 40, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, ids string").repartition(3)
     m = model(piece_model())
     small = {(r["doc_id"], r["text"]): r for r in decode(encode(df)).collect()}
-    large = {(r["doc_id"], r["text"]): r for r in decode(encode(df, giant=50, chunk=64)).collect()}
+    large = {(r["doc_id"], r["text"]): r for r in decode(encode(df, chunk=64, fan=2)).collect()}
     assert set(small) == set(large) == {(i % 40, t or "") for i, t in enumerate(texts)}
     for k, r in small.items():
         assert r["ids"] == large[k]["ids"] and r["n_ids"] * 4 == len(r["ids"])
         assert abs(r["best_score"] - large[k]["best_score"]) <= 1e-6 * abs(r["best_score"])
         assert list(array("I", r["ids"])) == m.sp.encode(k[1])
     assert encode(df.limit(0)).count() == 0
+
+
+def test_parts_of_the_normal_string(spark):
+    m = model(piece_model())
+    for t in docs(spark)[:15] + ODD + ["ab cd " * 40, "é a b. c d  e f\n g h"]:
+        for size in (1, 5, 64):
+            assert "".join(m.normal_parts(t, size)) == m.normal(t)
+            s, own, skips = m.normal(t), [], []
+            for part, n, skip, until, last in cut_up(m, t, size):
+                at = sum(own)
+                assert s[at : at + len(part)] == part and last == (at + n == len(s)) and skip <= until
+                skips.append(part[skip:until])
+                own.append(n)
+            assert sum(own) == len(s) and "".join(skips) == s
+
+
+def test_matrices_by_cuts_equal_plain_ones_and_combine_in_any_order(spark):
+    m = model(piece_model())
+    for t in docs(spark)[:6] + ODD:
+        s = m.normal(t)[:700]
+        for size in (1, 7, 90):
+            plain, cuts = [], []
+            for a in range(0, len(s), size):
+                n = min(size, len(s) - a)
+                part, last = s[a : a + n + m.reach - 1], a + n >= len(s)
+                plain.append(m.plain_transfer(part, n, last))
+                short = m.transfer(part, n, last)  # knows also that no piece enters across a cut
+                assert np.array_equal(short[np.isfinite(short)], plain[-1][np.isfinite(short)])
+                cuts.append(short)
+            if plain:
+                left = plain[0]
+                for x in plain[1:]:
+                    left = product([left, x])
+                assert np.array_equal(left, product(plain)) and left[0, 0] == product(cuts)[0, 0] == m.best(s)[1]
+
+
+def test_long_texts_go_by_their_matrices(spark, monkeypatch):
+    """Of a text above one chunk neither the whole path is searched nor is anything found without matrices."""
+    df = spark.createDataFrame([(1, "some words and more of them " * 3000)], "doc_id long, text string")
+    whole = encode(df, chunk=1 << 20).first()
+    seen = []
+    real = pieces.boundaries
+    monkeypatch.setattr(pieces, "boundaries", lambda matrices, chunks, fan: seen.append((matrices.count(), chunks)) or real(matrices, chunks, fan))
+    assert encode(df, chunk=1 << 20).first() == whole and not seen
+    cut = encode(df).first()
+    assert seen == [(3, 3)] and (cut["ids"], cut["best_score"], cut["n_best"]) == (whole["ids"], whole["best_score"], whole["n_best"])
