@@ -9,8 +9,9 @@ Three passes over the texts, none of which shuffles a text:
    counted exactly;
 3. the confirmed keys, with the document that keeps them, are applied.
 
-The filters have a fixed upper size (``max_bits``). Beyond the size they were meant
-for they only let more suspects through; the exact count decides. The confirmed keys
+The filters have a fixed upper size (``max_bits``), full at some 2.8 million documents.
+Beyond it they let more suspects through, up to all keys (24 bytes each, three of a key
+per task at most); the exact count decides, and the cost stays in proportion to the lines. The confirmed keys
 are sent to the tasks while they are at most ``max_sent`` (24 bytes each), and joined
 by document beyond that.
 """
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import scratch
+from .skew import lookup
 
 BLOCK = 1 << 16
 SPACE = b" \t\n\x0b\x0c\r"
@@ -230,7 +232,8 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc: str = "doc_id", min_ch
         order = np.argsort(k1.view(np.uint64), kind="stable")
         sent = spark.sparkContext.broadcast((k1.view(np.uint64)[order], k2.view(np.uint64)[order], keep[order]))
         return wide.mapInArrow(lambda it: _apply(it, text, doc, min_chars, sent, None), out)
-    every = pairs.mapInArrow(lambda it: _suspects(it, min_chars, bits, None, shared), "k1 long, k2 long, doc long")
-    lost = every.join(confirmed, ["k1", "k2"]).filter("doc <> keep").groupBy(F.col("doc").alias("__doc")).agg(F.collect_set(F.struct("k1", "k2")).alias("__drops"))
+    every = scratch.keep(pairs.mapInArrow(lambda it: _suspects(it, min_chars, bits, None, shared), "k1 long, k2 long, doc long"), "suspects")
+    sized = confirmed.join(every.groupBy("k1", "k2").agg(F.count("*").alias("rows")), ["k1", "k2"])
+    lost = lookup(every, sized, ["k1", "k2"], "rows", every.count()).filter("doc <> keep").groupBy(F.col("doc").alias("__doc")).agg(F.collect_set(F.struct("k1", "k2")).alias("__drops"))
     joined = wide.join(lost, wide[doc].cast("long") == lost["__doc"], "left").drop("__doc")
     return joined.mapInArrow(lambda it: _apply(it, text, doc, min_chars, None, "__drops"), out)
