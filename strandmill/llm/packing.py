@@ -4,7 +4,8 @@ Best fit decreasing runs over at most ``capacity`` (length, count) pairs on the
 driver; its plan is a few thousand segments whatever the corpus: pieces of one length
 with ranks in a range go, k to a sequence, behind each other into consecutive
 sequences. Pieces then take their slots by joining on the rank within their length.
-Ranks are dealt within (length, salt), so that a common length is no hot key.
+Ranks are dealt within (length, salt), with as many salts as the histogram says that a
+length needs, so that a common length is no hot key.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ from pyspark.sql import functions as F
 
 from . import scratch
 
-SALTS = 64
+#: So many pieces of one length are ranked by one task.
+RANKED = 100_000
 _MOST_STRINGS = 150_000
 _MOST_WORDS = 250_000
 #: Byte-level models write each byte as one character: itself where it is printable, else the next one from 256 on.
@@ -171,13 +173,14 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int,
     return out
 
 
-def assign(parts: DataFrame, capacity: int = 2048, salts: int = SALTS) -> DataFrame:
-    """``parts`` (doc_id, piece, length, ...) with sequence_id and offset."""
+def assign(parts: DataFrame, capacity: int = 2048, ranked: int = RANKED) -> DataFrame:
+    """``parts`` (doc_id, piece, start, length, ids_crc32, ...) with sequence_id and offset; lengths over some ``ranked`` pieces are dealt to as many tasks as they need."""
     spark = parts.sparkSession
     counted = {int(r["length"]): int(r["n"]) for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}
     rows = plan(counted, capacity)
     plans = spark.createDataFrame(rows or [(0, 0, 0, 0, 1, 0)], "p_length long, p_rank long, p_n long, p_first long, p_each long, p_offset long")
-    salted = parts.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
+    salts = F.array(*[F.lit(-(-counted.get(k, 1) // ranked)).cast("long") for k in range(capacity + 1)])
+    salted = parts.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.get(salts, F.col("length").cast("int"))))
     by = Window.partitionBy("length", "__salt")
     counts = salted.groupBy("length", "__salt").agg(F.count("*").alias("n"))
     before = counts.select("length", "__salt", (F.sum("n").over(Window.partitionBy("length").orderBy("__salt").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("__before"))

@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from strandmill.llm.packing import coder, pack, plan, word_tokenizer
+from strandmill.llm.packing import assign, coder, pack, pieces, plan, word_tokenizer
 
 
 @settings(max_examples=60, deadline=None)
@@ -54,3 +54,15 @@ def test_pack(spark):
 def test_empty_table_and_clashing_columns(spark):
     df = spark.createDataFrame([(1, "a b", 5, 6)], "doc_id long, text string, length int, sequence_id int")
     assert pack(df).first()["length"] == 3 and pack(df.limit(0)).count() == 0
+
+
+def test_common_lengths_are_ranked_by_several_tasks(spark):
+    """With eight pieces to a task the places are still gapless and the sequences as few."""
+    rows = [(i, "cat " * (3 if i % 3 else 2500)) for i in range(300)] + [(None, "cat")] * 40
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    parts = pieces(df)
+    out, whole = (assign(parts, ranked=k).toPandas() for k in (8, 10**6))
+    for x in (out, whole):
+        s = x.sort_values(["sequence_id", "offset"])
+        assert ((s.groupby("sequence_id").length.cumsum() - s.length) == s.offset).all() and s.groupby("sequence_id").length.sum().max() <= 2048
+    assert out.sequence_id.nunique() == whole.sequence_id.nunique() and len(out) == len(whole) == 300 + 40 + 100
