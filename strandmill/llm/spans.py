@@ -174,6 +174,19 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+def _tops(batches: Iterator[pa.RecordBatch], bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(range, top): the largest id of this task in each range."""
+    top: dict[int, int] = {}
+    for batch in batches:
+        keys = batch.column(0).to_numpy(zero_copy_only=False)
+        part = np.searchsorted(bounds, keys, side="right")
+        order = np.lexsort((keys, part))
+        last = np.flatnonzero(np.diff(part[order], append=-1))
+        for p, k in zip(part[order][last].tolist(), keys[order][last].tolist()):
+            top[p] = max(top.get(p, k), k)
+    yield pa.record_batch([pa.array(list(top), pa.int32()), pa.array(list(top.values()), pa.int64())], names=["range", "top"])
+
+
 def _deal(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     """Rows by range of id; the first document of a range also goes to the range before as a guest."""
     bounds, guests = shared.value  # guests: id -> part
@@ -238,10 +251,9 @@ def fingerprints(docs: DataFrame, text: str = "text", doc: str = "doc_id") -> Da
     cuts = ids.select(F.col("key").cast("double").alias("key")).approxQuantile("key", [i / (4 * parts) for i in range(1, 4 * parts)], 0.1 / (4 * parts))
     bounds = np.unique(np.array([int(c) for c in cuts], np.int64))
     # at most 4 x parts ranges: the largest id of each
-    edges = F.array(*[F.lit(int(b)) for b in bounds])
     heads = {}
-    found = ids.groupBy(F.expr("0").alias("_") if not len(bounds) else F.size(F.filter(edges, lambda b: b <= F.col("key"))).alias("_")).agg(F.max("key").alias("top")).collect()
-    ranges = sorted(((r["_"], r["top"]) for r in found), reverse=True)
+    found = ids.mapInArrow(lambda it: _tops(it, bounds), "range int, top long").groupBy("range").agg(F.max("top").alias("top")).collect()
+    ranges = sorted(((r["range"], r["top"]) for r in found), reverse=True)
     for (_, top), (to, _) in zip(ranges, [ranges[-1], *ranges[:-1]]):
         heads[top] = to
     shared = spark.sparkContext.broadcast((bounds, heads))

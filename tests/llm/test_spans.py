@@ -56,3 +56,9 @@ def test_one_row_null_ids_and_empty(spark):
     df = spark.createDataFrame([(None, "abcd"), (None, "abcd"), (2, "xyz"), (2, "xyz")], "doc_id long, text string")
     assert fingerprints(df).count() == 4
     assert fingerprints(df.limit(0)).count() == 0
+
+
+def test_clashing_columns_and_repeated_rows(spark):
+    df = spark.createDataFrame([(1, "abcd", "k", 1, True), (1, "abcd", "k", 1, True), (2, "xyzw", "l", 2, False)], "doc_id long, text string, key string, part int, guest boolean")
+    got = sorted((r["doc_id"], r["n_chars"]) for r in fingerprints(df.withColumn("top", df.part).withColumn("fingerprint", df.key)).collect())
+    assert got == [(1, 4), (1, 4), (2, 4)]
