@@ -87,3 +87,30 @@ def test_empty_table_and_clashing_columns(spark):
     df = spark.createDataFrame([("a@b.co", "x", 1)], "text string, pii string, email int")
     r = detect(df).first()
     assert len(r["pii"]) == 1 and r["email"] == 1 and detect(df.limit(0)).count() == 0
+
+
+def test_recall_and_precision_on_forms_of_their_own(spark):
+    """Sentences that the made examples do not have; what no context gives away may be missed, data alike in form may not be touched."""
+    yes = {
+        "written_email": ["You can mail: jane.doe at example dot com", "contact jane (at) example (dot) org", "her address: j_smith {at} mail {dot} example {dot} net", "write to bob<at>example.com", "please contact max.muster [at] firma [dot] de"],
+        "local_phone": ["call me on 030 1234567", "mobile 0176 12345678 after six", "phone 020 7946 0958.", "fax: (555) 123-4567", "tel 555.123.4567", "ring 01761234567 any time", "reach us: 0221/998877"],
+        "national_id": ["social security number 123-45-6789", "ssn: 219 09 9999", "taxpayer id 457554462"],
+        "iban": ["IBAN DE89 3704 0044 0532 0130 00", "transfer it to GB82WEST12345698765432", "account FR1420041010050500013M02606", "NL91 ABNA 0417 1643 00 is the account"],
+    }
+    no = ["we looked at paris. Then we left", "arrived at home. And slept", "a meeting at noon. Com was late", "between 1914 and 1918 there were", "the years 1939 1945 and", "chapter 12.34.5678 of the code", "page 123-456-7890", "pixel 1920 1080", "order 123-45-6789", "serial DE00 3704 0044 0532 0130 01", "date 12-31-1999", "score 12-10 and 21-19", "census 2010 308745 people", "3.14159 26535"]
+    rows = [(k, t) for k, ts in yes.items() for t in ts] + [("", t) for t in no]
+    got = {r["text"]: [KINDS[s["kind"]] for s in r["pii"]] for r in detect(spark.createDataFrame(rows, "k string, text string")).collect()}
+    hits = [(k, t) for k, t in rows if k and k in got[t]]
+    missed = [(k, t, got[t]) for k, t in rows if k and k not in got[t]]
+    wrong = [(t, got[t]) for k, t in rows if not k and got[t]]
+    assert len(hits) >= 0.85 * sum(map(len, yes.values())), missed
+    assert not wrong, wrong
+
+
+def test_overlapping_candidates(spark):
+    """Digits in an account number are no phone number; a base span within a longer candidate stays."""
+    rows = ["iban DE89 3704 0044 0532 0130 00 please", "call 030 1234567, 030 7654321", "mail a@b.co or call (555) 123-4567"]
+    got = {r["text"]: [(KINDS[s["kind"]], r["text"][s["start"] : s["end"]]) for s in r["pii"] if not s["base"]] for r in detect(spark.createDataFrame([(t,) for t in rows], "text string")).collect()}
+    assert got[rows[0]] == [("iban", "DE89 3704 0044 0532 0130 00")]
+    assert got[rows[1]] == [("local_phone", "030 1234567"), ("local_phone", "030 7654321")]
+    assert got[rows[2]] == [("local_phone", "(555) 123-4567")]
