@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+from pyspark.sql import functions as F
 from strandmill.llm.chat import END, START, digests, read_back, windows
 
 
@@ -53,3 +54,34 @@ def test_no_python_in_the_plan_and_empty_table(spark):
     out = digests(read_back(windows(df)))
     assert not re.search("Python|Pandas|Arrow", out._jdf.queryExecution().executedPlan().toString())
     assert windows(df.limit(0)).count() == 0
+
+
+def test_budget_holds_and_nothing_is_repeated_beyond_it(spark):
+    """Turns of all lengths: only a turn that is longer than the budget exceeds it, and then goes without history."""
+    rng = random.Random(7)
+    data, size = [], {}
+    for c in range(40):
+        for t in range(rng.randrange(1, 80)):
+            role = "system" if t == 0 and c % 2 else ("user", "assistant")[t % 2]
+            n = rng.choice((1, 5, 30, 80, 150, 260, 900))
+            data.append((c, t, role, f"{t} " + "y" * n, n, "z"))
+            size[c, t] = n
+    df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string, tok long, win string").repartition(4)
+    out = windows(df, fresh=250, history=50, count="tok").collect()
+    over = [w for w in out if w["n_tokens"] > 300]
+    for w in over:
+        assert w["n_turns"] - w["n_repeated"] == 1 and w["n_repeated"] <= 1
+        assert w["n_tokens"] >= 260
+    new = {}
+    for w in sorted(out, key=lambda w: (w["conv_id"], w["window"])):
+        turns = [p.split("\n")[1].split()[0] for p in w["formatted"].split(START)[1:]]
+        new.setdefault(w["conv_id"], []).extend(int(t) for t in turns[w["n_repeated"] :])
+        if w["conv_id"] % 2 and size[w["conv_id"], 0] <= 150:
+            assert turns[0] == "0"
+    assert all(v == list(range(len(v))) for v in new.values()) and sum(map(len, new.values())) == len(data)
+    assert sum(w["n_repeated"] for w in out) > len(out) / 3 and len(over) < len(out) / 2
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, 0, "user", "a", "q", 5), (1, 1, "assistant", "b", "q", 5)], "conv_id long, turn long, role string, text string, k string, n int").withColumn("window", F.lit(3)).withColumn("cell", F.lit(3))
+    assert [(r["n_turns"], r["loss_chars"]) for r in digests(read_back(windows(df))).collect()] == [(2, 1)]
