@@ -164,13 +164,20 @@ def to_markdown(html: Column) -> Column:
     return squeeze(strip_tags(out))
 
 
-def english_ratio(p: Column) -> tuple[Column, Column]:
-    """(share of ASCII letters, number of ideographs), without mathematics, placeholders and tags."""
-    for pattern in (r"(?s)\$\$.*?\$\$", r"\$[^$\n]*?\$", r"◈[A-Z]+_\d+◈", r"</?[^>]+>"):
-        p = F.regexp_replace(p, pattern, "")
-    size = F.length(strip(p))
-    ratio = F.when(size == 0, F.lit(0.0)).otherwise(F.regexp_count(p, F.lit("[a-zA-Z]")) / size)
-    return ratio, F.when(size == 0, F.lit(0)).otherwise(F.regexp_count(p, F.lit(CJK_WIDE)))
+def english_ratio(p: Column) -> Column:
+    """(ratio, cjk): share of ASCII letters and number of ideographs, without mathematics, placeholders and tags."""
+
+    def plain(q: Column) -> Column:
+        for pattern in (r"(?s)\$\$.*?\$\$", r"\$[^$\n]*?\$", r"◈[A-Z]+_\d+◈", r"</?[^>]+>"):
+            q = F.regexp_replace(q, pattern, "")
+        return q
+
+    def measured(q: Column) -> Column:
+        size = F.length(strip(q))
+        ratio = F.when(size == 0, F.lit(0.0)).otherwise(F.regexp_count(q, F.lit("[a-zA-Z]")) / size)
+        return F.struct(ratio.alias("ratio"), F.when(size == 0, F.lit(0)).otherwise(F.regexp_count(q, F.lit(CJK_WIDE))).alias("cjk"))
+
+    return bound(F.when(p.rlike("[$◈<]"), plain(p)).otherwise(p), measured)
 
 
 def language(text: Column) -> Column:

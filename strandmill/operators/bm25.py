@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..sources import shared
 
 K1, B = 1.5, 0.75
 WORD = r"[\p{L}\p{N}_]"
@@ -31,6 +32,11 @@ class Index:
         stats = lengths.agg(F.count("*").alias("n"), (F.sum("doc_len") / F.greatest(F.lit(1), F.count("*"))).alias("avgdl"))
         return Index(postings, lengths, stats)
 
+    def written(self) -> Index:
+        """The same index as tables, the postings dealt and sorted by term, so that a search reads only the terms it asks for."""
+        dealt = self.postings.repartition("term").sortWithinPartitions("term")
+        return Index(shared.keep(dealt, "postings"), shared.keep(self.lengths, "lengths"), shared.keep(self.stats, "stats"))
+
     def terms(self) -> DataFrame:
         """df(term): the documents that hold it."""
         return self.postings.groupBy("term").agg(F.count("*").alias("df"))
@@ -49,6 +55,7 @@ def score(docs: DataFrame, query: str, doc: str = "doc_id", text: str = "text",
     names = sorted(wanted)
     low = docs.select(F.col(doc).alias("doc"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("low"))
     t = low.select("doc", F.regexp_count("low", F.lit(WORD + "++")).alias("len"), *[F.regexp_count("low", F.lit(f"{w}(?<!{WORD}{w})(?!{WORD})")).alias(f"tf{i}") for i, w in enumerate(names)])
+    t = shared.keep(t, "counts")  # a few numbers a document; the texts are read once
     totals = t.agg(F.count("*").alias("n"), F.sum("len").alias("all"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(names))])
     hit = t.filter(" OR ".join(f"tf{i} > 0" for i in range(len(names)))).crossJoin(F.broadcast(totals))
     avgdl = F.col("all") / F.greatest(F.lit(1), F.col("n"))

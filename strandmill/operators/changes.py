@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -55,3 +55,15 @@ def first_seen(rows: DataFrame, form: str, order: str) -> DataFrame:
     """Distinct by ``form``; of equal ones the first in ``order``."""
     cols = [c for c in rows.columns if c != form]
     return rows.groupBy(form).agg(F.min_by(F.struct(*cols), order).alias("r")).select(form, "r.*").select(*rows.columns)
+
+
+def line_ages(changes: DataFrame, file: str, line: str, at: str, now: Column) -> DataFrame:
+    """(file, line, changed, age_days): when each line of a file was last changed, and how many days ago."""
+    last = changes.groupBy(file, line).agg(F.max(at).alias("changed"))
+    return last.withColumn("age_days", F.datediff(now, F.col("changed")))
+
+
+def expire(updates: DataFrame, key: str, at: str, value: str, now: Column, minutes: int = 10) -> DataFrame:
+    """The last value of every key that was updated within ``minutes`` before ``now``."""
+    last = updates.groupBy(key).agg(F.max_by(value, at).alias(value), F.max(at).alias(at))
+    return last.filter(F.unix_micros(now) - F.unix_micros(F.col(at).cast("timestamp")) <= minutes * 60_000_000)

@@ -32,14 +32,15 @@ def hashed_counts(tokens: Column, dim: int) -> Column:
 
 
 def fuse(lexical: DataFrame, dense: DataFrame, key: str, weights: tuple[float, float] = (0.3, 0.7)) -> DataFrame:
-    """(key, score): both scores scaled to their range (0.001 at least), a missing one being 0 before it is scaled."""
-
-    def ranged(df: DataFrame, name: str) -> DataFrame:
-        return df.agg(F.coalesce(F.min("score"), F.lit(0.0)).alias(f"{name}_low"), F.coalesce(F.max("score"), F.lit(1.0)).alias(f"{name}_high"))
+    """(key, score): both scores scaled to their range (0.001 at least), a missing one being 0 before it is scaled.
 
+    Both are candidates of a search, a few rows, so their ranges are taken in one window and neither is planned twice.
+    """
     both = lexical.withColumnRenamed("score", "a").join(dense.withColumnRenamed("score", "b"), key, "full_outer")
-    both = both.crossJoin(F.broadcast(ranged(lexical, "a"))).crossJoin(F.broadcast(ranged(dense, "b")))
-    part = lambda n: (F.coalesce(F.col(n), F.lit(0.0)) - F.col(f"{n}_low")) / F.greatest(F.col(f"{n}_high") - F.col(f"{n}_low"), F.lit(0.001))
+    every = Window.partitionBy(F.lit(0))
+    low = lambda n: F.coalesce(F.min(n).over(every), F.lit(0.0))
+    high = lambda n: F.coalesce(F.max(n).over(every), F.lit(1.0))
+    part = lambda n: (F.coalesce(F.col(n), F.lit(0.0)) - low(n)) / F.greatest(high(n) - low(n), F.lit(0.001))
     return both.select(key, (weights[0] * part("a") + weights[1] * part("b")).alias("score"))
 
 

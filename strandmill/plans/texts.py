@@ -134,8 +134,8 @@ _PLAIN = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(line, '(?
 
 @query("g14_english_ratio", rf"SELECT doc_id, line_no::BIGINT AS line_no, round(CASE WHEN length(trim(p, {WS})) = 0 THEN 0.0 ELSE len(regexp_extract_all(p, '[a-zA-Z]')) / length(trim(p, {WS})) END, 6) AS ratio, (CASE WHEN length(trim(p, {WS})) = 0 THEN 0 ELSE len(regexp_extract_all(p, '[\x{{4e00}}-\x{{9fff}}\x{{3400}}-\x{{4dbf}}]')) END)::BIGINT AS cjk FROM (SELECT doc_id, line_no, {_PLAIN} AS p FROM ({LINES}))")
 def g14(spark, d):
-    ratio, cjk = X.english_ratio(F.col("line"))
-    return exploded(spark, d).select("doc_id", "line_no", F.round(ratio, 6).alias("ratio"), cjk.cast("long").alias("cjk"))
+    e = exploded(spark, d).select("doc_id", "line_no", X.english_ratio(F.col("line")).alias("e"))
+    return e.select("doc_id", "line_no", F.round("e.ratio", 6).alias("ratio"), F.col("e.cjk").cast("long").alias("cjk"))
 
 
 @query("g17_dollars", r"SELECT doc_id, len(regexp_extract_all(text, '\$\$'))::BIGINT AS pairs, len(regexp_extract_all(text, '\$'))::BIGINT AS marks FROM documents")

@@ -70,3 +70,33 @@ def page_range(spec: Column, pages: Column) -> Column:
     last = F.coalesce(F.nullif(F.split_part(spec, F.lit("-"), F.lit(2)), F.lit("")).try_cast("int"), first)
     low = F.greatest(F.lit(0), first - 1)
     return F.struct(low.alias("first"), F.least(pages - 1, last - 1).alias("last"))
+
+
+#: Endings that are read as text, and those of images; a text is cut at so many characters.
+TEXTS = ("txt", "md", "csv", "json", "xml", "html", "htm", "log", "yaml", "yml", "toml", "ini", "cfg")
+IMAGES = ("png", "jpg", "jpeg", "gif", "webp")
+MOST = 200_000
+
+
+def document_text(path: Column, content: Column, most: int = MOST) -> Column:
+    """The text of a file by its ending: UTF-8, or Latin-1 where that fails, cut at ``most`` characters with a remark; the name of an image; null for other kinds."""
+    ending = F.lower(F.regexp_extract(path, r"\.([^./\\]+)$", 1))
+    raw = content.cast("string")
+    text = F.when(F.is_valid_utf8(raw), raw).otherwise(F.decode(content, "ISO-8859-1"))
+    cut = F.when(F.length(text) <= most, text).otherwise(F.concat(F.left(text, F.lit(most)), F.format_string("... (truncated, %d chars total)", F.length(text))))
+    return F.when(ending.isin(*TEXTS), cut).when(ending.isin(*IMAGES), F.concat(F.lit("[image: "), F.element_at(F.split(path, "/"), -1), F.lit("]")))
+
+
+def listing(paths: DataFrame, path: str, folder: str, most: int = 200, recursive: bool = False, ignored: tuple[str, ...] = IGNORED) -> DataFrame:
+    """(entry, total): the first ``most`` names below a folder, folders with a slash, and how many there are; ignored folders are left out."""
+    root = folder.rstrip("/") + "/"
+    rel = paths.filter(F.col(path).startswith(root)).select(F.substring(path, len(root) + 1, 1 << 30).alias("rel"))
+    parts = rel.select(F.split("rel", "/").alias("p")).filter(~F.exists("p", lambda x: x.isin(*ignored)))
+    if recursive:
+        ups = F.transform(F.sequence(F.lit(1), F.size("p")), lambda n: F.concat(F.array_join(F.slice("p", F.lit(1), n), "/"), F.when(n < F.size("p"), "/").otherwise("")))
+        names = parts.select(F.explode(ups).alias("entry"))
+    else:
+        names = parts.select(F.concat(F.get("p", F.lit(0)), F.when(F.size("p") > 1, "/").otherwise("")).alias("entry"))
+    names = names.distinct()
+    total = names.agg(F.count("*").alias("total"))
+    return names.orderBy("entry").limit(most).crossJoin(F.broadcast(total))

@@ -5,12 +5,31 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 
 
 def path(spark: SparkSession, name: str) -> str:
-    """A new path: below the folder of ``spark.checkpoint.dir`` or, where that is unset, a temporary one."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or _own.setdefault("dir", tempfile.mkdtemp(prefix="strandmill-"))
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path below the shared folder, deleted when the application ends.
+
+    The folder is that of ``spark.checkpoint.dir``; without one a temporary folder will do
+    on one machine, and is an error where executors may run on others.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir is not set: it must name a folder that driver and executors share")
+        root = _own.setdefault("dir", tempfile.mkdtemp(prefix="strandmill-"))
+    out = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(out)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return out
+
+
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written and read again, so that what follows does not compute it twice."""
+    spark = df.sparkSession
+    where = path(spark, name)
+    df.write.parquet(where)
+    return spark.read.schema(df.schema).parquet(where)

@@ -38,3 +38,21 @@ def test_faults(spark):
     rules = {"n": {"type": "integer", "minimum": 1, "maximum": 10}, "s": {"type": "string", "required": True, "maxLength": 4}}
     got = [r[0] for r in df.select(notes.faults({"n": F.col("n"), "s": F.col("s")}, rules)).collect()]
     assert got == [[], ["n should be integer", "missing required s"], ["n must be <= 10", "s must be at most 4 chars"]]
+
+
+def test_listing_of_folders(spark):
+    from strandmill.sources import files
+
+    paths = spark.createDataFrame([(p,) for p in ("/r/a.txt", "/r/b/c.txt", "/r/b/d/e.txt", "/r/.git/x", "/q/z", "/r/b/node_modules/y")], "p string")
+    assert [tuple(r) for r in files.listing(paths, "p", "/r/").collect()] == [("a.txt", 2), ("b/", 2)]
+    assert [r[0] for r in files.listing(paths, "p", "/r", recursive=True).collect()] == ["a.txt", "b/", "b/c.txt", "b/d/", "b/d/e.txt"]
+    assert [tuple(r) for r in files.listing(paths, "p", "/r", most=1).collect()] == [("a.txt", 2)]
+
+
+def test_events_without_a_document_keep_their_id(spark, tmp_path):
+    from strandmill.plans import QUERIES
+
+    spark.createDataFrame([(1, "one title", "en")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(5, 1), (6, 2)], "event_id long, user_id long").write.parquet(f"{tmp_path}/events.parquet")
+    got = QUERIES["j5_events_papers"](spark, str(tmp_path)).orderBy("event_id").collect()
+    assert [tuple(r) for r in got] == [(5, "one title", "en"), (6, "2", "?")]
