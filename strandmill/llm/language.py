@@ -149,8 +149,10 @@ def identify(docs: DataFrame, text: str = "text", lang: str = "lang", doc: str =
 
     Learns from rows that are not held out and whose language and id are not null. A text
     that is null or has no letter is ``und`` with score 0, and so is every text if nothing
-    could be learned. Columns of the same names are replaced, others pass through. Repeated
-    rows are scored alike; ties between languages go to the first by name.
+    could be learned. Very long texts are scored whole, in blocks. Columns of the same names
+    are replaced, others pass through. Repeated rows are scored alike; ties between languages
+    go to the first by name. An empty table gives an empty table. The matrix has a column of
+    128 KB for every different value of ``lang``, so it should name languages and nothing else.
     """
     spark = docs.sparkSession
     langs, matrix = train(docs.filter(F.col(doc).isNotNull() & ~held_out(F.col(doc))), lang, text, doc, per_language)

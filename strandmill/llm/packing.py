@@ -194,7 +194,8 @@ def assign(parts: DataFrame, capacity: int = 2048, ranked: int = RANKED) -> Data
 def pack(docs: DataFrame, text: str = "text", doc: str = "doc_id", path: str | None = None, capacity: int = 2048, ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids on request).
 
-    A null or empty text is the closing id alone, so every row has at least one piece.
+    A null or empty text is the closing id alone, so every row has at least one piece; a very
+    long one has as many as it needs.
     Repeated rows, and rows whose id is null, are packed as documents of their own. Equal
     ids are told apart in no further way: which of two equal pieces takes which of two slots
     is not fixed. Other columns are not read. An empty table gives an empty table.

@@ -261,8 +261,10 @@ def detect(docs: DataFrame, text: str = "text", per_generator: int = 800) -> Dat
     """The columns of ``docs`` and pii: array of (start, kind, end, base), by start and then kind.
 
     ``kind`` is a position in KINDS, ends are exclusive, positions count code points. A null
-    or empty text has no spans. Repeated rows get equal spans; a column called pii is
-    replaced, others pass through. An empty table gives an empty table.
+    or empty text has no spans; matching is linear in the text, however long it is. Of two
+    candidates with equal margins the one that starts first, then the first kind, stays.
+    Repeated rows get equal spans; a column called pii is replaced, others pass through. An
+    empty table gives an empty table.
     """
     kept = [c for c in docs.columns if c != "pii"]
     score, least = _model(docs.sparkSession, per_generator)
@@ -296,7 +298,11 @@ def joined(spans: str, base: bool = False) -> Column:
 
 
 def redact(found: DataFrame, text: str = "text") -> DataFrame:
-    """``found`` (of ``detect``) with every span in ``text`` replaced by its kind in brackets; overlapping spans are one."""
+    """``found`` (of ``detect``) with every span in ``text`` replaced by its kind in brackets; overlapping spans are one.
+
+    A null text stays null; rows are redacted one by one, so repeated ones alike and none of
+    an empty table; other columns pass through.
+    """
     labels = "array(" + ", ".join(f"'[{k.upper()}]'" for k in KINDS) + ")"
     fold = (
         f"aggregate(pii, named_struct('at', 0L, 'out', ''), (acc, x) -> CASE WHEN x.start >= acc.at"

@@ -105,8 +105,9 @@ def _spans(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBa
 def find_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     """The columns of ``docs`` but the text, and secrets: array of (kind, start, end), end exclusive.
 
-    A null or empty text has none. Repeated rows are scanned alike; a column called secrets
-    is replaced, others pass through. An empty table gives an empty table.
+    A null or empty text has none; texts of any length are scanned whole, each keyword once.
+    Spans of one start come in the order of KINDS. Repeated rows are scanned alike; a column
+    called secrets is replaced, others pass through. An empty table gives an empty table.
     """
     from pyspark.sql import types as T
 

@@ -41,3 +41,37 @@ def test_held_out_accuracy(spark):
 
 def test_letters():
     assert has_letter("1é") and not has_letter("12 ,") and not has_letter(None)
+
+
+def test_scores_equal_a_plain_naive_bayes(spark):
+    """Counts in dictionaries, logarithms summed gram by gram, over the same buckets."""
+    import math
+    import zlib
+    from collections import Counter
+
+    import numpy as np
+    from strandmill.llm.language import BITS, EVIDENCE, ORDERS, buckets
+
+    data = [(i, t[:300] if t else t, lang) for i, t, lang in rows() if i is not None]
+    grams = lambda t: [int(b) for n in ORDERS for b in buckets(np.array([ord(c) for c in f" {t.lower()} "], np.uint32), n)]
+    counts = {"de": Counter(), "en": Counter()}
+    for i, t, lang in data:
+        if lang and t and zlib.crc32(str(i).encode()) % 3 != 1:
+            counts[lang].update(grams(t))
+    logs = {k: {b: math.log((c[b] + 0.5) / (sum(c.values()) + 0.5 * (1 << BITS))) for b in range(1 << BITS)} for k, c in counts.items()}
+    got = {r["doc_id"]: r for r in identify(spark.createDataFrame(data, "doc_id long, text string, lang string")).collect()}
+    for i, t, _ in data:
+        if t and has_letter(t):
+            g = grams(t)
+            mean = {k: sum(v[b] for b in g) / len(g) * min(EVIDENCE, len(t) + 1) for k, v in logs.items()}
+            best = max(sorted(mean), key=mean.get)
+            odds = 1 / sum(math.exp(x - mean[best]) for x in mean.values())
+            assert got[i]["lang_pred"] == best and abs(got[i]["score"] - odds) < 1e-3, (i, got[i], best, odds)
+
+
+def test_ties_and_repeated_rows(spark):
+    """Languages learned from the same texts tie: the first by name is predicted, with an even score."""
+    data = [(i, "the same words in either", "bb" if i % 2 else "aa") for i in range(40)] + [(500, "words", None), (500, "words", None)]
+    data = [d for d in data if d[0] == 500] + [(i, t, k) for k in ("aa", "bb") for i, t, _ in data[:40]]
+    got = [r for r in identify(spark.createDataFrame(data, "doc_id long, text string, lang string")).collect() if r["doc_id"] == 500]
+    assert [(r["lang_pred"], round(r["score"], 6)) for r in got] == [("aa", 0.5)] * 2

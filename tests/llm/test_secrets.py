@@ -36,3 +36,12 @@ def test_table(spark):
     df = spark.createDataFrame([(1, "token=abcdef", "x"), (1, "token=abcdef", "x"), (None, None, None)], "doc_id long, text string, secrets string")
     got = find_secrets(df).collect()
     assert [len(r["secrets"]) for r in got] == [1, 1, 0] and find_secrets(df.limit(0)).count() == 0
+
+
+def test_very_long_texts_in_a_table(spark):
+    """Keywords without end, values without end, and half of each: the spans are those of the plain expressions."""
+    n = 100_000
+    texts = ["token" * n, "token=" + "a" * n, "password=abcdef " * 20_000, "AKIA" * n, "0" * n, "a0" * n + "g" + "f" * 30, "-----BEGIN " * 20_000, "eyJ." * n, "ghp_" * n, "é" * n + "secret: abcdef"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    for r in find_secrets(df).collect():
+        assert [(s["kind"], s["start"], s["end"]) for s in r["secrets"] if s["kind"] in KINDS[:3]] == base(texts[r["doc_id"]]), r["doc_id"]
