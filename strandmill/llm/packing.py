@@ -173,10 +173,15 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int,
     return out
 
 
-def assign(parts: DataFrame, capacity: int = 2048, ranked: int = RANKED) -> DataFrame:
-    """``parts`` (doc_id, piece, start, length, ids_crc32, ...) with sequence_id and offset; lengths over some ``ranked`` pieces are dealt to as many tasks as they need."""
+def assign(parts: DataFrame, capacity: int = 2048, ranked: int | None = None) -> DataFrame:
+    """``parts`` (doc_id, piece, start, length, ids_crc32, ...) with sequence_id and offset; lengths over some ``ranked`` pieces are dealt to as many tasks as they need.
+
+    Without ``ranked`` that is an even share of the pieces of a shuffle partition, and RANKED at most.
+    """
     spark = parts.sparkSession
     counted = {int(r["length"]): int(r["n"]) for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ranked = ranked or max(1, min(RANKED, sum(counted.values()) // tasks))
     rows = plan(counted, capacity)
     plans = spark.createDataFrame(rows or [(0, 0, 0, 0, 1, 0)], "p_length long, p_rank long, p_n long, p_first long, p_each long, p_offset long")
     salts = F.array(*[F.lit(-(-counted.get(k, 1) // ranked)).cast("long") for k in range(capacity + 1)])
