@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 #: Fewer keys than this can be hot.
 MOST = 50_000
 #: A key with no more rows than this is never hot.
-LEAST = 1000
+LEAST = 256
 
 
 def bound(total: int) -> int:
