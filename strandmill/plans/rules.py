@@ -108,11 +108,17 @@ def r5_live(spark, d):
     return _drained(spark, live.dedup(s, ["user_id", "event_type"], "ts", "60 days")).select("user_id", "event_type")
 
 
-@query("r3_stream_sessions", """WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS no FROM g)
-SELECT user_id, epoch_us(min(ts)) AS began, epoch_us(max(ts)) + 21600000000 AS ended, count(*)::BIGINT AS events FROM s GROUP BY user_id, no HAVING max(ts) + INTERVAL 6 HOUR <= date_trunc('millisecond', (SELECT max(ts) FROM events)) - INTERVAL 1 HOUR""")
+@query("r3_stream_sessions")
 def r3_live(spark, d):
     """Sessions still open at the end stay behind the watermark."""
-    return _drained(spark, live.sessions(_stream(spark, d), "user_id", "ts", "6 hours")).select("user_id", F.unix_micros("began").alias("began"), F.unix_micros("ended").alias("ended"), "events")
+    return _drained(spark, live.sessions(_stream(spark, d), "user_id", "ts", "6 hours"))
+
+
+@query("r3_stream_closed", """WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS no FROM g)
+SELECT user_id, epoch_us(min(ts)) AS began, epoch_us(max(ts)) + 21600000000 AS ended, count(*)::BIGINT AS events FROM s GROUP BY user_id, no HAVING max(ts) + INTERVAL 6 HOUR <= date_trunc('millisecond', (SELECT max(ts) FROM events)) - INTERVAL 1 HOUR""")
+def r3_closed(spark, d):
+    """The same with times in microseconds."""
+    return r3_live(spark, d).select("user_id", F.unix_micros("began").alias("began"), F.unix_micros("ended").alias("ended"), "events")
 
 
 @query("r8_stream_changes", "SELECT user_id, event_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM events) WHERE event_type IS DISTINCT FROM b")
