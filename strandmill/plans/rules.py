@@ -9,7 +9,8 @@ from ..functions import text as X
 from ..operators import folds, models
 from ..sources import shared
 from ..streaming import live
-from .registry import query, table
+from . import texts  # noqa: F401  its SQL is used below
+from .registry import ORACLES, query, table
 
 
 @query("c16_math_font", "SELECT p_partkey, regexp_matches(p_name || '-' || p_type, '(?i)CM(?:MI|SY|EX|BX|R|TT|SS|IT)|Math|Symbol|XITS|STIX|Asana|Libertinus|MT(?:Pro|Extra)') AS math FROM part")
@@ -50,7 +51,10 @@ def w9(spark, d):
     return table(spark, d, "documents").select("doc_id", folds.dedup_paragraphs(F.replace("text", F.lit("\n"), F.lit("\n\n"))).alias("kept"))
 
 
-@query("w10_dedup_boundaries")
+@query("w10_dedup_boundaries", f"""WITH RECURSIVE f AS MATERIALIZED ({ORACLES["i7_normal_paragraph"]}), low AS (SELECT doc_id, min(line_no) AS n FROM f GROUP BY doc_id),
+r AS (SELECT doc_id, n, '' AS tail, 0 AS kept FROM low UNION ALL SELECT f.doc_id, f.line_no + 1, CASE WHEN r.tail <> '' AND left(f.form, 30) = r.tail THEN r.tail ELSE right(f.form, 30) END,
+r.kept + CASE WHEN r.tail <> '' AND left(f.form, 30) = r.tail THEN 0 ELSE 1 END FROM r JOIN f ON f.doc_id = r.doc_id AND f.line_no = r.n)
+SELECT doc_id, arg_max(kept, n)::INT AS kept FROM r GROUP BY doc_id""")
 def w10(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(folds.dedup_boundaries(X.lines(F.col("text")))).alias("kept"))
 
