@@ -75,14 +75,28 @@ CATEGORIES = (
     ("Cobb.*Douglas|效用函数|经济成本", "效用模型"),
 )
 NO_CATEGORY = "其他"
-CJK = r"[一-鿿]"
-CJK_WIDE = r"[一-鿿㐀-䶿]"
+
+
+def beyond(chars: str) -> str:
+    """A class of characters none of which is ASCII, in a form that passes over ASCII with one test instead of one a range."""
+    return rf"(?=[^\x00-\x7F]){chars}"
+
+
+#: Runs of white space that are not one blank already.
+BLANKS = r"\s(?:\s+|(?<=[^ ]))"
+CJK = beyond("[一-鿿]")
+CJK_WIDE = beyond("[一-鿿㐀-䶿]")
 
 
 def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(WS))
 
 
+def count_chars(text: Column, chars: str) -> Column:
+    """How many characters are of a class: by how much a text gets shorter without its runs, with no match to build for every one."""
+    return F.length(text) - F.length(F.regexp_replace(text, chars + "+", ""))
+
+
 def any_of(c: Column, patterns: tuple[str, ...]) -> Column:
     return c.rlike("|".join(f"(?:{p})" for p in patterns))
 
@@ -123,7 +137,7 @@ def truncate_at_sentence(text: Column, most: int) -> Column:
 def normal_paragraph(p: Column) -> Column:
     """The form in which paragraphs are compared."""
     out = F.regexp_replace(strip(p), r"^#{1,4}\s*", "")
-    for pattern, to in ((r"(?s)\$\$.*?\$\$", "█MATH█"), (r"\$[^$\n]*?\$", "█INLINE█"), (r"◈[A-Z]+_\d+◈", "█PH█"), (r"\s+", " "), (r"[，。！？、；：（）《》【】,.!?:;\-]", "")):
+    for pattern, to in ((r"(?s)\$\$.*?\$\$", "█MATH█"), (r"\$[^$\n]*?\$", "█INLINE█"), (r"◈[A-Z]+_\d+◈", "█PH█"), (BLANKS, " "), (r"[,.!?:;\-]|" + beyond("[，。！？、；：（）《》【】]"), "")):
         out = F.regexp_replace(out, pattern, to)
     return F.lower(strip(out))
 
@@ -150,7 +164,7 @@ def strip_tags(html: Column) -> Column:
 
 
 def squeeze(text: Column) -> Column:
-    return strip(F.regexp_replace(F.regexp_replace(text, r"[ \t]+", " "), r"\n{3,}", "\n\n"))
+    return strip(F.regexp_replace(F.regexp_replace(text, r"[ \t](?:[ \t]+|(?<=\t))", " "), r"\n{3,}", "\n\n"))
 
 
 def to_markdown(html: Column) -> Column:
@@ -174,16 +188,16 @@ def english_ratio(p: Column) -> Column:
 
     def measured(q: Column) -> Column:
         size = F.length(strip(q))
-        ratio = F.when(size == 0, F.lit(0.0)).otherwise(F.regexp_count(q, F.lit("[a-zA-Z]")) / size)
-        return F.struct(ratio.alias("ratio"), F.when(size == 0, F.lit(0)).otherwise(F.regexp_count(q, F.lit(CJK_WIDE))).alias("cjk"))
+        ratio = F.when(size == 0, F.lit(0.0)).otherwise(count_chars(q, "[a-zA-Z]") / size)
+        return F.struct(ratio.alias("ratio"), F.when(size == 0, F.lit(0)).otherwise(count_chars(q, CJK_WIDE)).alias("cjk"))
 
     return bound(F.when(p.rlike("[$◈<]"), plain(p)).otherwise(p), measured)
 
 
 def language(text: Column) -> Column:
     """zh with at least 200 ideographs that are more than a fifth of the letters, else en."""
-    cjk = F.regexp_count(text, F.lit(CJK))
-    alpha = F.regexp_count(text, F.lit("[a-zA-Z]"))
+    cjk = count_chars(text, CJK)
+    alpha = count_chars(text, "[a-zA-Z]")
     return F.when((cjk >= 200) & (cjk > 0.2 * (cjk + alpha)), "zh").otherwise("en")
 
 
@@ -196,8 +210,11 @@ def title(text: Column) -> Column:
 
 def without_metadata_lines(text: Column) -> Column:
     def keep(line: Column) -> Column:
+        """What marks a line has a digit or is an address, of an affiliation " of " or "@"; only lines with that are matched."""
         s = strip(line)
-        return (F.length(s) >= 3) & ~any_of(s, METADATA) & ~((F.length(s) < 120) & any_of(s, AFFILIATION))
+        metadata = s.rlike("[0-9]|http") & any_of(s, METADATA)
+        affiliation = (F.length(s) < 120) & s.rlike("of|@") & any_of(s, AFFILIATION)
+        return (F.length(s) >= 3) & ~metadata & ~affiliation
 
     return F.array_join(F.filter(lines(text), keep), "\n")
 

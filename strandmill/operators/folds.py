@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import normal_paragraph, strip
+from ..functions.text import bound, normal_paragraph, strip
 
 
 def overlapping(text: Column, size: int, overlap: int) -> Column:
@@ -19,21 +19,29 @@ def overlapping(text: Column, size: int, overlap: int) -> Column:
 
 
 def dedup_paragraphs(text: Column, within: int = 5, short: int = 20) -> Column:
-    """Drops a paragraph whose form was kept at most ``within`` places before. Short ones stay and count as kept; a dropped one is not seen again."""
-    parts = F.split(text, "\n\n", -1)
-    indexed = F.transform(parts, lambda p, i: F.struct(i.alias("i"), p.alias("p"), strip(p).alias("s"), normal_paragraph(p).alias("form")))
-    empty = F.struct(F.array().cast("array<string>").alias("kept"), F.array().cast("array<struct<form:string,i:int>>").alias("seen"))
+    """Drops a paragraph whose form was kept at most ``within`` places before. Short ones stay and count as kept; a dropped one is not seen again.
+
+    A text without equal forms is left as it is; of others the fold gathers the places that are dropped.
+    """
+    indexed = F.transform(F.split(text, "\n\n", -1), lambda p, i: F.struct(i.alias("i"), p.alias("p"), strip(p).alias("s"), normal_paragraph(p).alias("form")))
+    empty = F.struct(F.array().cast("array<int>").alias("dropped"), F.array().cast("array<struct<form:string,i:int>>").alias("seen"))
 
     def step(acc: Column, x: Column) -> Column:
         blank = x["s"] == ""
         tiny = (F.length(x["form"]) < short) & ~x["s"].rlike(r"^◈\s*[A-Z]+\s*_\d+\s*◈$")
         again = ~tiny & F.exists(acc["seen"], lambda y: (y["form"] == x["form"]) & (x["i"] - y["i"] <= within))
         recent = F.filter(acc["seen"], lambda y: (x["i"] - y["i"] < within) & (y["form"] != x["form"]))
-        kept = F.when(again & ~blank, acc["kept"]).otherwise(F.concat(acc["kept"], F.array(x["p"])))
+        dropped = F.when(again & ~blank, F.concat(acc["dropped"], F.array(x["i"]))).otherwise(acc["dropped"])
         seen = F.when(again | blank, acc["seen"]).otherwise(F.concat(recent, F.array(F.struct(x["form"].alias("form"), x["i"].alias("i")))))
-        return F.struct(kept.alias("kept"), seen.alias("seen"))
+        return F.struct(dropped.alias("dropped"), seen.alias("seen"))
+
+    def without_repeats(parts: Column) -> Column:
+        dropped = F.aggregate(parts, empty, step, lambda acc: acc["dropped"])
+        kept = bound(dropped, lambda out: F.filter(parts, lambda x: ~F.array_contains(out, x["i"])))
+        distinct = F.size(F.array_distinct(parts["form"])) == F.size(parts)
+        return F.when(distinct, text).otherwise(F.array_join(kept["p"], "\n\n"))
 
-    return F.aggregate(indexed, empty, step, lambda acc: F.array_join(acc["kept"], "\n\n"))
+    return bound(indexed, without_repeats)
 
 
 def dedup_boundaries(chunks: Column, most: int = 30) -> Column:

@@ -31,7 +31,7 @@ def g2(spark, d):
 
 @query("bm25_indexed", f"WITH {BM25} SELECT doc AS doc_id, round(score, 6) AS score FROM bm")
 def g2_indexed(spark, d):
-    index = bm25.Index.fit(table(spark, d, "documents"))
+    index = bm25.Index.fit(table(spark, d, "documents")).written()
     return bm25.score_indexed(index, ASKED).select(F.col("doc").alias("doc_id"), F.round("score", 6).alias("score"))
 
 

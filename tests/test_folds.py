@@ -20,6 +20,9 @@ def test_dedup_paragraphs_compares_with_what_was_kept(spark):
     assert run([a, b, c, a, d, e, a]) == [a, b, c, d, e, a]  # the dropped one at 3 does not count, so the one at 6 is six places behind
     assert run(["tiny", "tiny", a, "TINY!"]) == ["tiny", "tiny", a, "TINY!"]
     assert run(["◈FIG_1◈", "x", "◈FIG_1◈"]) == ["◈FIG_1◈", "x"]
+    assert run([a, "", "  ", a, b, "", b]) == [a, "", "  ", b, ""]
+    many = [P[i % 3] for i in range(3000)]
+    assert run(many) == [x for i, x in enumerate(many) if i // 3 % 2 == 0]  # three places on it is dropped, six on it is too far
     once = run([a, b, a, c, b])
     assert run(once) == once
 

@@ -82,3 +82,20 @@ def test_models(spark):
         models.ask(df, "t", "a", fn=lambda texts: []).collect()
     got = {(r["a"], r["b"]): r["value"] for r in models.similarity_matrix(df.limit(2), "i", "t").collect()}
     assert got == {(1, 1): 1.0, (2, 2): 1.0, (1, 2): 1.0, (2, 1): 1.0}
+
+
+def test_index_counts_runs_of_equal_tokens(spark):
+    docs = spark.createDataFrame([(1, "b a B b_ a"), (2, ""), (3, None)], "doc_id int, text string")
+    index = bm25.Index.fit(docs)
+    want = [(1, "a", 2), (1, "b", 2), (1, "b_", 1)]
+    for i in (index, index.written()):
+        assert sorted(map(tuple, i.postings.select("doc", "term", "tf").collect())) == want
+        assert sorted(map(tuple, i.lengths.collect())) == [(1, 5), (2, 0), (3, 0)]
+        assert tuple(i.stats.first()) == (3, 5 / 3)
+
+
+def test_characters_and_blanks(spark):
+    rows = ["ab  汉c\td \n e", "", "汉㐀字", " one  two "]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "i int, x string")
+    got = df.select("i", X.count_chars(F.col("x"), "[a-zA-Z]"), X.count_chars(F.col("x"), X.CJK_WIDE), F.regexp_replace("x", X.BLANKS, " "), X.squeeze(F.col("x"))).orderBy("i").collect()
+    assert [tuple(r)[1:] for r in got] == [(5, 1, "ab 汉c d e", "ab 汉c d \n e"), (0, 0, "", ""), (0, 3, "汉㐀字", "汉㐀字"), (6, 0, " one two ", "one two")]
