@@ -18,7 +18,8 @@ def c16(spark, d):
     return table(spark, d, "part").select("p_partkey", M.is_math_font(F.concat_ws("-", "p_name", "p_type")).alias("math"))
 
 
-@query("c14_substantial", r"SELECT item_id, length(substr(text, 1, 30)) >= 5 AND (regexp_matches(substr(text, 1, 30), '[=+<>≤≥≠≈≡∈⊂⊆∪∩∫∑∏∇∂⋅×±−_^]') OR length(regexp_replace(substr(text, 1, 30), '[\s,.;:()\[\]{}|−]', '', 'g')) > 0) AS ok FROM benchmark")
+@query("c14_substantial", r"""SELECT item_id, coalesce(length(text) >= 5 AND (regexp_matches(text, '[=+<>≤≥≠≈≡∈⊂⊆∪∩∫∑∏∇∂⋅×±−_^]') OR length(regexp_replace(regexp_replace(text, '\\[a-zA-Z]+(?:\{[^}]*\})*', ' ', 'g'), '[\s,.;:()\[\]{}|−]', '', 'g')) > 0
+OR len(regexp_extract_all(text, '\\[a-zA-Z]+')) >= 2 OR regexp_matches(text, '\\(?:frac|dfrac|tfrac|sqrt|binom|sum|prod|int|iint|iiint|oint|begin)(?:[^A-Za-z]|$)')), false) AS ok FROM benchmark""")
 def c14(spark, d):
     return table(spark, d, "benchmark").select("item_id", M.is_substantial(F.col("text")).alias("ok"))
 
