@@ -1 +1 @@
-"""Training-data operators: ten corpus operators and the queries that apply them."""
+"""Training-data operators: thirteen corpus operators and the queries that apply them."""
