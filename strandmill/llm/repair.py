@@ -350,7 +350,8 @@ def repair_conversations(rows: DataFrame, conv: str = "conv_id", turn: str = "tu
     Rows of a conversation go by turn, nulls first, then by role and text, so ties do not
     depend on the input's order. A row's first fault counts: blank, duplicate (role and text
     seen earlier) or truncated (its last visible character is not one of ``.!?``). Null roles
-    and texts are one space; rows without conversation id are one conversation. Repeated
+    and texts are one space; an empty role has no initial, so its turn is never kept as it is;
+    rows without conversation id are one conversation. Repeated
     rows are duplicates of the first. Other columns are not read; an empty table gives an
     empty table. Conversations of over ``long_at`` rows are dealt out; the result is the same.
     """
