@@ -38,6 +38,8 @@ from .skew import lookup
 WIDTH, SEED = 35, 12
 #: Bits of the filter of repeated seeds at most: 64 MB.
 MAX_BITS = 1 << 29
+#: The bits of a seed from which on it gives a place in the filter.
+SHIFTS = (0, 12, 23, 35)
 #: Words that are hashed together, bytes of a text that are split at once, and words whose hashes a task remembers.
 CHUNK, SEGMENT, MEMO = 1 << 18, 1 << 20, 1 << 18
 GAP = re.compile(rb"[\x20\x09-\x0d]")
@@ -150,16 +152,21 @@ def _seeds(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordB
 def _suspected(seed: np.ndarray, full: np.ndarray) -> np.ndarray:
     mask = np.uint64(8 * len(full) - 1)
     hit = np.ones(len(seed), bool)
-    for p in (seed & mask, (seed >> np.uint64(32)) & mask):
+    for shift in SHIFTS:
+        p = (seed >> np.uint64(shift)) & mask
         hit &= ((full[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
     return hit
 
 
-RUN = "k1 long, k2 long, start long, n int, seed long, first long, last long, code long, before long, after long, edges array<long>"
+RUN = "k1 long, k2 long, start long, n int, seed long, code long, before long, edges array<long>"
 
 
 def _runs(batches: Iterator[pa.RecordBatch], width: int, shared) -> Iterator[pa.RecordBatch]:
-    """Runs whose seed may be repeated, with the codes of the runs before and after them (null at an end)."""
+    """Runs whose seed may be repeated, with the code of the run before them (null at the start).
+
+    Seed and code, 128 bits, stand for the words of a run: the code is of its number of windows
+    and of the first and the last, which overlap and hold all words.
+    """
     full = shared.value
     for keys, h, ends in _chunks(batches, width):
         first, n, seed, edge = runs(h, ends, width)
@@ -180,35 +187,31 @@ def _runs(batches: Iterator[pa.RecordBatch], width: int, shared) -> Iterator[pa.
                 pa.array([keys[i][1] for i in text[t]], pa.int64()),
                 pa.array(first[t] - begins[t] + np.array([keys[i][2] for i in text[t]], np.int64), pa.int64()),
                 pa.array(n[t], pa.int32()),
-                *(pa.array(x[t].view(np.int64)) for x in (seed, low, high)),
+                pa.array(seed[t].view(np.int64)),
                 pa.array(code[t]),
                 pa.array(code[t - 1], mask=~met[t]),
-                pa.array(np.append(code[1:], 0)[t], mask=~np.append(met[1:], False)[t]),
                 pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat)),
             ]
             yield pa.record_batch(cols, names=[c.split()[0] for c in RUN.split(", ")])
 
 
 def _filter(seeds: DataFrame, count: int) -> np.ndarray:
-    """Bits of the seeds, two each; the size follows their number up to MAX_BITS."""
+    """Bits of the seeds, one for each of SHIFTS; the size follows their number up to MAX_BITS."""
     bits = 1 << 18
     while bits < min(MAX_BITS, 16 * count):
         bits *= 2
     full = np.zeros(bits // 8, np.uint8)
-    at = F.array(F.col("seed").bitwiseAND(bits - 1) + 1, F.shiftrightunsigned("seed", 32).bitwiseAND(bits - 1) + 1)
+    at = F.array(*[F.shiftrightunsigned("seed", shift).bitwiseAND(bits - 1) + 1 for shift in SHIFTS])
     marks = seeds.select(F.explode(at).alias("at")).groupBy(F.bitmap_bucket_number("at").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
     for b, found in marks.collect():
         full[(b - 1) * 4096 : b * 4096] = np.frombuffer(found, np.uint8)[: len(full) - (b - 1) * 4096]
     return full
 
 
-CLASS = ["seed", "n", "first", "last"]
-
-
 def _classes(found: DataFrame) -> DataFrame:
-    """A row per class: its code, occurrences ``c``, an occurrence's edges, and the one class before and after all its occurrences, if there is one."""
-    one = lambda name: F.when((F.count(name) == F.count("*")) & (F.min(name) == F.max(name)), F.min(name)).alias(name)
-    return found.groupBy(*CLASS).agg(F.count("*").alias("c"), F.min("code").alias("code"), one("before"), one("after"), F.first("edges").alias("edges"))
+    """A row per class: its occurrences ``c``, an occurrence's edges, and the one class before all its occurrences, if there is one."""
+    one = F.when((F.count("before") == F.count("*")) & (F.min("before") == F.max("before")), F.min("before"))
+    return found.groupBy("seed", "code").agg(F.count("*").alias("c"), one.alias("before"), F.first("edges").alias("edges"))
 
 
 def repeated_spans(docs: DataFrame, text: str = "text", doc: str = "doc_id", width: int = WIDTH) -> DataFrame:
@@ -231,14 +234,16 @@ def repeated_spans(docs: DataFrame, text: str = "text", doc: str = "doc_id", wid
     edges = classes.select("seed", "c", F.explode("edges").alias("edge"))
     twice = edges.groupBy("seed", "edge").agg(F.sum("c").alias("w"), F.count_if(F.col("c") == 1).alias("size")).filter("w > 1 AND size > 0")
     single = classes.filter("c = 1").select("seed", "code", F.posexplode("edges").alias("at", "edge"))
-    part = lookup(single, twice, ["seed", "edge"], "size", 24 * total).groupBy("code").agg(F.array_sort(F.collect_list(F.struct("at", "w"))).alias("own"))
+    part = lookup(single, twice, ["seed", "edge"], "size", 24 * total).groupBy("seed", "code").agg(F.array_sort(F.collect_list(F.struct("at", "w"))).alias("own"))
     solid = classes.filter("c > 1")
-    ahead = solid.select(F.col("code").alias("before"), F.col("after").alias("follows"))
-    paths = solid.select("code", "c", "before").join(ahead, "before", "left").select("code", "c", F.coalesce(F.col("follows") == F.col("code"), F.lit(False)).alias("joins"), F.lit(None).cast(part.schema["own"].dataType).alias("own"))
-    ends = part.select("code", F.lit(1).cast("long").alias("c"), F.lit(False).alias("joins"), "own")
-    at = lookup(found.select("k1", "k2", "start", "n", "code"), paths.unionByName(ends).withColumn("size", F.col("c")), "code", "size", total)
-    # Repeated rows have their spans once.
-    at = scratch.keep(at.dropDuplicates(["k1", "k2", "start"]), "occurrences")
+    # All of b follow a, and there are no more of a than of b: then all of a are followed by b.
+    ahead = solid.select(F.col("code").alias("before"), F.col("c").alias("of"))
+    paths = solid.select("seed", "code", "c", "before").join(ahead, "before", "left").select("seed", "code", "c", F.coalesce(F.col("of") == F.col("c"), F.lit(False)).alias("joins"), F.lit(None).cast(part.schema["own"].dataType).alias("own"))
+    ends = part.select("seed", "code", F.lit(1).cast("long").alias("c"), F.lit(False).alias("joins"), "own")
+    at = lookup(found.select("k1", "k2", "start", "n", "seed", "code"), paths.unionByName(ends).withColumn("size", F.col("c")), ["seed", "code"], "size", total).drop("seed")
+    if texts.groupBy("k1", "k2").count().filter("count > 1").limit(1).count():  # repeated rows have their spans once
+        at = at.dropDuplicates(["k1", "k2", "start"])
+    at = scratch.keep(at, "occurrences")
     # A path's occurrences all begin at its first class: the class that joins no other.
     order = Window.partitionBy("k1", "k2").orderBy("start")
     whole = at.filter("own is null").withColumn("no", F.sum(F.when(F.col("joins"), 0).otherwise(1)).over(order))
