@@ -26,8 +26,8 @@ def sliced(spark, d):
     return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(p)
 
 
-def _all(spark, out):
-    return sinks.drained(spark, out, shared.path(spark, "drained")).filter(F.col("user_id") != BEAT)
+def _all(spark, out, idle: bool = True):
+    return sinks.drained(spark, out, shared.path(spark, "drained"), idle=idle).filter(F.col("user_id") != BEAT)
 
 
 GROUPS = "WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL {gap} THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS no FROM g) "
@@ -48,7 +48,7 @@ def r9_live(spark, d):
 @query("r9_stream_ttl", "SELECT user_id, event_id AS seq, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS last FROM events")
 def r9_ttl(spark, d):
     """State whose store forgets a key an hour of the clock after it was written; within this run none is that old."""
-    return _all(spark, stateful.remembered(sliced(spark, d), "user_id", "event_id", 3600)).select("user_id", "seq", "last")
+    return _all(spark, stateful.remembered(sliced(spark, d), "user_id", "event_id", 3600), idle=False).select("user_id", "seq", "last")
 
 
 @query("r2_stream_coalesced", """WITH k AS (SELECT *, CASE event_type WHEN 'view' THEN 'delta' WHEN 'click' THEN 'delta' WHEN 'purchase' THEN 'end' ELSE 'message' END AS kind FROM events),

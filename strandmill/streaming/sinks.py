@@ -26,21 +26,28 @@ def once(path: str, then: Callable[[int], None] | None = None) -> Callable[[Data
     return handle
 
 
-def drain(out: DataFrame, path: str, mode: str = "append", then: Callable[[int], None] | None = None) -> None:
-    """Runs ``out`` until its source is empty, from where its checkpoint beside ``path`` stands; state lives in RocksDB."""
+def drain(out: DataFrame, path: str, mode: str = "append", then: Callable[[int], None] | None = None, idle: bool = True) -> None:
+    """Runs ``out`` until its source is empty, from where its checkpoint beside ``path`` stands; state lives in RocksDB.
+
+    ``idle`` allows batches without data, in which timers of event time end. State on the
+    clock of the machine would ask for them for ever.
+    """
+    conf = {PROVIDER: ROCKS, "spark.sql.streaming.noDataMicroBatches.enabled": str(idle).lower()}
     spark = out.sparkSession
-    before = spark.conf.get(PROVIDER)
-    spark.conf.set(PROVIDER, ROCKS)
+    before = {k: spark.conf.get(k) for k in conf}
     try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
         q = out.writeStream.foreachBatch(once(path, then)).outputMode(mode).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start()
         q.awaitTermination()
     finally:
-        spark.conf.set(PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
-def drained(spark: SparkSession, out: DataFrame, path: str, mode: str = "append", then: Callable[[int], None] | None = None) -> DataFrame:
+def drained(spark: SparkSession, out: DataFrame, path: str, mode: str = "append", then: Callable[[int], None] | None = None, idle: bool = True) -> DataFrame:
     """What ``drain`` has written, with the number of the batch."""
-    drain(out, path, mode, then)
+    drain(out, path, mode, then, idle)
     return spark.read.schema(T.StructType([*out.schema, T.StructField("batch", T.IntegerType())])).option("basePath", path).parquet(path)
 
 
