@@ -52,8 +52,6 @@ WORDS = {
 }
 AGAINST = r"order|isbn|version|invoice|part no|serial|ticket|\bitem|\bdate|\bpage|room|flight|score|ratio|figure|\bsku|model|pixel|census"
 TLDS = "com|org|net|edu|gov|io|info|de|fr|es|it|uk|eu|us|ca|ch|at|nl|pl|ru|jp|cn|in|br|au|co|me|biz"
-#: So many neighbours on either side, in order of their starts, are asked whether they overlap a candidate.
-AROUND = 128
 _models: dict[int, tuple[str, dict[str, float]]] = {}
 FEATURES = ("generator", "length", "digits", "marks", "helps", "harms", "checked", "distance", "spaces", "groups", "zero", "spelt")
 
@@ -63,7 +61,7 @@ def _sql(s: str) -> str:
 
 
 def _found(df: DataFrame, text: str, name: str, pattern: str, digits: str) -> DataFrame:
-    """Adds <name>: array of (start, end, hit, before, after), all matches of a pattern in code points."""
+    """Adds <name>: array of (start, end, hit, before), all matches of a pattern in code points."""
     need = NEED.get(name, digits).format(t=text)
     none = "cast(array() as array<string>)"
     df = df.withColumn("__hits", F.expr(f"CASE WHEN {need} THEN regexp_extract_all({text}, {_sql(pattern)}, 0) ELSE {none} END"))
@@ -74,7 +72,7 @@ def _found(df: DataFrame, text: str, name: str, pattern: str, digits: str) -> Da
     # Named twice, so that the optimizer keeps them as columns and does not compute them again for every match.
     at = "transform(__hits, (h, i) -> __offs[cast(i div 64 as int)] + aggregate(slice(__lens, cast((i div 64) * 64 + 1 as int), cast(i % 64 as int)), 0L, (s, x) -> s + x) + length(__gaps[i]))"
     df = df.withColumn("__at", F.expr(f"CASE WHEN size(__hits) > 0 AND size(__gaps) > 0 AND size(__lens) > 0 AND size(__offs) > 0 THEN {at} ELSE cast(array() as array<bigint>) END"))
-    around = f", 'before', lower(right(__gaps[i], {CONTEXT})), 'after', left(__gaps[i + 1], 20)" if name in GENERATORS else ""
+    around = f", 'before', lower(right(__gaps[i], {CONTEXT}))" if name in GENERATORS else ""
     df = df.withColumn(name, F.expr(f"transform(__hits, (h, i) -> named_struct('start', __at[i], 'end', __at[i] + length(h), 'hit', h{around}))"))
     return df.drop("__hits", "__gaps", "__lens", "__sums", "__offs", "__at")
 
@@ -257,6 +255,41 @@ def _model(spark: SparkSession, per_generator: int) -> tuple[str, dict[str, floa
     return _models[per_generator]
 
 
+def _maxima(df: DataFrame, spans: str, end: str) -> DataFrame:
+    """Adds __top: for every block of 64 of ``spans`` the largest ``end`` (an expression over y) in the blocks before."""
+    df = df.withColumn("__most", F.expr(f"transform(sequence(0, greatest(size({spans}) - 1, 0) div 64), b -> coalesce(array_max(transform(slice({spans}, cast(b * 64 + 1 as int), 64), y -> {end})), -1L))"))
+    return df.withColumn("__top", F.expr("transform(__most, (x, b) -> CASE WHEN b = 0 THEN -1L ELSE array_max(slice(__most, 1, b)) END)"))
+
+
+def _before(spans: str, end: str, i: str) -> str:
+    """The largest ``end`` of the spans before the one at ``i``."""
+    return f"greatest(__top[cast({i} div 64 as int)], coalesce(array_max(transform(slice({spans}, cast(({i} div 64) * 64 + 1 as int), cast({i} % 64 as int)), y -> {end})), -1L))"
+
+
+def _chosen(df: DataFrame) -> DataFrame:
+    """``df`` with pii: of __all (base spans and candidates with their margins, sorted by start and kind) the base spans and the candidates that stay.
+
+    First candidates fall to base spans: one that begins before the candidate and ends within or behind it
+    is seen in the running maximum of their ends, others begin within the candidate. What is
+    left falls apart into groups without overlap between them; within each the one with the
+    largest margin is taken, what overlaps it goes, and so on.
+    """
+    end = "CASE WHEN y.base THEN y.end ELSE -1L END"
+    none = "cast(array() as array<struct<start:bigint,kind:int,end:bigint,base:boolean,margin:double>>)"
+    df = _maxima(df, "__all", end)
+    # Of a start there is at most one span of each kind: the first of those with the start of the candidate.
+    df = df.withColumn("__from", F.expr(f"transform(__all, (x, i) -> CASE WHEN x.base THEN 0 ELSE i - size(filter(slice(__all, greatest(i - {len(KINDS) - 1}, 1), least(i, {len(KINDS)})), y -> y.start = x.start)) END)"))
+    inside = f"exists(slice(__all, __from[i] + 1, cast(x.end - x.start as int) * {len(KINDS)}), y -> y.base AND y.start < x.end AND (y.end > x.end OR (y.start = x.start AND y.end = x.end)))"
+    df = df.withColumn("__left", F.expr(f"CASE WHEN exists(__all, x -> NOT x.base) THEN filter(__all, (x, i) -> NOT x.base AND {_before('__all', end, '__from[i]')} <= x.start AND NOT {inside}) ELSE {none} END"))
+    df = _maxima(df, "__left", "y.end")
+    df = df.withColumn("__cuts", F.expr(f"filter(transform(__left, (x, i) -> CASE WHEN {_before('__left', 'y.end', 'i')} <= x.start THEN i END), i -> i IS NOT NULL)"))
+    df = df.withColumn("__groups", F.expr("transform(__cuts, (c, k) -> slice(__left, c + 1, coalesce(get(__cuts, k + 1), size(__left)) - c))"))
+    ranked = "array_sort(transform(g, x -> named_struct('m', -x.margin, 'start', x.start, 'kind', x.kind, 'x', x))).x"
+    greedy = f"aggregate({ranked}, {none}, (acc, x) -> CASE WHEN exists(acc, y -> y.start < x.end AND x.start < y.end) THEN acc ELSE concat(acc, array(x)) END)"
+    stay = f"flatten(transform(__groups, g -> CASE WHEN size(g) = 1 THEN g ELSE {greedy} END))"
+    return df.withColumn("pii", F.expr(f"CASE WHEN size(__left) = 0 THEN filter(__all, x -> x.base) ELSE array_sort(concat(filter(__all, x -> x.base), {stay})) END"))
+
+
 def detect(docs: DataFrame, text: str = "text", per_generator: int = 800) -> DataFrame:
     """The columns of ``docs`` and pii: array of (start, kind, end, base), by start and then kind.
 
@@ -283,9 +316,7 @@ def detect(docs: DataFrame, text: str = "text", per_generator: int = 800) -> Dat
         df = df.withColumn(name, F.expr(f"CASE WHEN size({name}) > 0 THEN filter({rated}, x -> x.margin >= 0) ELSE cast(array() as array<struct<start:bigint,kind:int,end:bigint,base:boolean,margin:double>>) END"))
         every.append(name)
     df = df.withColumn("__all", F.expr(f"array_sort(concat({', '.join(every)}))"))
-    beats = "CASE WHEN y.base THEN NOT (x.start <= y.start AND y.end <= x.end AND y.end - y.start < x.end - x.start) ELSE y.margin > x.margin OR (y.margin = x.margin AND (y.start < x.start OR (y.start = x.start AND y.kind < x.kind))) END"
-    chosen = f"filter(__all, (x, i) -> x.base OR NOT exists(slice(__all, greatest(i + 1 - {AROUND}, 1), {2 * AROUND}), y -> y.start < x.end AND x.start < y.end AND NOT (y.start = x.start AND y.kind = x.kind) AND {beats}))"
-    df = df.withColumn("pii", F.expr(f"CASE WHEN exists(__all, x -> NOT x.base) THEN {chosen} ELSE __all END"))
+    df = _chosen(df)
     df = df.withColumn("pii", F.expr("transform(pii, x -> named_struct('start', x.start, 'kind', x.kind, 'end', x.end, 'base', x.base))"))
     return df.select("__row.*", "pii")
 

@@ -1,7 +1,7 @@
 import random
 import re
 
-from strandmill.llm.pii import GENERATORS, KINDS, detect, redact
+from strandmill.llm.pii import GENERATORS, KINDS, _chosen, detect, redact
 
 PATTERNS = (
     re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
@@ -114,3 +114,46 @@ def test_overlapping_candidates(spark):
     assert got[rows[0]] == [("iban", "DE89 3704 0044 0532 0130 00")]
     assert got[rows[1]] == [("local_phone", "030 1234567"), ("local_phone", "030 7654321")]
     assert got[rows[2]] == [("local_phone", "(555) 123-4567")]
+
+
+def greedy(spans):
+    """What stays of (start, kind, end, base, margin), by looking at all pairs."""
+    base = [x for x in spans if x[3]]
+    meets = lambda x, y: x[0] < y[2] and y[0] < x[2]
+    inside = lambda x, y: x[0] <= y[0] and y[2] <= x[2] and y[2] - y[0] < x[2] - x[0]
+    left = [x for x in spans if not x[3] and not any(meets(x, y) and not inside(x, y) for y in base)]
+    taken = []
+    for x in sorted(left, key=lambda x: (-x[4], x[0], x[1])):
+        if not any(meets(x, y) for y in taken):
+            taken.append(x)
+    return sorted((*base, *taken))
+
+
+def test_choice_equals_looking_at_all_pairs(spark):
+    rng = random.Random(8)
+    rows = []
+    for n in (*[rng.randrange(0, 40) for _ in range(300)], 3000, 1500):
+        spans = []
+        for k in range(8):
+            at = 0
+            for _ in range(n // 8 + 1):
+                at += rng.choice((0, 1, 3, 9, 200))
+                size = rng.choice((4, 7, 12, 30, *([2000] if k == 0 else [])))
+                spans.append((at, k, at + size, k < 4, float(rng.randrange(5)) if k >= 4 else 0.0))
+                at += size
+        rows.append((len(rows), sorted(spans)))
+    df = spark.createDataFrame(rows, "id int, __all array<struct<start:bigint,kind:int,end:bigint,base:boolean,margin:double>>").repartition(4)
+    for r in _chosen(df).select("id", "pii").collect():
+        assert [tuple(x) for x in r["pii"]] == greedy(rows[r["id"]][1])
+
+
+def test_a_long_address_with_many_numbers_is_one_span(spark):
+    """Numbers within an address give way to it, however many there are; what falls to it drops no other."""
+    for n in (3, 300, 2000):
+        text = ".".join(f"030_{i:04d}-0176-{i:04d}" for i in range(n)) + "@example.org"
+        r = detect(spark.createDataFrame([(text,)], "text string")).first()
+        spans = [(s["start"], s["kind"], s["end"]) for s in r["pii"]]
+        assert spans == base(text) and (0, 0, len(text)) in spans, n
+    text = "my nino, write to AB123456C at mail.com@bar.org"
+    r = detect(spark.createDataFrame([(text,)], "text string")).first()
+    assert ("national_id", "AB123456C") in [(KINDS[s["kind"]], text[s["start"] : s["end"]]) for s in r["pii"]]
