@@ -10,7 +10,8 @@ is half of what they leave: the turns that start in it, none of which is longer,
 history before it span no more than that. A turn longer than a cell is new in a window
 of its own, with as many of the turns before it as fit. Only a turn that is longer than
 the budget by itself exceeds it: a turn is never cut, and n_tokens tells. A system turn
-of over half the budget is not repeated.
+of over half the budget has a budget of its own: every window has it, and what else
+a window holds is at most ``fresh`` + ``history`` tokens.
 
 Sums are made in two levels, within blocks of 1,024 turn numbers and over blocks, so a
 long conversation is no single task's before it is put together again.
@@ -66,21 +67,22 @@ def windows(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: st
     up = Window.partitionBy("k").orderBy("blk").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy("k")
     sums = sums.select("k", "blk", (F.sum("s").over(up) - F.col("s")).alias("before"), (F.sum("c").over(up) - F.col("c")).alias("rows_before"), F.sum("s").over(whole).alias("total"), F.max("most").over(whole).alias("most"), F.min("first").over(whole).alias("first"))
-    sums = sums.withColumn("lead", F.expr(f"CASE WHEN first.role = 'system' AND first.n * 2 <= {fresh + history} THEN first.n ELSE 0L END")).drop("first")
+    sums = sums.withColumn("lead", F.expr(f"CASE WHEN first.role = 'system' AND first.n * 2 <= {fresh + history} THEN first.n ELSE 0L END")).withColumn("led", F.col("first.role") == "system").drop("first")
     sums = sums.withColumn("cell", F.expr(f"greatest(({fresh} - lead) div 2, 1L)"))
     own = Window.partitionBy("k", "blk").orderBy("turn", "role", "n", "text")
     t = t.join(sums, ["k", "blk"]).withColumns({"a": F.col("before") + F.sum("n").over(own.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"), "pos": F.col("rows_before") + F.row_number().over(own)})
     # Windows come in pairs: of the turns that start in a cell, and of the long one among them, which is the last.
-    t = t.withColumns({"w": F.expr("a div cell"), "long": F.col("n") > F.col("cell"), "sys": F.expr("pos = 1 AND lead > 0")})
+    t = t.withColumns({"w": F.expr("a div cell"), "long": F.col("n") > F.col("cell"), "sys": F.expr("pos = 1 AND led")})
+    t = t.withColumn("w_n", F.expr("CASE WHEN sys THEN lead ELSE n END"))
     again = F.expr(
         f"transform(filter(flatten(transform(sequence(w, CASE WHEN sys THEN (total - 1) div cell ELSE (a + {history}) div cell END), x -> array(x * 2, x * 2 + 1))),"
         f" x -> x > w * 2 + int(long) AND (x % 2 = 0 OR most > cell)), x -> named_struct('win', x, 'new', false))"
     )
     dealt = t.withColumn("at", F.explode(F.concat(F.array(F.expr("named_struct('win', w * 2 + int(long), 'new', true)")), again)))
-    dealt = dealt.select("k", "conv_id", F.col("at.win").alias("window"), F.struct("pos", F.col("at.new").alias("new"), "n", "sys", (F.col("role") == "assistant").alias("learn"), escape_role(F.col("role")).alias("role"), escape(F.col("text")).alias("text")).alias("t"))
+    dealt = dealt.select("k", "conv_id", F.col("at.win").alias("window"), F.struct("pos", F.col("at.new").alias("new"), "n", F.col("w_n").alias("w"), "sys", (F.col("role") == "assistant").alias("learn"), escape_role(F.col("role")).alias("role"), escape(F.col("text")).alias("text")).alias("t"))
     grouped = dealt.groupBy("k", "window").agg(F.first("conv_id").alias("conv_id"), F.array_sort(F.collect_list("t")).alias("t")).filter(F.expr("exists(t, x -> x.new)"))
-    rest = "aggregate(slice(t, i + 1, size(t)), 0L, (s, y) -> s + CASE WHEN y.sys THEN 0L ELSE y.n END) + aggregate(t, 0L, (s, y) -> s + CASE WHEN y.sys THEN y.n ELSE 0L END)"
-    grouped = grouped.withColumn("t", F.expr(f"CASE WHEN aggregate(t, 0L, (s, x) -> s + x.n) <= {fresh + history} THEN t ELSE filter(t, (x, i) -> x.new OR x.sys OR {rest} <= {fresh + history}) END"))
+    rest = "aggregate(slice(t, i + 1, size(t)), 0L, (s, y) -> s + CASE WHEN y.sys THEN 0L ELSE y.w END) + aggregate(t, 0L, (s, y) -> s + CASE WHEN y.sys THEN y.w ELSE 0L END)"
+    grouped = grouped.withColumn("t", F.expr(f"CASE WHEN aggregate(t, 0L, (s, x) -> s + x.w) <= {fresh + history} THEN t ELSE filter(t, (x, i) -> x.new OR x.sys OR {rest} <= {fresh + history}) END"))
     spans = F.expr(
         f"aggregate(t, named_struct('at', 0L, 'spans', cast(array() as array<struct<start:bigint,end:bigint>>)), (acc, x) -> named_struct("
         f"'at', acc.at + {len(START) + 1 + len(END) + 1} + length(x.role) + length(x.text),"

@@ -366,30 +366,41 @@ def cut_up(m: Pieces, text: str, size: int) -> Iterator[tuple[str, int, int, int
     """Chunks (s, own, skip, until, last) of ``size`` characters of a normal string; of s the first ``own`` are the chunk's.
 
     Behind them s goes on as far as a piece or a unit that starts in the chunk may reach.
-    Units of the chunk lie between ``skip`` and ``until``.
+    Units of the chunk lie between ``skip`` and ``until``. A unit of many chunks is whole in
+    the first of them only, so a text without any cut is written about twice.
     """
     parts = m.normal_parts(text, size)
-    buffer, skip, ended = "", 0, False
-
-    def fill(n: int) -> None:
-        nonlocal buffer, ended
-        while len(buffer) < n and not ended:
-            more = next(parts, None)
-            ended, buffer = more is None, buffer + (more or "")
+    buffer, at, skip, ended = "", 0, 0, False
+
+    def fill(n: int, cut: bool = False) -> None:
+        """At least ``n`` characters from ``at`` on, with ``cut`` as many more as it takes to a cut in what is new."""
+        nonlocal buffer, at, ended
+        more, have, found = [], len(buffer) - at, False
+        while not ended and (have < n or cut and not found):
+            part = next(parts, None)
+            ended = part is None
+            if part:
+                found = cut and len(m.cuts((more[-1] if more else buffer)[-1:] + part)) > 0
+                more.append(part)
+                have += len(part)
+        if more:
+            buffer, at = buffer[at:] + "".join(more), 0
 
     fill(size + m.reach)
-    while buffer:
-        own = min(size, len(buffer))
-        until = own
-        while own < len(buffer) and not len(at := m.cuts(buffer[own - 1 :])):
-            until = len(buffer)
-            if ended:
-                break
-            fill(len(buffer) + 1)
+    while at < len(buffer):
+        own = min(size, len(buffer) - at)
+        if skip >= own:  # a unit that started before goes on behind this chunk
+            rest = skip - own
+            skip = until = own
         else:
-            until = own - 1 + int(at[0]) if own < len(buffer) else own
-        yield buffer[: max(until, own + m.reach - 1)], own, skip, until, own == len(buffer)
-        skip, buffer = until - own, buffer[own:]
+            if own < len(buffer) - at and not len(m.cuts(buffer[at + own - 1 :])):
+                fill(len(buffer) - at, cut=True)
+            cuts = m.cuts(buffer[at + own - 1 :]) if own < len(buffer) - at else ()
+            until = own - 1 + int(cuts[0]) if len(cuts) else len(buffer) - at
+            rest = until - own
+        yield buffer[at : at + max(until, own + m.reach - 1)], own, skip, until, own == len(buffer) - at
+        at += own
+        skip = rest
         fill(size + m.reach)
 
 

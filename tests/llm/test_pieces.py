@@ -132,3 +132,16 @@ def test_long_texts_go_by_their_matrices(spark, monkeypatch):
     assert encode(df, chunk=1 << 20).first() == whole and not seen
     cut = encode(df).first()
     assert seen == [(3, 3)] and (cut["ids"], cut["best_score"], cut["n_best"]) == (whole["ids"], whole["best_score"], whole["n_best"])
+
+
+def test_chunks_of_a_text_without_cuts_are_linear():
+    """One letter, two letters and runs between words: the units are the same as those of the whole text, and what is written is about twice the text."""
+    m = model(piece_model())
+    for text, most in (("a" * 300_000, 2.1), ("ab" * 150_000, 2.1), ("=" * 10_000_000, 2.1), ("word " * 20_000 + "a" * 100_000 + " word" * 20_000, 1.6)):
+        s = m.normal(text)
+        size = 1 << 15
+        chunks = list(cut_up(m, text, size))
+        assert "".join(c[:own] for c, own, *_ in chunks) == s
+        assert "".join(c[skip:until] for c, _, skip, until, _ in chunks) == s
+        assert [last for *_, last in chunks] == [False] * (len(chunks) - 1) + [True]
+        assert sum(len(c) for c, *_ in chunks) <= most * len(s)
