@@ -170,3 +170,24 @@ def j10(spark, d):
     b = e.select("user_id", "step", F.col("event_id").alias("near"), F.col("ts").alias("at"))
     j = a.join(b, ["user_id", "step"]).filter("at > ts AND at < ts + INTERVAL 70 MINUTES")
     return j.groupBy("event_id").agg(F.min(F.struct("at", "near")).alias("m")).select("event_id", "m.near")
+
+
+@query("c28_edits", """WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS a FROM documents WHERE text IS NOT NULL AND len(string_split(text, chr(10))) >= 3 AND NOT regexp_matches(text, '[‘’“”]')),
+e AS (SELECT doc_id, text, a, doc_id % 4 AS k, a[2] || chr(10) || a[3] AS pair FROM l),
+o AS (SELECT *, CASE k WHEN 0 THEN pair WHEN 1 THEN '  ' || a[2] || chr(10) || a[3] || '   ' WHEN 2 THEN ' ' || replace(replace(pair, 'a', '’'), chr(10), '  ' || chr(10)) ELSE replace(a[2], 'a', '’') END AS old,
+CASE WHEN k < 2 THEN text ELSE replace(text, 'a', chr(39)) END AS content FROM e),
+w AS (SELECT *, string_split(content, chr(10)) AS c, list_transform(string_split(replace(old, '’', chr(39)), chr(10)), lambda x: trim(x, ' ')) AS t FROM o WHERE trim(a[2], ' ') <> '' AND trim(a[3], ' ') <> '' AND text NOT LIKE '%' || chr(10)),
+f AS (SELECT *, list_filter(range(1, len(c) - len(t) + 2), lambda i: list_transform(c[i : i + len(t) - 1], lambda x: trim(x, ' ')) = t) AS hit, (length(content) - length(replace(content, replace(old, '’', chr(39)), ''))) // length(old) AS n FROM w)
+SELECT doc_id, CASE WHEN contains(content, old) THEN 'exact' WHEN len(hit) > 0 AND k = 1 THEN 'lines' WHEN len(hit) > 0 AND contains(old, '’') THEN 'lines_quotes' WHEN len(hit) > 0 THEN 'lines' WHEN n > 0 THEN 'quotes' END AS way,
+(CASE WHEN contains(content, old) THEN n WHEN len(hit) > 0 THEN len(hit) ELSE n END)::BIGINT AS matches FROM f""")
+def c28(spark, d):
+    """Edits of documents with three lines or more: as they are, with other blanks around, with curly quotes for straight ones, or a line with them."""
+    from ..operators import edits
+
+    t = table(spark, d, "documents").filter("text IS NOT NULL AND text NOT RLIKE '[‘’“”]' AND text NOT LIKE '%\n'").withColumn("a", F.split("text", "\n", -1)).filter("size(a) >= 3 AND trim(a[1]) <> '' AND trim(a[2]) <> ''")
+    k, a = F.col("doc_id") % 4, F.col("a")
+    pair = F.concat(a[1], F.lit("\n"), a[2])
+    curly = lambda x: F.replace(x, F.lit("a"), F.lit("’"))
+    old = F.when(k == 0, pair).when(k == 1, F.concat(F.lit("  "), pair, F.lit("   "))).when(k == 2, F.concat(F.lit(" "), F.replace(curly(pair), F.lit("\n"), F.lit("  \n")))).otherwise(curly(a[1]))
+    content = F.when(k < 2, F.col("text")).otherwise(F.replace("text", F.lit("a"), F.lit("'")))
+    return edits.located(t.select("doc_id", content.alias("content"), old.alias("old")), "content", "old").select("doc_id", "way", "matches")

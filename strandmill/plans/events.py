@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import cron
 from ..functions import scoring as S
 from ..operators import histories as H
 from ..streaming import batch as B
@@ -69,6 +70,16 @@ def c22(spark, d):
     return events(spark, d).select("event_id", F.coalesce(run.cast("long"), F.lit(-1)).alias("next_run"), ((F.col("value") > 5) & (F.col("event_id") * 1000 <= 500000)).alias("due"))
 
 
+@query("n4_cron", """SELECT event_id, epoch_ms(CASE WHEN due > ts THEN due ELSE due + INTERVAL 7 DAY END) AS next_run FROM (SELECT event_id, ts,
+date_trunc('day', ts) + INTERVAL 1 DAY * ((event_id % 7 - dayofweek(ts) + 7) % 7)::INTEGER + INTERVAL 1 HOUR * (event_id % 24)::INTEGER + INTERVAL 1 MINUTE * (event_id % 60)::INTEGER AS due FROM events)""")
+def n4(spark, d):
+    """A weekly schedule for every event, at a minute, an hour and a weekday of its own, and when it runs next."""
+    n = F.col("event_id")
+    expr = F.concat_ws(" ", *[(n % k).cast("string") if k else F.lit("*") for k in (60, 24, 0, 0, 7)])
+    at = F.unix_millis(F.col("ts").cast("timestamp"))
+    return events(spark, d).select("event_id", cron.next_cron(expr, at, F.lit("UTC")).alias("next_run"))
+
+
 @query("c23_n5_idle", f"SELECT user_id, ((epoch_us(TIMESTAMP '{NOW}') - epoch_us(max(ts))) // 60000000)::BIGINT AS idle_minutes, epoch_us(TIMESTAMP '{NOW}') - epoch_us(max(ts)) >= 1440 * 60000000::BIGINT AS expired FROM events GROUP BY user_id")
 def c23(spark, d):
     g = events(spark, d).groupBy("user_id").agg(F.max("ts").cast("timestamp").alias("last"))

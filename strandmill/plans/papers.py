@@ -139,12 +139,15 @@ def r9(spark, d):
     return changes.expire(e, "user_id", "ts", "event_type", now, 1440).select("user_id", "event_type")
 
 
-@query("m4_reindex", "SELECT count(*)::BIGINT AS docs, sum(len(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+')))::BIGINT AS tokens FROM documents WHERE lang = 'en'")
+@query("m4_reindex", "WITH t AS (SELECT lang, len(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+')) AS n FROM documents) SELECT 'all' AS index, count(*)::BIGINT AS docs, sum(n)::BIGINT AS tokens FROM t UNION ALL SELECT 'rebuilt', count(*)::BIGINT, sum(n)::BIGINT FROM t WHERE lang IS DISTINCT FROM 'en'")
 def m4(spark, d):
-    """The index of all documents, then rebuilt for those that are left."""
+    """The index of all documents; then English ones are deleted and it is rebuilt from those that are left."""
     docs = table(spark, d, "documents").select("doc_id", "text", "lang")
-    index = bm25.Index.fit(docs.filter("lang = 'en'")).written()
-    return index.lengths.agg(F.count("*").alias("docs"), F.sum("doc_len").cast("long").alias("tokens"))
+    sizes = lambda name, index: index.lengths.agg(F.lit(name).alias("index"), F.count("*").alias("docs"), F.sum("doc_len").cast("long").alias("tokens"))
+    first = bm25.Index.fit(docs).written()
+    gone = docs.filter("lang = 'en'").select("doc_id")
+    left = docs.join(gone, "doc_id", "left_anti")
+    return sizes("all", first).unionByName(sizes("rebuilt", bm25.Index.fit(left).written()))
 
 
 @query("a25_memory_entries", "SELECT p_partkey, 'u' || p_partkey AS uid, 'note ' || p_name AS text, p_size::INT AS importance FROM part")
@@ -203,23 +206,24 @@ def n17(spark, d):
     return table(spark, d, "part").select("p_partkey", files.mime(F.concat(head, F.col("p_name").cast("binary"))).alias("mime"))
 
 
-@query("a13_a14_walk", "SELECT 1::BIGINT AS files, true AS named")
+@query("a13_a14_walk", "SELECT 'n_regionkey=' || n_regionkey || '/n_nationkey=' || n_nationkey AS folder, length(n_name) + 1 AS size FROM nation WHERE n_regionkey <> 3")
 def a13(spark, d):
-    """A folder with one file that fits and hidden ones."""
-    root = shared.path(spark, "walk")
-    one = table(spark, d, "region").select(F.col("r_name").alias("value")).limit(1).coalesce(1)
-    one.write.text(f"{root}/sub")
-    one.write.text(f"{root}/.git/sub")
+    """A file for every nation below a folder of its region; those of one region are in a folder that a walk leaves out."""
+    root = shared.path(spark, "walk") + "/a.b+c/docs/docs"
+    rows = table(spark, d, "nation").select(F.col("n_name").alias("value"), "n_regionkey", "n_nationkey")
+    rows.filter("n_regionkey <> 3").write.partitionBy("n_regionkey", "n_nationkey").text(root)
+    rows.filter("n_regionkey = 3").write.partitionBy("n_regionkey", "n_nationkey").text(f"{root}/.git")
     found = files.walk(spark, root, "**/*.txt")
-    return found.agg(F.count("*").alias("files"), F.bool_and(F.col("name").endswith(".txt")).alias("named"))
+    return found.select(F.substring_index("path", "/", 2).alias("folder"), F.col("size").cast("long").alias("size"))
 
 
-@query("a5_session", "SELECT user_id::VARCHAR AS name, event_type AS content FROM events WHERE event_id < 50 AND event_id % 10 <> 9")
+@query("a5_session", "SELECT 'k' AS session, user_id::VARCHAR AS name, event_type AS content FROM events WHERE event_id % 10 <> 9")
 def a5(spark, d):
     """A session file with a header and, every ten lines, a broken one."""
     p = shared.path(spark, "session")
-    e = table(spark, d, "events").filter("event_id < 50")
+    e = table(spark, d, "events")
     line = F.when(F.col("event_id") % 10 == 9, F.lit('{"broken')).otherwise(F.to_json(F.struct(F.lit("user").alias("role"), F.col("event_type").alias("content"), F.col("user_id").cast("string").alias("name"))))
     head = spark.createDataFrame([('{"_type": "metadata", "key": "k"}',)], "value string")
     head.unionByName(e.select(line.alias("value"))).write.text(p)
-    return jsonl.read_session(spark, p, repair=True)[1].select("name", "content")
+    read, messages = jsonl.read_session(spark, p, repair=True)
+    return messages.crossJoin(F.broadcast(read.select(F.col("key").alias("session")).limit(1))).select("session", "name", "content")

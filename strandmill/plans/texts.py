@@ -21,9 +21,12 @@ def i1(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(t).cast("long").alias("n_tokens"), F.size(F.array_distinct(t)).cast("long").alias("n_terms"))
 
 
-@query("i2_sections", f"SELECT doc_id, 1::BIGINT AS section_no, substr(string_split(trim(text, {WS}), chr(10))[1], 1, 40) AS head, length(CASE WHEN trim(substr(trim(text, {WS}), length(string_split(trim(text, {WS}), chr(10))[1]) + 1), {WS}) = '' THEN trim(text, {WS}) ELSE trim(substr(trim(text, {WS}), length(string_split(trim(text, {WS}), chr(10))[1]) + 1), {WS}) END)::BIGINT AS body_chars FROM documents WHERE NOT regexp_matches(text, '\\n\\n')")
+@query("i2_sections", f"""WITH p AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '\\n{{2,}}'), lambda x: trim(x, {WS})), lambda x: x <> '') AS a FROM documents),
+s AS (SELECT doc_id, unnest(CASE WHEN len(a) = 0 THEN [NULL] ELSE a END) AS part, unnest(range(1, greatest(len(a), 1) + 1)) AS section_no FROM p),
+h AS (SELECT *, string_split(part, chr(10))[1] AS first FROM s)
+SELECT doc_id, section_no, coalesce(substr(first, 1, 40), '全文') AS head, coalesce(length(CASE WHEN trim(substr(part, length(first) + 1), {WS}) = '' THEN part ELSE trim(substr(part, length(first) + 1), {WS}) END), 0)::BIGINT AS body_chars FROM h""")
 def i2(spark, d):
-    """The SQL leaves out texts with blank lines and null; here they have all their sections, null as an empty text."""
+    """All sections of all documents; a null text is an empty one."""
     t = X.sections(F.coalesce("text", F.lit("")))
     return table(spark, d, "documents").select("doc_id", F.posexplode(t).alias("p", "s")).select("doc_id", (F.col("p") + 1).cast("long").alias("section_no"), F.col("s.head").alias("head"), F.length("s.body").cast("long").alias("body_chars"))
 

@@ -38,7 +38,7 @@ def i12(spark, d):
 @query("i4_chunks")
 def i4(spark, d):
     """Chunks of about 1,500 characters of whole documents; lines are paragraphs."""
-    parts = F.filter(F.transform(F.split(made(F.col("text")), "\n", -1), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(made(F.col("text")), "\n", -1), lambda x: F.trim(x)), lambda p: p != "")
     t = table(spark, d, "documents").select("doc_id", F.posexplode(fragments.chunked(parts, 1500)).alias("no", "chunk"))
     return t.select("doc_id", "no", F.length("chunk").alias("size"), F.sha2(F.col("chunk").cast("binary"), 256).alias("chunk"))
 
@@ -52,7 +52,7 @@ e AS (SELECT doc_id, no - 1 AS no, ps, done AS d FROM r WHERE done IS NOT NULL U
 SELECT doc_id, no::INTEGER AS no, sha256(array_to_string(list_transform(d, lambda x: ps[x]), chr(10) || chr(10))) AS chunk FROM e""".replace("\\\\s", "\\s"))
 def i4_plain(spark, d):
     """The same without marks and without lines of over twice the size: what fills a chunk and what rolls over."""
-    parts = F.filter(F.transform(F.split(F.replace("text", F.lit("$"), F.lit("")), "\n", -1), F.trim), lambda p: (p != "") & (F.length(p) <= 3000))
+    parts = F.filter(F.transform(F.split(F.replace("text", F.lit("$"), F.lit("")), "\n", -1), lambda x: F.trim(x)), lambda p: (p != "") & (F.length(p) <= 3000))
     t = table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", F.posexplode(fragments.chunked(parts, 1500)).alias("no", "chunk"))
     return t.select("doc_id", "no", F.sha2(F.col("chunk").cast("binary"), 256).alias("chunk"))
 

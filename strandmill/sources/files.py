@@ -14,8 +14,11 @@ IGNORED = (".git", "node_modules", "__pycache__", ".venv", "venv", "dist", "buil
 def walk(spark: SparkSession, path: str, pattern: str = "**/*", ignored: tuple[str, ...] = IGNORED) -> DataFrame:
     """(path, name, size, mtime) of files below a folder whose path from there fits the glob; contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "modificationTime")
-    rel = F.regexp_replace(F.col("path"), "^.*" + path.rstrip("/").rsplit("/", 1)[-1] + "/", "")
-    hidden = F.exists(F.split(F.col("path"), "/"), lambda p: p.isin(*ignored))
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    # Spark gives paths in full, with their scheme; what is before the folder has a known length.
+    root = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString().rstrip("/")
+    rel = F.substring(F.col("path"), len(root) + 2, 1 << 30)
+    hidden = F.exists(F.split(rel, "/"), lambda p: p.isin(*ignored))
     out = files.select(rel.alias("path"), F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), hidden.alias("hidden"))
     return out.filter(~F.col("hidden") & F.col("path").rlike(X.glob_to_regex(pattern))).drop("hidden")
 
