@@ -34,7 +34,7 @@ def walked(expr, after, zone, most=60 * 24 * 70):
         at = (after // 60000 + k) * 60000
         d = datetime.fromtimestamp(at / 1000, ZoneInfo(zone))
         day, week = d.day in sets[2], d.isoweekday() % 7 in {x % 7 for x in sets[4]}
-        fits = (day or week) if f[2] != "*" and f[4] != "*" else (day and week)
+        fits = (day or week) if len(sets[2]) < 31 and len({x % 7 for x in sets[4]}) < 7 else (day and week)
         if not d.fold and d.minute in sets[0] and d.hour in sets[1] and d.month in sets[3] and fits:
             return at
     return None
