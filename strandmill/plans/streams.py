@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..sources import shared
-from ..streaming import sinks, stateful
+from ..sources import headers, shared
+from ..streaming import hooks, sinks, stateful
 from .registry import query, table
 
 SLICES = 4
@@ -102,3 +102,40 @@ def r11_replay(spark, d):
     t = c.select("conv_id", F.slice("m", F.lit(1), F.greatest(n - cut, F.lit(0))).alias("h"), F.concat(F.slice("m", at, n), open_calls).alias("r"))
     full = sinks.resumed(F.col("h"), F.col("r"))
     return t.select("conv_id", (F.size("h") + F.size("r") - F.size(full)).cast("long").alias("overlap"), F.array_join(full, "\n").alias("history"))
+
+
+@query("u4_session_headers", "SELECT 'c' || conv_id AS key, 'turns ' || count(*) AS created_at FROM conversations WHERE conv_id IN (3, 5, 13) GROUP BY conv_id")
+def u4(spark, d):
+    """A file per conversation, with a header and its turns; of three keys only the headers are read."""
+    p = shared.path(spark, "sessions")
+    t = table(spark, d, "conversations").filter("conv_id IS NOT NULL")
+    head = t.groupBy("conv_id").agg(F.lit(None).cast("long").alias("turn"), F.to_json(F.struct(F.lit("metadata").alias("_type"), F.concat(F.lit("c"), F.first("conv_id")).alias("key"), F.concat(F.lit("turns "), F.count("*")).alias("created_at"))).alias("value"))
+    lines = head.unionByName(t.select("conv_id", "turn", F.to_json(F.struct("role", F.col("text").alias("content"))).alias("value")))
+    dealt = lines.withColumn("key", F.concat(F.lit("c"), "conv_id")).repartition("key").sortWithinPartitions("key", F.asc_nulls_first("turn"))
+    dealt.select("key", "value").write.partitionBy("key").text(p)
+    found = headers.session_headers(spark, p, r"key=([^/]+)/part-[^/]*$")
+    return found.filter(F.col("key").isin("c3", "c5", "c13")).select("key", "created_at")
+
+
+@query("u5_listener", "SELECT count(*)::BIGINT AS n_rows, 5::BIGINT AS batches, true AS ended FROM events")
+def u5(spark, d):
+    """Rows and batches of a stream as hooks are told them; one hook fails every time and stops nothing."""
+
+    class Count:
+        rows = batches = 0
+        over = False
+
+        def batch(self, run, number, rows):
+            self.rows, self.batches = self.rows + rows, self.batches + (rows > 0)
+
+        def ended(self, run, error):
+            self.over = error is None
+
+    class Broken:
+        def batch(self, run, number, rows):
+            raise RuntimeError("a hook that fails")
+
+    told = Count()
+    with hooks.hooked(spark, Broken(), told):
+        sinks.drain(sliced(spark, d).select("event_id"), shared.path(spark, "heard"))
+    return spark.range(1).select(F.lit(told.rows - 1).cast("long").alias("n_rows"), F.lit(told.batches).cast("long").alias("batches"), F.lit(told.over).alias("ended"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import fragments, latex
+from ..functions import fragments, latex, validators
 from ..operators import folds
 from .registry import query, table
 
@@ -78,3 +78,63 @@ def i15_braces(spark, d):
 def i14_all(spark, d):
     """All formulas of whole documents with number and context."""
     return latex.formulas(table(spark, d, "documents"), made(F.col("text")), ["doc_id"])
+
+
+#: A candidate for every line: its first 80 characters, some words as commands, points and commas as braces, some blanks as operators or indices.
+_LINE = """CASE doc_id % 5 WHEN 0 THEN replace(replace(replace(s, '.', '{'), ',', '}'), 'th', '{b}alpha ') WHEN 1 THEN replace(replace(s, 'an', '{b}foo '), 'er', '{b}frac') WHEN 2 THEN replace(s, ' ', ' = ') WHEN 3 THEN replace(substr(s, 1, 9), ' ', ' + ') ELSE substr(replace(s, 'e', ' '), 1, 30) || CASE WHEN doc_id % 2 = 0 THEN '_1' ELSE '' END END"""
+_LINES = f"SELECT doc_id, {_LINE.replace('{b}', chr(92))} AS x FROM (SELECT doc_id, substr(translate(string_split(text, chr(10))[1], chr(92) || '{{}}', ''), 1, 80) AS s FROM documents WHERE text IS NOT NULL)"
+
+
+def _candidates(spark, d):
+    first = F.substring(F.translate(F.split("text", "\n", 2)[0], "\\{}", ""), 1, 80)
+    t = table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", first.alias("s"))
+    return t.select("doc_id", F.expr(_LINE.replace('{b}', chr(92) * 2)).alias("x"))
+
+
+def _told(spark, d, check):
+    found = check(F.col("x"))
+    return _candidates(spark, d).select("doc_id", F.size(found).cast("long").alias("n"), F.array_join(found, ",").alias("found"))
+
+
+_BARE = r"regexp_replace(x, '\\[a-zA-Z]+(\{[^}]*\})*', ' ', 'g')"
+_SIGN = r"[\[\]{}()|,.;:+*/=<>≤≥≠≈≡∈⊂⊆∪∩∫∑∏∇∂⋅×±−-]"
+_WORDS = rf"list_filter(regexp_split_to_array(regexp_replace({_BARE}, '{_SIGN}', ' ', 'g'), '\s+'), lambda t: t <> '')"
+
+
+@query("i31_braces", f"""WITH RECURSIVE c AS ({_LINES}), t AS (SELECT doc_id, regexp_extract_all(x, '\\\\.|[{{}}]') AS a FROM c),
+r AS (SELECT doc_id, a, 0 AS i, 0 AS depth, 0 AS over FROM t UNION ALL SELECT doc_id, a, i + 1, greatest(0, depth + s), over + (depth + s < 0)::INT FROM (SELECT *, CASE a[i + 1] WHEN '{{' THEN 1 WHEN '}}' THEN -1 ELSE 0 END AS s FROM r WHERE i < len(a)))
+SELECT doc_id, (over + (depth > 0)::INT)::BIGINT AS n, array_to_string(list_transform(range(over), lambda k: 'unexpected') || CASE WHEN depth > 0 THEN ['unclosed:' || depth] ELSE [] END, ',') AS found FROM r WHERE i = len(a)""")
+def i31_braces(spark, d):
+    return _told(spark, d, validators.braces)
+
+
+@query("i31_commands", f"WITH c AS ({_LINES}), t AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(x, '\\\\[a-zA-Z][a-zA-Z]+'), lambda t: t[2:]), lambda t: NOT list_contains(string_split('{' '.join(validators.COMMANDS)}', ' '), t)) AS a FROM c) SELECT doc_id, len(a) AS n, array_to_string(a, ',') AS found FROM t")
+def i31_commands(spark, d):
+    return _told(spark, d, validators.commands)
+
+
+@query("i31_garbled")
+def i31_garbled(spark, d):
+    return _told(spark, d, validators.garbled)
+
+
+@query("i31_prose")
+def i31_prose(spark, d):
+    return _told(spark, d, validators.prose)
+
+
+@query("i31_naked_operator", f"WITH c AS ({_LINES}), t AS (SELECT doc_id, regexp_extract_all({_BARE}, '[=+*/<>≤≥≠≈≡∈⊂⊆∪∩-]') AS o, len(regexp_extract_all({_BARE}, '[a-zA-Z0-9]')) AS n FROM c) SELECT doc_id, (CASE WHEN len(o) = 1 AND n < 2 THEN 1 ELSE 0 END)::BIGINT AS n, CASE WHEN len(o) = 1 AND n < 2 THEN o[1] ELSE '' END AS found FROM t")
+def i31_naked(spark, d):
+    return _told(spark, d, validators.naked_operator)
+
+
+@query("i31_lost_index", f"WITH c AS ({_LINES}), t AS (SELECT doc_id, x, {_WORDS} AS w FROM c), s AS (SELECT *, list_filter(w, lambda t: length(regexp_replace(t, '[^a-zA-Z0-9]', '', 'g')) BETWEEN 1 AND 2) AS o FROM t), k AS (SELECT doc_id, CASE WHEN NOT regexp_matches(x, '[_^]') AND len(o) >= 2 AND len(w) >= 3 THEN o ELSE [] END AS o FROM s) SELECT doc_id, len(o)::BIGINT AS n, array_to_string(o, ',') AS found FROM k")
+def i31_index(spark, d):
+    return _told(spark, d, validators.lost_index)
+
+
+@query("i31_report")
+def i31_report(spark, d):
+    """What speaks against each candidate, of all validators."""
+    found = validators.errors(F.col("x"))
+    return _candidates(spark, d).select("doc_id", (F.size(found) == 0).alias("passed"), found.alias("errors"))
