@@ -66,9 +66,9 @@ def braces(latex: Column) -> Column:
 
 
 def commands(latex: Column) -> Column:
-    """Commands of two letters or more that are not known."""
-    named = F.filter(tokens(latex), lambda t: t.rlike(r"^\\[a-zA-Z]{2,}$"))
-    return F.filter(F.transform(named, lambda t: F.substring(t, 2, 1 << 20)), lambda t: ~t.isin(*COMMANDS))
+    """Commands of two letters or more that are not known, also right behind a line break, where a backslash is often lost."""
+    named = F.regexp_extract_all(latex, F.lit(r"\\([a-zA-Z]{2,}|\{E\})"), F.lit(1))
+    return F.filter(named, lambda t: ~t.isin(*COMMANDS))
 
 
 def garbled(latex: Column) -> Column:

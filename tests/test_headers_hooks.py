@@ -56,7 +56,7 @@ def plain(latex):
         over += depth < 0
         depth = max(depth, 0)
     out += ["braces: unexpected"] * over + [f"braces: unclosed:{depth}"] * (depth > 0)
-    out += [f"commands: {c}" for c in re.findall(r"\\([a-zA-Z]{2,})", latex) if c not in V.COMMANDS]
+    out += [f"commands: {c}" for c in re.findall(r"\\([a-zA-Z]{2,}|\{E\})", latex) if c not in V.COMMANDS]
     bare = re.sub(r"\\[a-zA-Z]+(?:\{[^}]*\})*", " ", latex)
     if not re.search("[_^]", latex):
         run = []
