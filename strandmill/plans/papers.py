@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import formula as M
 from ..functions import markup as K
-from ..operators import bm25, changes, layout
+from ..operators import assembly, bm25, changes, layout
 from ..sources import files, jsonl, notes, shared
 from .registry import query, table
 
@@ -227,3 +227,33 @@ def a5(spark, d):
     head.unionByName(e.select(line.alias("value"))).write.text(p)
     read, messages = jsonl.read_session(spark, p, repair=True)
     return messages.crossJoin(F.broadcast(read.select(F.col("key").alias("session")).limit(1))).select("session", "name", "content")
+
+
+def _spans(spark, d):
+    """Pages of whole documents: a line is a block of ten to a page, its words are spans; every seventh block is a heading, every ninth has a figure behind it."""
+    lines = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("i"), x.alias("x")))
+    t = table(spark, d, "documents").filter("text IS NOT NULL").select(F.col("doc_id").alias("doc"), F.explode(lines).alias("l")).select("doc", "l.i", "l.x")
+    head = F.col("i") % 7 == 0
+    said = F.when(head, F.concat((F.floor(F.col("i") / 7) + 1).cast("string"), F.lit(" Method"))).otherwise(F.regexp_replace("x", "[^A-Za-zÀ-ÿ ]", ""))
+    top = (F.col("i") % 10 * 60).cast("double")
+    words = t.select("doc", F.floor(F.col("i") / 10).cast("int").alias("page"), (F.col("i") % 10 * 2).cast("int").alias("block"), F.when(head, 12.0).otherwise(9.0).alias("size"), top.alias("top"), F.posexplode(F.split(F.trim(said), "(?<= )")).alias("span", "text"))
+    words = words.select("doc", "page", "block", F.lit(0).alias("line"), "span", "text", F.lit("Times").alias("font"), "size", F.lit(50.0).alias("left"), F.lit(500.0).alias("right"), "top", (F.col("top") + 12).alias("bottom"))
+    image = t.filter("i % 9 = 4").select("doc", F.floor(F.col("i") / 10).cast("int").alias("page"), (F.col("i") % 10 * 2 + 1).cast("int").alias("block"), F.lit(50.0).alias("left"), F.lit(500.0).alias("right"), (top + 13).alias("top"), (top + F.when(F.col("i") % 2 == 0, 73).otherwise(33)).alias("bottom"))
+    return words.unionByName(image, allowMissingColumns=True)
+
+
+@query("a18_blocks", """WITH l AS (SELECT doc_id, u.x, u.n - 1 AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents WHERE text IS NOT NULL) q, LATERAL (SELECT unnest(q.a) AS x, generate_subscripts(q.a, 1) AS n) u),
+w AS (SELECT doc_id, i, i % 10 * 2 AS block, CASE WHEN i % 7 = 0 THEN 'heading' ELSE 'text' END AS kind FROM l WHERE i % 7 = 0 OR trim(regexp_replace(x, '[^A-Za-zÀ-ÿ ]', '', 'g'), ' ') <> ''
+UNION ALL SELECT doc_id, i, i % 10 * 2 + 1, 'figure' FROM l WHERE i % 9 = 4 AND i % 2 = 0)
+SELECT doc_id AS doc, (i // 10)::INT AS page, block::INT AS block, row_number() OVER (PARTITION BY doc_id, i // 10 ORDER BY block)::INT AS place, kind, CASE WHEN i // 7 >= 0 THEN (i // 7 + 1) || ' Method' END AS section,
+CASE WHEN kind = 'figure' THEN count(*) FILTER (WHERE kind = 'figure') OVER (PARTITION BY doc_id ORDER BY i, block) END AS figure FROM w""")
+def a18_blocks(spark, d):
+    """Sections carried over pages, and figures of the right size counted, on pages of one column."""
+    parts = assembly.assembled(_spans(spark, d))
+    return parts.select("doc", "page", "block", "place", "kind", "section", "figure")
+
+
+@query("a18_documents")
+def a18_documents(spark, d):
+    parts = assembly.assembled(_spans(spark, d))
+    return assembly.full_texts(parts).select("doc", F.sha2(F.col("text").cast("binary"), 256).alias("text"), "sections", "figures", "formulas")
