@@ -8,48 +8,26 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import bound, tokens
+from ..functions.text import tokens
 from ..sources import shared
 
 K1, B = 1.5, 0.75
 WORD = r"[\p{L}\p{N}_]"
 
 
-def _counted(sorted_tokens: Column) -> Column:
-    """(n, terms): equal tokens stand side by side, so each run of them is a term and its count."""
-    n = F.size(sorted_tokens)
-    places = F.filter(F.sequence(F.lit(0), n), lambda i: (i == n) | (i == 0) | (F.get(sorted_tokens, i) != F.get(sorted_tokens, i - 1)))
-
-    def runs(begins: Column) -> Column:
-        return F.transform(F.slice(begins, 1, F.size(begins) - 1), lambda b, k: F.struct(F.get(sorted_tokens, b).alias("term"), (F.get(begins, k + 1) - b).cast("long").alias("tf")))
-
-    return F.struct(n.alias("n"), bound(places, runs).alias("terms"))
-
-
 @dataclass
 class Index:
-    """counts(doc, doc_len, terms): a row per document with its terms and how often each occurs."""
+    """lengths(doc, doc_len), a row per document, and postings(doc, term, tf)."""
 
-    counts: DataFrame
-    dealt: DataFrame | None = None
+    lengths: DataFrame
+    postings: DataFrame
 
     @staticmethod
     def fit(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> Index:
-        """A document without tokens counts among the documents; null texts have none. Terms are counted within the row, so nothing is shuffled."""
-        t = docs.select(F.col(doc).alias("doc"), bound(F.sort_array(tokens(F.coalesce(F.col(text), F.lit("")))), _counted).alias("c"))
-        return Index(t.select("doc", F.col("c.n").alias("doc_len"), F.col("c.terms").alias("terms")))
-
-    @property
-    def postings(self) -> DataFrame:
-        """(doc, term, tf)"""
-        if self.dealt is not None:
-            return self.dealt
-        return self.counts.select("doc", F.explode("terms").alias("t")).select("doc", "t.term", "t.tf")
-
-    @property
-    def lengths(self) -> DataFrame:
-        """(doc, doc_len)"""
-        return self.counts.select("doc", "doc_len")
+        """A document without tokens counts among the documents; null texts have none. Tokens are counted in part before the shuffle, so a term often repeated in a document is one row."""
+        t = docs.select(F.col(doc).alias("doc"), tokens(F.coalesce(F.col(text), F.lit(""))).alias("t"))
+        postings = t.select("doc", F.explode("t").alias("term")).groupBy("doc", "term").agg(F.count("*").alias("tf"))
+        return Index(t.select("doc", F.size("t").alias("doc_len")), postings)
 
     @property
     def stats(self) -> DataFrame:
@@ -57,9 +35,8 @@ class Index:
         return self.lengths.agg(F.count("*").alias("n"), (F.sum("doc_len") / F.greatest(F.lit(1), F.count("*"))).alias("avgdl"))
 
     def written(self) -> Index:
-        """The same index as tables, the postings dealt and sorted by term, so that a search reads only the terms it asks for. A very common term may go to several tasks."""
-        counts = Index(shared.keep(self.counts, "counts"))
-        return Index(counts.counts, shared.keep(counts.postings.hint("rebalance", "term").sortWithinPartitions("term"), "postings"))
+        """The same index as tables, each written once, the postings dealt and sorted by term, so that a search reads only the terms it asks for. A very common term may go to several tasks."""
+        return Index(shared.keep(self.lengths, "lengths"), shared.keep(self.postings.hint("rebalance", "term").sortWithinPartitions("term"), "postings"))
 
     def terms(self) -> DataFrame:
         """df(term): the documents that hold it."""

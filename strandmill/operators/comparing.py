@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import shared
+
 
 def overlaps(features: DataFrame, item: str, feature: str) -> DataFrame:
     """(a, b, shared, jaccard) of items a < b that share a feature; a set is counted once for either.
@@ -34,9 +36,17 @@ def gaps(scores: DataFrame, item: str, dim: str, score: str, top: int = 3) -> Da
 
 
 def leaderboard(scores: DataFrame, item: str, score: str) -> DataFrame:
-    """(item, mean, best, n, spread, place): population spread, ties by item."""
+    """(item, mean, best, n, spread, place): population spread, ties by item.
+
+    Items are dealt by ranges of their order; a place is that in the range and the items of the ranges before.
+    """
     g = scores.groupBy(item).agg(F.avg(score).alias("mean"), F.max(score).alias("best"), F.count("*").alias("n"), F.stddev_pop(score).alias("spread"))
-    return g.withColumn("place", F.row_number().over(Window.orderBy(F.desc("mean"), item)))
+    order = [F.desc("mean"), F.asc(item)]
+    ranged = g.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)})
+    ranged = shared.keep(ranged, "ranged")
+    sizes = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
+    return ranged.join(F.broadcast(before), "__part").select(item, "mean", "best", "n", "spread", (F.col("__before") + F.col("__at") + 1).alias("place"))
 
 
 def matrix(scores: DataFrame, item: str, dim: str, score: str, dims: list[str], missing: float = 5.0) -> DataFrame:
