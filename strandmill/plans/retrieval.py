@@ -136,3 +136,36 @@ def n15(spark, d):
     from ..functions.scoring import parsed_score
 
     return table(spark, d, "benchmark").select("item_id", parsed_score(F.col("text")).alias("score"))
+
+
+def _by_length(texts):
+    """Answers a rerank by the length of each candidate, leaves out every fourth, and fails on batches of many."""
+    import re
+
+    if len(texts) > 3:
+        raise TimeoutError
+    return ["\n".join(f"<{i}>: {len(body) % 12}" for i, body in re.findall(r"<(\d+)>(.*?)</\1>", t, re.DOTALL) if int(i) % 4 != 3) for t in texts]
+
+
+@query("l9_rerank", """WITH n AS (SELECT count(*) AS n FROM benchmark), c AS (SELECT item_id, doc_id, least(length(coalesce(d.text, '')), 500) AS len, row_number() OVER (PARTITION BY item_id ORDER BY doc_id) - 1 AS no FROM documents d, benchmark b, n WHERE d.doc_id % n.n = b.item_id),
+k AS (SELECT *, count(*) OVER (PARTITION BY item_id) AS size FROM c WHERE no < 20),
+s AS (SELECT *, CASE WHEN size <= 2 THEN 10.0 WHEN no % 4 = 3 THEN 5.0 ELSE least(10.0, greatest(1.0, len % 12)) END::DOUBLE AS score FROM k)
+SELECT item_id, doc_id AS doc, score, place::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, no) AS place FROM s) WHERE place <= 2""")
+def l9(spark, d):
+    """Items of the benchmark as queries, each with the documents of its remainder as candidates; the stub rates them by length."""
+    from ..operators import calls
+
+    b = table(spark, d, "benchmark").select("item_id", F.col("text").alias("asked"))
+    c = table(spark, d, "documents").select("doc_id", F.coalesce(F.translate("text", "<>", "  "), F.lit("")).alias("text"), (F.col("doc_id") % F.lit(b.count())).alias("item_id"))
+    return calls.rerank(c.join(F.broadcast(b), "item_id"), "item_id", "asked", "doc_id", "text", "doc_id", _by_length, top=2)
+
+
+@query("l8_scores", """SELECT conv_id, dimension, CASE WHEN len % 7 <> 0 THEN least(10.0, greatest(1.0, len % 13))::DOUBLE END AS score, CASE WHEN len % 7 = 0 THEN 'missing score' END AS error
+FROM (SELECT conv_id, x AS dimension, length('Score ' || x || ' from 1 to 10:' || chr(10)) + least(3000, sum(length(text))) AS len FROM conversations, (VALUES ('novelty'), ('method')) v(x) GROUP BY conv_id, x)""")
+def l8(spark, d):
+    """Conversations scored in two dimensions by a stub that gives no number for every seventh length."""
+    from ..operators import calls
+
+    t = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.collect_list("text"), "").alias("t"))
+    fn = lambda texts: [f"I say {len(x) % 13}" if len(x) % 7 else "cannot say" for x in texts]
+    return calls.scored(t, "conv_id", "t", ["novelty", "method"], fn)
