@@ -362,6 +362,17 @@ def _whole(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBa
 CHUNK = "row long, i long, s string, own long, skip long, until long, last boolean"
 
 
+def next_cut(m: Pieces, s: str, at: int) -> int | None:
+    """The first cut behind ``at``; it mostly is near, so a little is looked through first."""
+    step = 256
+    while at + 1 < len(s):
+        found = m.cuts(s[at : at + step])
+        if len(found):
+            return at + int(found[0])
+        at, step = at + step - 1, 4 * step
+    return None
+
+
 def cut_up(m: Pieces, text: str, size: int) -> Iterator[tuple[str, int, int, int, bool]]:
     """Chunks (s, own, skip, until, last) of ``size`` characters of a normal string; of s the first ``own`` are the chunk's.
 
@@ -393,10 +404,11 @@ def cut_up(m: Pieces, text: str, size: int) -> Iterator[tuple[str, int, int, int
             rest = skip - own
             skip = until = own
         else:
-            if own < len(buffer) - at and not len(m.cuts(buffer[at + own - 1 :])):
+            cut = next_cut(m, buffer, at + own - 1)
+            if own < len(buffer) - at and cut is None:
                 fill(len(buffer) - at, cut=True)
-            cuts = m.cuts(buffer[at + own - 1 :]) if own < len(buffer) - at else ()
-            until = own - 1 + int(cuts[0]) if len(cuts) else len(buffer) - at
+                cut = next_cut(m, buffer, at + own - 1)
+            until = own if own == len(buffer) - at else len(buffer) - at if cut is None else cut - at
             rest = until - own
         yield buffer[at : at + max(until, own + m.reach - 1)], own, skip, until, own == len(buffer) - at
         at += own
