@@ -136,3 +136,14 @@ def tumbling(spark, d):
     """Beyond what is asked: fixed windows of a day."""
     w = F.window(F.col("ts").cast("timestamp"), "1 day")
     return events(spark, d).groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total")).select(F.unix_micros("w.start").alias("day"), "event_type", "n", "total")
+
+
+@query("u2_typed_tools", """SELECT event_id, CASE WHEN k <= 80 THEN k * 2 + 1 END::BIGINT AS result, CASE WHEN k IS NULL THEN 'Error: Invalid parameters for tool ''doubled'': missing required k' WHEN k > 80 THEN 'Error: Invalid parameters for tool ''doubled'': k must be <= 80' END AS error
+FROM (SELECT event_id, CASE WHEN event_id % 5 <> 4 THEN json_extract(props, '$.k')::BIGINT END AS k FROM events)""")
+def u2(spark, d):
+    """A tool with a bounded number, called with the properties of every event; every fifth call lacks it."""
+    from ..operators import tools
+
+    doubled = tools.Tool("doubled", lambda k, more: 2 * k + more.fillna(True).astype("int64"), "bigint", {"k": {"type": "integer", "required": True, "maximum": 80}, "more": {"type": "boolean"}})
+    given = F.when(F.col("event_id") % 5 == 4, F.lit('{"more": "yes"}')).otherwise(F.col("props"))
+    return tools.call(events(spark, d).select("event_id", given.alias("params")), doubled, "params").select("event_id", "result", "error")
