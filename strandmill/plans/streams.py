@@ -13,17 +13,23 @@ SLICES = 4
 BEAT = -(1 << 63)
 
 
-def sliced(spark, d):
-    """The events as a stream of files, a file a batch: SLICES slices by time and a late beat, so keys go on from batch to batch."""
+def sliced(spark, d, rows_a_file: int = 10_000):
+    """The events as a stream in SLICES batches by time and a late beat, so keys go on from batch to batch.
+
+    A slice is as many files as the smallest one has ``rows_a_file`` for, at most a file per
+    shuffle partition, and a batch is as many files, so batches begin where slices do.
+    """
     e = table(spark, d, "events").filter("ts IS NOT NULL AND user_id IS NOT NULL").withColumn("ts", F.col("ts").cast("timestamp"))
     p = shared.path(spark, "slices")
-    cuts = [c for c in e.agg(F.percentile_approx("ts", [i / SLICES for i in range(1, SLICES)])).first()[0] or []]
-    for low, high in zip([None, *cuts], [*cuts, None]):
-        own = e.filter((F.lit(True) if low is None else F.col("ts") >= F.lit(low)) & (F.lit(True) if high is None else F.col("ts") < F.lit(high)))
-        own.coalesce(1).write.mode("append").parquet(p)
-    beat = e.agg((F.max("ts") + F.expr("INTERVAL 400 DAYS")).alias("ts")).select(F.lit(BEAT - BEAT - 1).cast("long").alias("event_id"), "ts", F.lit(BEAT).alias("user_id"), F.lit("beat").alias("event_type"), F.lit(0.0).alias("value"), F.lit("").alias("props"))
+    cuts = e.agg(F.percentile_approx("ts", [i / SLICES for i in range(1, SLICES)])).first()[0] or []
+    which = sum(((F.col("ts") >= F.lit(c)).cast("int") for c in cuts), F.lit(0))
+    counts = {r[0]: r[1] for r in e.groupBy(which.alias("slice")).count().collect()}
+    files = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), min((counts.get(i, 0) for i in range(SLICES)), default=0) // rows_a_file))
+    for i in range(SLICES):
+        e.filter(which == i).repartition(files).write.mode("append").parquet(p)
+    beat = e.agg((F.max("ts") + F.expr("INTERVAL 400 DAYS")).alias("ts")).select(F.lit(-1).cast("long").alias("event_id"), "ts", F.lit(BEAT).alias("user_id"), F.lit("beat").alias("event_type"), F.lit(0.0).alias("value"), F.lit("").alias("props"))
     beat.coalesce(1).write.mode("append").parquet(p)
-    return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(p)
+    return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", files).parquet(p)
 
 
 def _all(spark, out, idle: bool = True):

@@ -165,3 +165,14 @@ def test_replay_adds_only_what_is_not_there(spark):
 def test_broken_run_goes_on(spark):
     got = QUERIES["r11_stream_recovery"](spark, SF)
     assert got.count() == got.distinct().count() == spark.read.parquet(f"{SF}/events.parquet").count()
+
+
+def test_slices_of_several_files_are_batches(spark, tmp_path):
+    """Two files a slice and more: a batch is a slice, nothing is late, and groups are those of the batch form."""
+    from strandmill.plans.streams import BEAT, SLICES, sliced
+
+    out = sinks.drained(spark, stateful.progress(sliced(spark, SF, rows_a_file=60), "user_id", "ts", "event_id", "event_type", 12 * 3600), str(tmp_path / "out")).filter(F.col("user_id") != BEAT)
+    want = QUERIES["r9_stream_expiry"](spark, SF)
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(key, out.select("user_id", "seq", "updates", "before").collect())) == sorted(map(key, want.collect()))
+    assert SLICES <= out.select("batch").distinct().count() <= SLICES + 2
