@@ -35,13 +35,16 @@ def gaps(scores: DataFrame, item: str, dim: str, score: str, top: int = 3) -> Da
     return p.withColumn("rn", F.row_number().over(Window.partitionBy("a", "b").orderBy(F.desc("delta"), "dim"))).filter(F.col("rn") <= top).drop("rn")
 
 
-def leaderboard(scores: DataFrame, item: str, score: str) -> DataFrame:
+def leaderboard(scores: DataFrame, item: str, score: str, digits: int | None = None) -> DataFrame:
     """(item, mean, best, n, spread, place): population spread, ties by item.
 
+    With ``digits`` means are rounded before places are dealt, so that means which differ only by the order of their sum are a tie.
     Items are dealt by ranges of their order; a place is that in the range and the items of the ranges before.
     """
     g = scores.groupBy(item).agg(F.avg(score).alias("mean"), F.max(score).alias("best"), F.count("*").alias("n"), F.stddev_pop(score).alias("spread"))
-    order = [F.desc("mean"), F.asc(item)]
+    if digits is not None:
+        g = g.withColumn("mean", F.round("mean", digits))
+    order = [F.desc("mean"), F.asc_nulls_last(item)]
     ranged = g.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)})
     ranged = shared.keep(ranged, "ranged")
     sizes = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
