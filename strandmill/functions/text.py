@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
 
@@ -248,10 +249,21 @@ def topics(text: Column) -> Column:
     return bound(F.lower(text), shown)
 
 
+def any_of(text: Column, pattern: str) -> Column:
+    """Whether a pattern of alternatives without groups matches: plain ones are looked for as they are, one with gaps (.*) is matched where all its parts are there."""
+
+    def found(alternative: str) -> Column:
+        parts = [re.sub(r"\\(\W)", r"\1", p) for p in alternative.split(".*")]
+        there = reduce(lambda a, b: a & b, [text.contains(p) for p in parts])
+        return there if len(parts) == 1 else F.when(there, text.rlike(alternative)).otherwise(F.when(text.isNotNull(), False))
+
+    return reduce(lambda a, b: a | b, map(found, pattern.split("|")))
+
+
 def category(heading: Column) -> Column:
     out = F.when(F.lit(False), "")
     for pattern, name in CATEGORIES:
-        out = out.when(heading.rlike(pattern), name)
+        out = out.when(any_of(heading, pattern), name)
     return out.otherwise(NO_CATEGORY)
 
 

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from strandmill.functions import text as X
 from strandmill.operators import comparing
 
 
@@ -9,3 +10,12 @@ def test_means_that_round_to_the_same_are_a_tie(spark):
     rows = [(2, 0.1), (2, 0.2), (2, 0.3), (1, 0.2), (1, 0.2), (1, 0.2 - 1e-12), (None, 0.2), (3, 0.9), (4, None)]
     board = comparing.leaderboard(spark.createDataFrame(rows, "i long, v double"), "i", "v", 6)
     assert [(r["i"], r["mean"]) for r in board.orderBy("place").collect()] == [(3, 0.9), (1, 0.2), (2, 0.2), (None, 0.2), (4, None)]
+
+
+def test_categories_are_those_of_the_patterns(spark):
+    texts = ["状态x动作y奖励", "状态\n动作奖励", "奖励动作状态", r"min f s.t. \max g", "min f max g", r"\max min", "Cobb and Douglas", "Douglas Cobb", "an SNR and DQN", "CobbDouglas 经济成本", "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for pattern, _ in X.CATEGORIES:
+        assert df.filter(~X.any_of(F.col("t"), pattern).eqNullSafe(F.col("t").rlike(pattern))).count() == 0
+    plan = df.select(X.category(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("rlike") < len(X.CATEGORIES)
