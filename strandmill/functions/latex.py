@@ -78,7 +78,7 @@ def placed(text: Column, pattern: str) -> Column:
         lens = f["lens"]
         before = lambda i: F.get(f["offs"], F.floor(i / 64).cast("int")) + F.aggregate(F.slice(lens, (F.floor(i / 64) * 64 + 1).cast("int"), (i % 64).cast("int")), F.lit(0), lambda s, x: s + x)
         start = lambda h, i: before(i) + F.length(F.get(f["gaps"], i))
-        return F.transform(f["hits"], lambda h, i: F.struct(start(h, i).alias("start"), (start(h, i) + F.length(h)).alias("end"), h.alias("hit")))
+        return F.transform(f["hits"], lambda h, i: bound(start(h, i), lambda s: F.struct(s.alias("start"), (s + F.length(h)).alias("end"), h.alias("hit"))))
 
     def summed(f: Column) -> Column:
         blocks = F.sequence(F.lit(0), F.floor(F.greatest(F.size(f["hits"]) - 1, F.lit(0)) / 64).cast("int"))
@@ -92,6 +92,22 @@ def placed(text: Column, pattern: str) -> Column:
     return bound(bound(bound(found, measured), summed), at)
 
 
+#: Characters of a block of ``blocks``.
+BLOCK = 256
+
+
+def blocks(text: Column) -> Column:
+    """The text in blocks of BLOCK code points, so that a place in it is reached without reading what is before."""
+    return F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def part_of(parts: Column, start: Column, size: Column) -> Column:
+    """``size`` code points, at most BLOCK, of the text of ``blocks`` from ``start`` (from 0) on."""
+    at = F.floor(start / BLOCK).cast("int")
+    two = F.concat(F.coalesce(F.get(parts, at), F.lit("")), F.coalesce(F.get(parts, at + 1), F.lit("")))
+    return two.substr((start % BLOCK + 1).cast("int"), size)
+
+
 def _is_prose(latex: Column) -> Column:
     """Words joined by a dash or five sequences of two letters without a command, or a word of a sentence outside of \\text."""
     parts = lambda t: F.transform(F.split(F.replace(t, F.lit(" "), F.lit("")), "[-—–]", -1), lambda p: p)
@@ -108,15 +124,17 @@ def candidates(text: Column) -> Column:
     characters before and 30 behind.
     """
 
-    def of(t: Column) -> Column:
+    def of(f: Column) -> Column:
+        t, parts = f["t"], f["parts"]
+
         def one(kind: str, size: int, display: bool):
             def made(m: Column) -> Column:
                 inner = strip(F.substring(m["hit"], F.lit(size + 1), F.length(m["hit"]) - 2 * size))
                 tag = F.regexp_extract(m["hit"], r"\\tag\{(\d+[a-z]?)\}", 1)
-                behind = F.regexp_extract(t.substr(m["end"] + 1, F.lit(20)), r"^\s*\((\d+[a-z]?)\)", 1)
+                behind = F.regexp_extract(part_of(parts, m["end"], F.lit(20)), r"^\s*\((\d+[a-z]?)\)", 1)
                 start = F.greatest(m["start"] - 120, F.lit(0))
-                before = F.right(strip(t.substr(start + 1, m["start"] - start)), F.lit(80))
-                after = F.left(strip(t.substr(m["end"] + 1, F.lit(30))), F.lit(30))
+                before = F.right(strip(part_of(parts, start, m["start"] - start)), F.lit(80))
+                after = F.left(strip(part_of(parts, m["end"], F.lit(30))), F.lit(30))
                 number = F.coalesce(F.nullif(tag, F.lit("")), F.nullif(behind, F.lit("")))
                 return F.struct(m["start"].alias("start"), inner.alias("raw"), number.alias("number"), strip(F.concat(before, F.lit(" "), after)).alias("context"), F.lit(display).alias("display"))
 
@@ -124,7 +142,8 @@ def candidates(text: Column) -> Column:
 
         return F.concat(one(r"(?s)\$\$.+?\$\$", 2, True), one(r"(?s)\\\[.+?\\\]", 2, True), one(_INLINE, 1, False))
 
-    return bound(bound(bound(bound(text, M.merge_dollars), M.merge_equations), M.promote_display), of)
+    whole = bound(bound(bound(text, M.merge_dollars), M.merge_equations), M.promote_display)
+    return bound(bound(whole, lambda t: F.struct(t.alias("t"), blocks(t).alias("parts"))), of)
 
 
 def formulas(docs: DataFrame, text: Column, keep: list[str]) -> DataFrame:
@@ -138,5 +157,7 @@ def formulas(docs: DataFrame, text: Column, keep: list[str]) -> DataFrame:
     ideographs = F.regexp_replace(raw, r"\\text\{[^}]*\}", "").rlike(M.CJK)
     out = docs.select(*keep, F.explode(candidates(text)).alias("__c")).select(*keep, "__c.*")
     out = out.filter((F.length(raw) >= 5) & ~raw.contains("◈") & ~ideographs).filter(F.col("display") | M.is_substantial(raw)).filter(M.is_formula(raw))
-    out = out.withColumn("latex", balance_braces(strip(F.regexp_replace(raw, r"\\tag\{\d+[a-z]?\}", "")))).filter(~_is_prose(F.col("latex")))
-    return out.select(*keep, "start", "latex", "number", "context", "display")
+    latex = bound(balance_braces(strip(F.regexp_replace(raw, r"\\tag\{\d+[a-z]?\}", ""))), lambda x: F.struct(x.alias("x"), _is_prose(x).alias("prose")))
+    # Exploded, so that a filter is not put before it with the whole expression again.
+    out = out.withColumn("__l", F.explode(F.filter(F.array(latex), lambda x: ~x["prose"])))
+    return out.select(*keep, "start", F.col("__l.x").alias("latex"), "number", "context", "display")
