@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import fragments, latex, validators
+from ..functions.text import bound
 from ..operators import folds
+from ..sources import shared
 from .registry import query, table
 
 #: Words of two letters from o, i or e on become indexed symbols, neighbours of four letters fractions with a number behind, every fifth comma an open brace.
@@ -20,6 +22,12 @@ _MADE = (
 )
 
 
+def _documents(spark, d):
+    """For what Python functions read: in batches of bounded size."""
+    shared.bounded(spark)
+    return table(spark, d, "documents")
+
+
 def made(text):
     for what, by in _MADE:
         text = F.regexp_replace(text, what, by)
@@ -29,7 +37,7 @@ def made(text):
 @query("i12_merge_fragments")
 def i12(spark, d):
     """Whole documents, as digests of what their formulas become, with the number of formulas before and after."""
-    t = table(spark, d, "documents").select("doc_id", made(F.col("text")).alias("t"))
+    t = _documents(spark, d).select("doc_id", made(F.col("text")).alias("t"))
     t = t.withColumn("m", fragments.merged_fragments(F.col("t")))
     n = lambda c: F.regexp_count(c, F.lit(r"\$+")).cast("long")
     return t.select("doc_id", n(F.col("t")).alias("marks"), n(F.col("m")).alias("marks_left"), F.sha2(F.col("m").cast("binary"), 256).alias("merged"))
@@ -39,7 +47,7 @@ def i12(spark, d):
 def i4(spark, d):
     """Chunks of about 1,500 characters of whole documents; lines are paragraphs."""
     parts = F.filter(F.transform(F.split(made(F.col("text")), "\n", -1), lambda x: F.trim(x)), lambda p: p != "")
-    t = table(spark, d, "documents").select("doc_id", F.posexplode(fragments.chunked(parts, 1500)).alias("no", "chunk"))
+    t = _documents(spark, d).select("doc_id", F.posexplode(fragments.chunked(parts, 1500)).alias("no", "chunk"))
     return t.select("doc_id", "no", F.length("chunk").alias("size"), F.sha2(F.col("chunk").cast("binary"), 256).alias("chunk"))
 
 
@@ -53,17 +61,17 @@ SELECT doc_id, no::INTEGER AS no, sha256(array_to_string(list_transform(d, lambd
 def i4_plain(spark, d):
     """The same without marks and without lines of over twice the size: what fills a chunk and what rolls over."""
     parts = F.filter(F.transform(F.split(F.replace("text", F.lit("$"), F.lit("")), "\n", -1), lambda x: F.trim(x)), lambda p: (p != "") & (F.length(p) <= 3000))
-    t = table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", F.posexplode(fragments.chunked(parts, 1500)).alias("no", "chunk"))
+    t = _documents(spark, d).filter("text IS NOT NULL").select("doc_id", F.posexplode(fragments.chunked(parts, 1500)).alias("no", "chunk"))
     return t.select("doc_id", "no", F.sha2(F.col("chunk").cast("binary"), 256).alias("chunk"))
 
 
 @query("i15_balance")
 def i15(spark, d):
     """Cards of whole documents: sentences between dollars and braces of their own, some left open, balanced in explanations and formulas."""
-    t = made(F.col("text"))
-    card = F.concat(F.lit('<div class="fexpr"> '), F.substring(F.regexp_replace(t, r"\$", ""), 1, 400), F.lit(' & x</div> <div class="fmean">'), F.regexp_replace(t, "</?div[^>]*>", ""), F.lit("</div>"))
-    out = latex.balance_expressions(latex.balance_meanings(card))
-    return table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", F.length(out).alias("size"), F.sha2(out.cast("binary"), 256).alias("balanced"))
+    card = lambda t: F.concat(F.lit('<div class="fexpr"> '), F.substring(F.regexp_replace(t, r"\$", ""), 1, 400), F.lit(' & x</div> <div class="fmean">'), F.regexp_replace(t, "</?div[^>]*>", ""), F.lit("</div>"))
+    out = latex.balance_expressions(latex.balance_meanings(bound(made(F.col("text")), card)))
+    t = table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", out.alias("out"))
+    return t.select("doc_id", F.length("out").alias("size"), F.sha2(F.col("out").cast("binary"), 256).alias("balanced"))
 
 
 @query("i15_braces", r"SELECT doc_id, (CASE WHEN net > 0 THEN t || repeat('}', net) WHEN net < 0 THEN array_to_string(p[1 : len(p) + net], '}') || array_to_string(p[len(p) + net + 1 : len(p)], '') ELSE t END)[-60:] AS tail FROM (SELECT *, length(t) - length(replace(t, '{', '')) - length(t) + length(replace(t, '}', '')) AS net, string_split(t, '}') AS p FROM (SELECT doc_id, replace(replace(regexp_replace(replace(replace(replace(text, '{', ''), '}', ''), chr(92), ''), '\.', '{', 'g'), ',', '}'), '?', '}') || repeat('}', (length(text) // 7)::INTEGER) AS t FROM documents WHERE text IS NOT NULL))")

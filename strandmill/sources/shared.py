@@ -33,3 +33,15 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     where = path(spark, name)
     df.write.parquet(where)
     return spark.read.schema(df.schema).parquet(where)
+
+
+#: Rows and bytes that go to a Python worker at once: Spark's 10,000 rows of whole documents and 64 MB are several times as much memory there.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 500, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+
+
+def bounded(spark: SparkSession) -> None:
+    """From here on the session hands rows to Python in batches of at most BATCH; Spark reads that when a query runs, so it is not set back."""
+    for key, most in BATCH.items():
+        now = int(spark.conf.get(key).removesuffix("b"))
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
