@@ -34,9 +34,10 @@ SENTENCE_END = re.compile(r"[.。!！?？]\s*$")
 def _joins(gap: str) -> bool:
     """Whether what stands between two formulas belongs to them: short, no end of a sentence, no ideographs, not five words of which three are long."""
     gap = gap.strip()
+    if len(gap) > GAP or BREAKS.search(gap):
+        return False
     words = gap.split()
-    prose = len(words) >= 5 and sum(bool(re.search("[a-zA-Z]{3,}", w)) for w in words) >= 3
-    return len(gap) <= GAP and not BREAKS.search(gap) and not prose
+    return len(words) < 5 or sum(bool(re.search("[a-zA-Z]{3,}", w)) for w in words) < 3
 
 
 def _inlines(text: str) -> Iterator[re.Match]:
