@@ -28,7 +28,7 @@ def in_matches(text: Column, pattern: str, change: Callable[[Column], Column]) -
         hits = F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), change)
         return F.array_join(F.zip_with(F.split(t, pattern, -1), hits, lambda gap, hit: F.concat(gap, F.coalesce(hit, F.lit("")))), "")
 
-    return F.when(text.rlike(pattern), bound(text, rebuilt)).otherwise(text)
+    return bound(text, lambda t: F.when(t.rlike(pattern), rebuilt(t)).otherwise(t))
 
 
 def balance_braces(latex: Column) -> Column:
@@ -55,7 +55,7 @@ def escape_unmatched_dollars(text: Column) -> Column:
 
 def _within(tag: str, body: Callable[[Column], Column]) -> Callable[[Column], Column]:
     open_, close = f'<div class="{tag}">', "</div>"
-    return lambda hit: F.concat(F.lit(open_), body(F.substring(hit, F.lit(len(open_) + 1), F.length(hit) - len(open_) - len(close))), F.lit(close))
+    return lambda hit: F.concat(F.lit(open_), bound(F.substring(hit, F.lit(len(open_) + 1), F.length(hit) - len(open_) - len(close)), body), F.lit(close))
 
 
 def balance_meanings(html: Column) -> Column:

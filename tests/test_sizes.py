@@ -2,8 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from strandmill.functions import fragments, latex
 from strandmill.functions import text as X
 from strandmill.operators import comparing
+from strandmill.sources import shared
 
 
 def test_means_that_round_to_the_same_are_a_tie(spark):
@@ -19,3 +21,41 @@ def test_categories_are_those_of_the_patterns(spark):
         assert df.filter(~X.any_of(F.col("t"), pattern).eqNullSafe(F.col("t").rlike(pattern))).count() == 0
     plan = df.select(X.category(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.lower().count("rlike") < len(X.CATEGORIES)
+
+
+def test_parts_of_long_texts_are_those_of_the_text(spark):
+    text = "".join(chr(c) for c in (97, 0x4E00, 10, 0x1F600, 98)) * 300
+    places = [(0, 120), (136, 120), (255, 1), (255, 30), (256, 20), (1380, 120), (1490, 30), (1500, 20)]
+    parts = latex.blocks(F.lit(text))
+    got = spark.range(1).select(*[latex.part_of(parts, F.lit(a), F.lit(n)).alias(str(i)) for i, (a, n) in enumerate(places)]).first()
+    assert list(got) == [text[a : a + n] for a, n in places]
+
+
+def test_contexts_at_both_ends_and_in_the_middle(spark):
+    text = r"$x_1 = y$ then " + "some words in between " * 40 + r"$z_2 = \alpha$ (3) end"
+    got = latex.formulas(spark.createDataFrame([(1, text)], "i int, t string"), F.col("t"), ["i"]).orderBy("start").collect()
+    assert [(r["latex"], r["number"]) for r in got] == [("x_1 = y", None), (r"z_2 = \alpha", "3")]
+    assert got[0]["context"].startswith("then some words in") and got[1]["context"].endswith("(3) end") and len(got[1]["context"]) == 80 + 1 + 7
+
+
+def test_a_text_is_computed_once_where_it_is_balanced(spark):
+    df = spark.createDataFrame([('<div class="fmean">a $x{$ b</div><div class="fexpr"> {y & z</div>',)], "t string")
+    out = df.select(latex.balance_expressions(latex.balance_meanings(F.reverse(F.reverse(F.col("t"))))).alias("o"))
+    assert out._jdf.queryExecution().optimizedPlan().expressions().mkString().count("reverse(reverse(") == 1
+    assert out.first()["o"] == '<div class="fmean">a $x{}$ b</div><div class="fexpr">{y \\& z}</div>'
+
+
+def test_batches_for_python_are_bounded(spark):
+    before = {k: spark.conf.get(k) for k in shared.BATCH}
+    try:
+        shared.bounded(spark)
+        seen = F.pandas_udf(lambda s: s * 0 + len(s), "long")
+        assert spark.range(5000, numPartitions=1).select(seen("id").alias("n")).agg(F.max("n")).first()[0] <= shared.BATCH["spark.sql.execution.arrow.maxRecordsPerBatch"]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_long_gaps_are_not_split_into_words(monkeypatch):
+    monkeypatch.setattr(fragments.re, "search", lambda *a: 1 / 0)
+    assert not fragments._joins("word " * 10_000) and fragments._joins(" + ")
