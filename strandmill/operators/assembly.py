@@ -30,7 +30,7 @@ BELOW, LONG, LEAST = 70, 300, 50
 def text_blocks(spans: DataFrame) -> DataFrame:
     """(doc, page, block, text, size, math, left, right, top, bottom) from spans (doc, page, block, line, span, text, font, size, left, right, top, bottom)."""
     t = F.col("text")
-    symbol = t.rlike("[" + "".join(M.LATEX) + "]")
+    symbol = t.rlike(r"[^\x00-\x7F]|-") & t.rlike("[" + "".join(M.LATEX) + "]")
     math = M.is_math_font(F.col("font")) | M.looks_like_formula(t) | symbol
     each = spans.filter("text IS NOT NULL").withColumn("math", F.coalesce(math, F.lit(False)))
     box = [F.min("left").alias("left"), F.max("right").alias("right"), F.min("top").alias("top"), F.max("bottom").alias("bottom"), F.max("size").alias("size")]
@@ -76,8 +76,8 @@ def assembled(spans: DataFrame) -> DataFrame:
     words = text_blocks(spans)
     images = spans.filter("text IS NULL").select("doc", "page", "block", "left", "right", "top", "bottom")
     both = words.unionByName(images, allowMissingColumns=True)
-    pages = both.groupBy("doc").agg(F.max("page").alias("pages"))
-    both = both.join(pages, "doc")
+    # By a window and not by a join with itself, so that the blocks are put together once; all that follows stays with its document.
+    both = both.withColumn("pages", F.max("page").over(Window.partitionBy("doc")))
     near = Window.partitionBy("doc", "page").orderBy("block")
     under = F.collect_list(F.struct("text", "top")).over(near.rowsBetween(1, 3))
     around = F.concat_ws(" ", F.collect_list("text").over(near.rowsBetween(-2, -1)), F.collect_list("text").over(near.rowsBetween(1, 4)))

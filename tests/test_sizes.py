@@ -1,10 +1,12 @@
 """What larger tables showed: results that depended on the order of a sum, work that grew faster than its input."""
 
+import random
+
 from pyspark.sql import functions as F
 
-from strandmill.functions import fragments, latex
+from strandmill.functions import formula, fragments, latex
 from strandmill.functions import text as X
-from strandmill.operators import comparing
+from strandmill.operators import assembly, comparing, layout
 from strandmill.sources import shared
 
 
@@ -59,3 +61,34 @@ def test_batches_for_python_are_bounded(spark):
 def test_long_gaps_are_not_split_into_words(monkeypatch):
     monkeypatch.setattr(fragments.re, "search", lambda *a: 1 / 0)
     assert not fragments._joins("word " * 10_000) and fragments._joins(" + ")
+
+
+def test_runs_of_mathematics_in_a_line_of_many_spans(spark):
+    rng = random.Random(3)
+    for n in (0, 1, 2, 40, 3000):
+        spans = [(rng.choice(("x", "Σ")), rng.choice((0.0, 5.0, 7.0, 10.0)), rng.choice((0.0, 1.6, 3.0)), rng.random() < 0.3) for _ in range(n)]
+        want, size, y = [], 0.0, 0.0
+        for text, s, at, math in spans:
+            run, ratio, down = size > 0 and s > 0, size / max(s, 0.5), at - y
+            math = math or (run and ratio >= 1.25 and abs(down) > 1.0)
+            sign = ("_" if down > 1.5 else "^" if down < -1.5 else "") if run and ratio >= 1.3 else ""
+            want.append((math, sign + text.replace("Σ", "\\Sigma") if math else text))
+            size, y = (s, at) if math else (0.0, 0.0)
+        df = spark.createDataFrame([(spans,)], "s array<struct<text:string,size:double,y:double,math:boolean>>")
+        assert list(map(tuple, df.select(layout.math_spans(F.col("s")).alias("m")).first()["m"])) == want
+    told = df.select(layout.math_spans(F.col("s")).alias("m"))._jdf.queryExecution().optimizedPlan().expressions().mkString()
+    assert "aggregate(" not in told
+
+
+def test_plain_words_are_told_by_keywords_alone(spark):
+    words = ["max", "the max of", "maximal", "", "  ", "for all", "there exists x", "subject to", "forall", "word", "détail", "a-b", "a - b", "min\n"]
+    df = spark.createDataFrame([(w,) for w in words], "t string")
+    got = [r[0] for r in df.select(formula.looks_like_formula(F.col("t"))).collect()]
+    assert got == [True, True, False, False, False, True, True, True, False, False, False, True, True, True]
+
+
+def test_blocks_are_put_together_once(spark):
+    spans = "doc int, page int, block int, line int, span int, text string, font string, size double, left double, right double, top double, bottom double"
+    rows = [(1, p, 0, 0, 0, "text", "Times", 9.0, 0.0, 1.0, 0.0, 1.0) for p in range(3)]
+    plan = assembly.assembled(spark.createDataFrame(rows, spans))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
