@@ -9,6 +9,8 @@ from ..streaming import hooks, sinks, stateful
 from .registry import query, table
 
 SLICES = 4
+#: Tasks that write files of sessions.
+WRITERS = 96
 #: Key of the row that comes last and moves the watermark past all others.
 BEAT = -(1 << 63)
 
@@ -112,13 +114,14 @@ def r11_replay(spark, d):
 
 @query("u4_session_headers", "SELECT 'c' || conv_id AS key, 'turns ' || count(*) AS created_at FROM conversations WHERE conv_id IN (3, 5, 13) GROUP BY conv_id")
 def u4(spark, d):
-    """A file per conversation, with a header and its turns; of three keys only the headers are read."""
+    """A file per conversation, with a header and its turns; of three keys only the headers are read. Small tables are written by WRITERS tasks too, as files and not bytes take the time."""
     p = shared.path(spark, "sessions")
     t = table(spark, d, "conversations").filter("conv_id IS NOT NULL")
     head = t.groupBy("conv_id").agg(F.lit(None).cast("long").alias("turn"), F.to_json(F.struct(F.lit("metadata").alias("_type"), F.concat(F.lit("c"), F.first("conv_id")).alias("key"), F.concat(F.lit("turns "), F.count("*")).alias("created_at"))).alias("value"))
     lines = head.unionByName(t.select("conv_id", "turn", F.to_json(F.struct("role", F.col("text").alias("content"))).alias("value")))
-    dealt = lines.withColumn("key", F.concat(F.lit("c"), "conv_id")).repartition("key").sortWithinPartitions("key", F.asc_nulls_first("turn"))
-    dealt.select("key", "value").write.partitionBy("key").text(p)
+    dealt = lines.withColumn("key", F.concat(F.lit("c"), "conv_id")).repartition(WRITERS, "key").sortWithinPartitions("key", F.asc_nulls_first("turn"))
+    # Each task puts its own files in place; otherwise the driver does, one after the other.
+    dealt.select("key", "value").write.partitionBy("key").option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(p)
     found = headers.session_headers(spark, p, r"key=([^/]+)/part-[^/]*$")
     return found.filter(F.col("key").isin("c3", "c5", "c13")).select("key", "created_at")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from strandmill.functions import formula, fragments, latex
 from strandmill.functions import text as X
 from strandmill.operators import assembly, comparing, layout
+from strandmill.plans import QUERIES
 from strandmill.sources import shared
 
 
@@ -92,3 +93,21 @@ def test_blocks_are_put_together_once(spark):
     rows = [(1, p, 0, 0, 0, "text", "Times", 9.0, 0.0, 1.0, 0.0, 1.0) for p in range(3)]
     plan = assembly.assembled(spark.createDataFrame(rows, spans))._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan
+
+
+def test_runs_share_folders(spark, tmp_path, monkeypatch):
+    rows = [(i, f"2024-01-01 00:00:{i % 60:02d}", i % 300 if i else None) for i in range(900)]
+    spark.createDataFrame(rows, "event_id long, ts string, user_id long").selectExpr("event_id", "CAST(ts AS TIMESTAMP_NTZ) AS ts", "user_id", "'view' AS event_type", "1D AS value", "'{}' AS props").write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(shared, "path", lambda spark, name: f"{tmp_path}/{name}")
+    got = {r["run"]: r["records"] for r in QUERIES["a9_runs"](spark, str(tmp_path)).collect()}
+    assert got == {**{i: 3 for i in range(300)}, 0: 2, None: 1}
+    assert len(list((tmp_path / "runs").glob("*/*.json"))) <= 64
+
+
+def test_sessions_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(c, t, "user", "x") for c in range(40) for t in range(2)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    monkeypatch.setattr(shared, "path", lambda spark, name: f"{tmp_path}/{name}")
+    got = sorted(map(tuple, QUERIES["u4_session_headers"](spark, str(tmp_path)).collect()))
+    assert got == [(f"c{i}", "turns 2") for i in (13, 3, 5)]
+    names = [p.name for p in (tmp_path / "sessions").glob("key=*/part-*")]
+    assert len(names) == 40 and len({n.split("-")[1] for n in names}) > 10
