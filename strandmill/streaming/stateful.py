@@ -5,19 +5,35 @@ in the order of (time, sequence), so the result does not depend on the batches i
 they come, nor on their order within the allowed delay. What is held is bounded by the
 rows of a key within that delay; a fold's own state is said with it. Timers wake a key
 when its next row is due or its deadline has passed; a key with neither holds no state.
+Keys that are whole numbers go to the store in blocks of adjacent ones (TOGETHER), as
+Spark's way to a group and back takes far longer than the rows of a key do.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Name of a row's own key where keys share a group.
+OWN = "__key"
+#: Adjacent numbers that share a group, a power of two: a visit of a group takes Spark a few milliseconds, of a key in it the fold alone.
+TOGETHER = 64
+
+
+def _block(key: Column, kind: str, together: int) -> Column | None:
+    """The first number of the block of a whole-number key; None where keys stand alone."""
+    if together & (together - 1):
+        raise ValueError(f"{together} is no power of two")
+    if together > 1 and kind in ("tinyint", "smallint", "int", "bigint"):
+        return key.bitwiseAND(F.lit(-together).cast(kind))
+    return None
 
 
 class Fold:
@@ -35,21 +51,30 @@ class Fold:
 
 
 class InOrder(StatefulProcessor):
-    """Feeds the rows of a key (__at in microseconds, __seq, __row as JSON) to a fold."""
+    """Feeds the rows of each key (__at in microseconds, __seq, __row as JSON) to a fold.
+
+    A group is a key, or a block of keys whose rows have theirs in OWN. What the keys of
+    a group hold is one value, as a call of the store takes longer than the fold of a row.
+    """
 
     def __init__(self, fold: Fold, names: list[str]) -> None:
         self.fold, self.names = fold, names
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "at long, seq long, row string")
+        self.waiting = handle.getListState("waiting", "rows string")
         self.state = handle.getValueState("state", "fold string")
+        self.row = Row(*self.names)
 
-    def _go(self, key: tuple, new: list[tuple], watermark: int) -> Iterator[Row]:
-        now = watermark * 1000
-        rows = sorted([*(tuple(w) for w in self.waiting.get()), *new], key=lambda r: r[:2])
-        state = json.loads(self.state.get()[0]) if self.state.exists() else None
-        out: list[tuple] = []
+    def _wake(self, waiting: dict, states: dict) -> int | None:
+        """The millisecond of the group's one timer; as it follows from what is held, it is not looked up."""
+        ends = [rows[0][0] for rows in waiting.values()]
+        ends += [end for s in states.values() if (end := self.fold.deadline(s)) is not None]
+        return -(-min(ends) // 1000) if ends else None
+
+    def _key(self, waiting: list, state: dict | None, now: int) -> tuple[list, dict | None, list[tuple]]:
+        """One key: what still waits, its state, and what comes out."""
+        rows, out = sorted(waiting, key=lambda r: r[:2]), []
 
         def close(until: int) -> None:
             nonlocal state
@@ -58,47 +83,70 @@ class InOrder(StatefulProcessor):
                 out.extend(self.fold.end(state))
                 state = None
 
-        due = [r for r in rows if r[0] <= now]
-        for at, _, row in due:
+        due = bisect_right(rows, now, key=lambda r: r[0])
+        for at, _, row in rows[:due]:
             close(at)
-            state, found = self.fold.step(state, at, json.loads(row))
+            state, found = self.fold.step(state, at, row)
             out.extend(found)
         close(now)
-        rest = rows[len(due) :]
-        if rest:
-            self.waiting.put(rest)
-        else:
-            self.waiting.clear()
-        if state is None:
-            self.state.clear()
-        else:
-            self.state.update((json.dumps(state),))
-        ends = [rest[0][0]] if rest else []
-        if state is not None and self.fold.deadline(state) is not None:
-            ends.append(self.fold.deadline(state))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if ends:
-            self.handle.registerTimer(-(-min(ends) // 1000))
+        return rows[due:], state, out
+
+    def _go(self, key: tuple, new: list[tuple], watermark: int, woken: bool = False) -> Iterator[Row]:
+        held, kept = next(iter(self.waiting.get()), None), self.state.get()
+        waiting = dict(json.loads(held[0])) if held else {}
+        states = dict(json.loads(kept[0])) if kept else {}
+        timer = None if woken else self._wake(waiting, states)  # one that went off is gone
+        for (at, seq, _), row in zip(new, json.loads(f"[{','.join(r[2] for r in new)}]")):
+            waiting.setdefault(row.pop(OWN, None), []).append([at, seq, row])
+        out: list[tuple] = []
+        for own in {**waiting, **states}:
+            rest, state, found = self._key(waiting.pop(own, []), states.pop(own, None), watermark * 1000)
+            if rest:
+                waiting[own] = rest
+            if state is not None:
+                states[own] = state
+            out += [(key[0] if own is None else own, *o) for o in found]
+        self._put(self.waiting, held, waiting, lambda text: self.waiting.put([(text,)]))
+        self._put(self.state, kept, states, lambda text: self.state.update((text,)))
+        wake = self._wake(waiting, states)
+        if wake != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if wake is not None:
+                self.handle.registerTimer(wake)
         for o in out:
-            yield Row(**dict(zip(self.names, (*key, *o))))
+            yield self.row(*o)
+
+    @staticmethod
+    def _put(store, before: tuple | None, now: dict, write: Callable[[str], None]) -> None:
+        text = json.dumps(list(now.items()), separators=(",", ":")) if now else None
+        if text is None and before:
+            store.clear()
+        elif text is not None and (not before or before[0] != text):
+            write(text)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         yield from self._go(key, [(r["__us"], r["__seq"], r["__row"]) for r in rows], timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        yield from self._go(key, [], timerValues.getCurrentWatermarkInMs())
+        yield from self._go(key, [], timerValues.getCurrentWatermarkInMs(), woken=True)
 
     def close(self) -> None:
         pass
 
 
-def folded(events: DataFrame, fold: Fold, out: str, key: str, ts: str, seq: str, more: list[str], late: str) -> DataFrame:
-    """``fold`` over the rows of each key; ``out`` is the schema of what it gives, behind the key."""
+def folded(events: DataFrame, fold: Fold, out: str, key: str, ts: str, seq: str, more: list[str], late: str, together: int = TOGETHER) -> DataFrame:
+    """``fold`` over the rows of each key; ``out`` is the schema of what it gives, behind the key.
+
+    Blocks of ``together`` adjacent whole numbers share one entry of the store, which is
+    written anew when one of them has rows; keys of other types have each their own.
+    """
     kind = dict(events.dtypes)[key]
     names = [key, *(c.split()[0] for c in out.split(", "))]
-    at = F.col(ts).cast("timestamp")
-    rows = events.select(F.col(key), at.alias("__at"), F.unix_micros(at).alias("__us"), F.col(seq).cast("long").alias("__seq"), F.to_json(F.struct(F.col(seq).alias("seq"), *more), {"ignoreNullFields": "false"}).alias("__row"))
+    at, block = F.col(ts).cast("timestamp"), _block(F.col(key), kind, together)
+    own = [] if block is None else [F.col(key).alias(OWN)]
+    row = F.to_json(F.struct(F.col(seq).alias("seq"), *more, *own), {"ignoreNullFields": "false"})
+    rows = events.select((F.col(key) if block is None else block).alias(key), at.alias("__at"), F.unix_micros(at).alias("__us"), F.col(seq).cast("long").alias("__seq"), row.alias("__row"))
     return rows.withWatermark("__at", late).groupBy(key).transformWithState(InOrder(fold, names), f"{key} {kind}, {out}", "append", "eventTime")
 
 
@@ -119,9 +167,9 @@ class Debounce(Fold):
         return [(",".join(map(str, state["items"])), len(state["items"]))]
 
 
-def debounced(events: DataFrame, key: str, ts: str, seq: str, item: str, seconds: float, late: str = "1 second") -> DataFrame:
+def debounced(events: DataFrame, key: str, ts: str, seq: str, item: str, seconds: float, late: str = "1 second", together: int = TOGETHER) -> DataFrame:
     """(key, flushed, entries): the entries that a timer of ``seconds``, set anew by each arrival, flushes together."""
-    return folded(events, Debounce(int(seconds * 1e6)), "flushed string, entries long", key, ts, seq, [F.col(item).alias("item")], late)
+    return folded(events, Debounce(int(seconds * 1e6)), "flushed string, entries long", key, ts, seq, [F.col(item).alias("item")], late, together)
 
 
 class Coalesce(Fold):
@@ -146,13 +194,13 @@ class Coalesce(Fold):
         return [(state["seq"], "".join(state["texts"]), len(state["texts"]), False)]
 
 
-def coalesced(events: DataFrame, key: str, ts: str, seq: str, kind: str, text: str, seconds: float, late: str = "1 second") -> DataFrame:
+def coalesced(events: DataFrame, key: str, ts: str, seq: str, kind: str, text: str, seconds: float, late: str = "1 second", together: int = TOGETHER) -> DataFrame:
     """(key, seq, text, merged, ended): deltas of a key put together, other messages as they are.
 
     ``kind`` is "delta", "end" or anything else; ``seq`` orders rows of one time and names
     what starts with it. What never ends is given out after ``seconds`` without a row.
     """
-    return folded(events, Coalesce(int(seconds * 1e6)), "seq long, text string, merged long, ended boolean", key, ts, seq, [F.col(kind).alias("kind"), F.col(text).alias("text")], late)
+    return folded(events, Coalesce(int(seconds * 1e6)), "seq long, text string, merged long, ended boolean", key, ts, seq, [F.col(kind).alias("kind"), F.col(text).alias("text")], late, together)
 
 
 class Expiring(Fold):
@@ -169,9 +217,9 @@ class Expiring(Fold):
         return state["last"] + self.ttl
 
 
-def progress(events: DataFrame, key: str, ts: str, seq: str, value: str, seconds: float, late: str = "1 second") -> DataFrame:
+def progress(events: DataFrame, key: str, ts: str, seq: str, value: str, seconds: float, late: str = "1 second", together: int = TOGETHER) -> DataFrame:
     """(key, seq, updates, before): the how-manieth update of its entry a row is, and the value before; an entry is dropped ``seconds`` after its last update."""
-    return folded(events, Expiring(int(seconds * 1e6)), "seq long, updates long, before string", key, ts, seq, [F.col(value).cast("string").alias("value")], late)
+    return folded(events, Expiring(int(seconds * 1e6)), "seq long, updates long, before string", key, ts, seq, [F.col(value).cast("string").alias("value")], late, together)
 
 
 class Remember(StatefulProcessor):

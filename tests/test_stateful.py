@@ -176,3 +176,40 @@ def test_slices_of_several_files_are_batches(spark, tmp_path):
     key = lambda r: tuple(map(str, r))
     assert sorted(map(key, out.select("user_id", "seq", "updates", "before").collect())) == sorted(map(key, want.collect()))
     assert SLICES <= out.select("batch").distinct().count() <= SLICES + 2
+
+
+def test_keys_of_a_block_share_calls_of_the_store():
+    """Forty keys in a group give what each gives alone, with no more calls of the store than one."""
+    rng, calls = random.Random(3), []
+
+    class Counted(Store):
+        def __getattribute__(self, name):
+            if name in ("get", "put", "clear", "registerTimer", "deleteTimer"):
+                calls.append(name)
+            return super().__getattribute__(name)
+
+    import json
+
+    def rows(keys):
+        return [{"__us": us, "__seq": i, "__row": json.dumps({"seq": i, "item": i, stateful.OWN: k})} for us, i, k in keys]
+
+    data = [(rng.randrange(60) * 1_000_000, i, rng.randrange(40)) for i in range(400)]
+    alone = {k: fed(stateful.Debounce(5_000_000), ["k", "flushed", "entries"], [[(us, i, {"seq": i, "item": i}) for us, i, o in data if o == k]])[0] for k in range(40)}
+    p, store = stateful.InOrder(stateful.Debounce(5_000_000), ["k", "flushed", "entries"]), Counted()
+    p.init(store)
+    out = []
+    for part in (data[:200], data[200:]):
+        out += p.handleInputRows((0,), iter(rows(part)), Clock(0))
+    out += p.handleExpiredTimer((0,), Clock(1 << 50), None)
+    assert {k: [tuple(r)[1:] for r in out if r[0] == k] for k in range(40)} == alone
+    assert not store.rows and store.value is None and len(calls) <= 12
+
+
+def test_blocks_of_keys_give_what_single_keys_give(spark, tmp_path):
+    from strandmill.plans.streams import BEAT, sliced
+
+    got = []
+    for together in (1, 64):
+        out = sinks.drained(spark, stateful.progress(sliced(spark, SF), "user_id", "ts", "event_id", "event_type", 12 * 3600, together=together), str(tmp_path / f"out{together}"))
+        got.append(sorted(map(str, out.filter(F.col("user_id") != BEAT).drop("batch").collect())))
+    assert got[0] == got[1] and got[0]
