@@ -223,26 +223,38 @@ def progress(events: DataFrame, key: str, ts: str, seq: str, value: str, seconds
 
 
 class Remember(StatefulProcessor):
-    """State with a time to live on the processing clock: the store itself drops a key ``ttl`` after it was last written."""
+    """State with a time to live on the processing clock: a key is forgotten ``ttl`` after it was last written.
+
+    The store itself drops a group that long after its last key was written; of one that is
+    written again, keys that are too old are left out, by the clock that the store goes by.
+    """
 
     def __init__(self, ttl: int, names: list[str]) -> None:
         self.ttl, self.names = ttl, names
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "seq long", ttlDurationMs=self.ttl)
+        self.last = handle.getValueState("last", "keys string", ttlDurationMs=self.ttl)
+        self.row = Row(*self.names)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        last = self.last.get()[0] if self.last.exists() else None
-        for seq in sorted(r["__seq"] for r in rows):
-            yield Row(**dict(zip(self.names, (*key, seq, last))))
-            last = seq
-        self.last.update((last,))
+        now, kept = timerValues.getCurrentProcessingTimeInMs(), self.last.get()
+        last = {own: (seq, at) for own, seq, at in (json.loads(kept[0]) if kept else ()) if at + self.ttl > now}
+        for seq, own in sorted(((r["__seq"], r[OWN]) for r in rows), key=lambda r: r[0]):
+            yield self.row(key[0] if own is None else own, seq, last.get(own, (None,))[0])
+            last[own] = (seq, now)
+        self.last.update((json.dumps([(own, *v) for own, v in last.items()], separators=(",", ":")),))
 
     def close(self) -> None:
         pass
 
 
-def remembered(events: DataFrame, key: str, seq: str, seconds: float) -> DataFrame:
-    """(key, seq, last): each row with the one before it of its key, if that was seen within ``seconds`` on the clock of the machine; rows of a batch go by ``seq``."""
-    rows = events.select(F.col(key), F.col(seq).cast("long").alias("__seq"))
-    return rows.groupBy(key).transformWithState(Remember(int(seconds * 1000), [key, "seq", "last"]), f"{key} {dict(events.dtypes)[key]}, seq long, last long", "append", "processingTime")
+def remembered(events: DataFrame, key: str, seq: str, seconds: float, together: int = TOGETHER) -> DataFrame:
+    """(key, seq, last): each row with the one before it of its key, if that was seen within ``seconds`` on the clock of the machine; rows of a batch go by ``seq``.
+
+    Blocks of ``together`` adjacent whole numbers share an entry of the store, with a time for each of them.
+    """
+    kind = dict(events.dtypes)[key]
+    block = _block(F.col(key), kind, together)
+    own = F.lit(None).cast("long") if block is None else F.col(key).cast("long")
+    rows = events.select((F.col(key) if block is None else block).alias(key), own.alias(OWN), F.col(seq).cast("long").alias("__seq"))
+    return rows.groupBy(key).transformWithState(Remember(int(seconds * 1000), [key, "seq", "last"]), f"{key} {kind}, seq long, last long", "append", "processingTime")

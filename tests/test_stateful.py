@@ -205,6 +205,27 @@ def test_keys_of_a_block_share_calls_of_the_store():
     assert not store.rows and store.value is None and len(calls) <= 12
 
 
+def test_the_store_forgets_keys_of_a_block_one_by_one():
+    class Batch:
+        def __init__(self, ms):
+            self.getCurrentProcessingTimeInMs = lambda: ms
+
+    class Value:
+        held = None
+        get = lambda self: self.held
+        update = lambda self, v: setattr(self, "held", v)
+
+    class Handle:
+        getValueState = lambda self, *a, **kw: Value()
+
+    p = stateful.Remember(1000, ["k", "seq", "last"])
+    p.init(Handle())
+    seen = lambda ms, *rows: [tuple(r) for r in p.handleInputRows((0,), iter([{stateful.OWN: k, "__seq": n} for k, n in rows]), Batch(ms))]
+    assert seen(0, (1, 10), (2, 20)) == [(1, 10, None), (2, 20, None)]
+    assert seen(600, (2, 21)) == [(2, 21, 20)]
+    assert seen(1000, (1, 11), (2, 22)) == [(1, 11, None), (2, 22, 21)]
+
+
 def test_blocks_of_keys_give_what_single_keys_give(spark, tmp_path):
     from strandmill.plans.streams import BEAT, sliced
 
