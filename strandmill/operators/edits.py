@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import difflib
 from collections import Counter
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -31,24 +32,30 @@ def _lines(text: Column) -> Column:
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
 
 
-def _in_text(content: Column, old: Column) -> Column:
-    """Array of line numbers of matches that do not overlap."""
-    gaps = lambda c, o: F.split(c, F.concat(F.lit("\\Q"), F.replace(o, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")), F.lit(-1))
-    breaks = lambda t: F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit("")))
+def _hit(way: str, n: Column, line: Column) -> Column:
+    """(way, n, line), null without a match."""
+    return F.when(n > 0, F.struct(F.lit(way).alias("way"), n.cast("long").alias("n"), line.cast("long").alias("line")))
 
-    def numbers(parts: Column) -> Column:
-        upto = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.lit(1) + F.aggregate(F.slice(parts, F.lit(1), i), F.lit(0), lambda s, p: s + breaks(p)) + (i - 1) * breaks(old))
-        return F.when(F.size(parts) > 1, upto).otherwise(F.array().cast("array<int>"))
 
-    return F.when((old != "") & F.contains(content, old), bound(gaps(content, old), numbers)).otherwise(F.array().cast("array<int>"))
+def _in_text(content: Column, old: Column, way: str) -> Column:
+    """Matches that do not overlap."""
+    n = (F.octet_length(content) - F.octet_length(F.replace(content, old, F.lit("")))) / F.octet_length(old)
+    ahead = F.call_function("substring_index", content, old, F.lit(1))
+    line = F.octet_length(ahead) - F.octet_length(F.replace(ahead, F.lit("\n"), F.lit(""))) + 1
+    return F.when((old != "") & F.contains(content, old), _hit(way, n, line))
 
 
-def _in_lines(content: Column, old: Column) -> Column:
-    """Array of the first lines of windows that equal the lines of ``old``; windows are compared where the first line does."""
+def _in_lines(content: Column, old: Column, way: str) -> Column:
+    """Windows that equal the lines of ``old``; they are compared where the first line does."""
     n = F.size(old)
     starts = F.sequence(F.lit(1), F.greatest(F.size(content) - n + 1, F.lit(1)))
     fits = F.filter(starts, lambda i: F.get(content, i - 1).eqNullSafe(F.get(old, F.lit(0))) & (F.slice(content, i, F.greatest(n, F.lit(1))) == old))
-    return F.when((n > 0) & (F.size(content) >= n), fits).otherwise(F.array().cast("array<int>"))
+    return F.when((n > 0) & (F.size(content) >= n), bound(fits, lambda at: _hit(way, F.size(at), F.get(at, F.lit(0)))))
+
+
+def _both(content: Column, old: Column, then: Callable[[Column, Column], Column]) -> Column:
+    """``then`` of two values that are computed once, not anew for every line that it looks at."""
+    return bound(F.struct(content.alias("c"), old.alias("o")), lambda b: then(b["c"], b["o"]))
 
 
 def _pruned_best(content: str, old: str) -> tuple[float, int]:
@@ -69,19 +76,13 @@ def _pruned_best(content: str, old: str) -> tuple[float, int]:
 def located(edits: DataFrame, content: str, old: str) -> DataFrame:
     """``edits`` with way (null if none), matches, and line: that of the first match."""
     trimmed = lambda t: F.transform(_lines(t), lambda x: F.trim(x))
-    c, o = F.col(content), F.col(old)
-    t = edits.withColumns({"__c": trimmed(c), "__o": trimmed(o)})
     quoted = lambda a: F.transform(a, straight)
-    ways = [_in_text(c, o), _in_lines(F.col("__c"), F.col("__o")), _in_lines(quoted(F.col("__c")), quoted(F.col("__o"))), _in_text(straight(c), straight(o))]
-    none = F.array().cast("array<int>")
-    for i, way in enumerate(ways):
-        t = t.withColumn(f"__w{i}", way if i == 0 else F.when(F.size(f"__w{i - 1}") > 0, none).otherwise(way))
-        if i:  # what an earlier way has found stays
-            t = t.withColumn("__hit", F.when(F.size("__hit.at") > 0, F.col("__hit")).otherwise(F.struct(F.lit(WAYS[i]).alias("way"), F.col(f"__w{i}").alias("at"))))
-        else:
-            t = t.withColumn("__hit", F.struct(F.lit(WAYS[0]).alias("way"), F.col("__w0").alias("at")))
-    found = F.size("__hit.at") > 0
-    return t.select(*edits.columns, F.when(found, F.col("__hit.way")).alias("way"), F.size("__hit.at").cast("long").alias("matches"), F.when(found, F.col("__hit.at")[0]).cast("long").alias("line"))
+    c, o = F.col(content), F.col(old)
+    in_quoted = lambda a, b: _both(quoted(a), quoted(b), lambda x, y: _in_lines(x, y, WAYS[2]))
+    in_trimmed = _both(trimmed(c), trimmed(o), lambda a, b: F.coalesce(_in_lines(a, b, WAYS[1]), in_quoted(a, b)))
+    in_straight = _both(straight(c), straight(o), lambda a, b: _in_text(a, b, WAYS[3]))
+    t = edits.withColumn("__hit", F.coalesce(_in_text(c, o, WAYS[0]), in_trimmed, in_straight))  # a way is tried where none before it has found anything
+    return t.select(*edits.columns, "__hit.way", F.coalesce("__hit.n", F.lit(0).cast("long")).alias("matches"), "__hit.line")
 
 
 def nearest(edits: DataFrame, content: str, old: str) -> DataFrame:

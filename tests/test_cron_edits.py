@@ -138,3 +138,14 @@ def test_a_walk_keeps_the_whole_path(spark, tmp_path):
         (root / name).write_text("t")
     assert {r["path"] for r in files.walk(spark, str(root)).collect()} == {"x.txt", "a/docs/b/x.txt", "a/z.md"}
     assert {r["path"] for r in files.walk(spark, str(root), "a/**/*.txt").collect()} == {"a/docs/b/x.txt"}
+
+
+def test_long_texts_are_searched_line_by_line_once(spark):
+    """Quotes are made straight once a text and not once a line: 20,000 lines took minutes."""
+    import time
+
+    lines = [f"line {i} it's" for i in range(20_000)]
+    rows = [("\n".join(lines), f"  {lines[i].replace(chr(39), '’')} \n{lines[i + 1]}") for i in (5, 19_998)]
+    began = time.time()
+    got = edits.located(spark.createDataFrame(rows, "c string, o string"), "c", "o").select("way", "matches", "line").collect()
+    assert [tuple(r) for r in got] == [("lines_quotes", 1, 6), ("lines_quotes", 1, 19_999)] and time.time() - began < 20
