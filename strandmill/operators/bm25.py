@@ -61,6 +61,10 @@ class Index:
         counts = Index(shared.keep(self.counts, "counts"))
         return Index(counts.counts, shared.keep(counts.postings.hint("rebalance", "term").sortWithinPartitions("term"), "postings"))
 
+    def without(self, gone: DataFrame) -> Index:
+        """The index of the documents that are not in ``gone`` (doc); what it knows of them is taken over, texts are not read again."""
+        return Index(self.counts.join(gone, "doc", "left_anti"))
+
     def terms(self) -> DataFrame:
         """df(term): the documents that hold it."""
         return self.postings.groupBy("term").agg(F.count("*").alias("df"))

@@ -99,3 +99,12 @@ def test_characters_and_blanks(spark):
     df = spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "i int, x string")
     got = df.select("i", X.count_chars(F.col("x"), "[a-zA-Z]"), X.count_chars(F.col("x"), X.CJK_WIDE), F.regexp_replace("x", X.BLANKS, " "), X.squeeze(F.col("x"))).orderBy("i").collect()
     assert [tuple(r)[1:] for r in got] == [(5, 1, "ab 汉c d e", "ab 汉c d \n e"), (0, 0, "", ""), (0, 3, "汉㐀字", "汉㐀字"), (6, 0, " one two ", "one two")]
+
+
+def test_index_without_documents_is_that_of_the_others(spark):
+    docs = spark.createDataFrame([(1, "a b a"), (2, "b c"), (3, None), (4, "c c")], "doc_id long, text string")
+    left = bm25.Index.fit(docs).written().without(spark.createDataFrame([(2,), (9,)], "doc long")).written()
+    want = bm25.Index.fit(docs.filter("doc_id <> 2"))
+    for name in ("lengths", "postings"):
+        rows = [sorted(map(tuple, getattr(i, name).collect())) for i in (left, want)]
+        assert rows[0] == rows[1] and rows[0]
