@@ -34,6 +34,8 @@ MARK = "▁"
 #: Fixed value: what a character that no piece covers costs below the least score.
 PENALTY = 10.0
 _MOST = 240_000
+#: Characters of short texts that are encoded together.
+_AT_ONCE = 1 << 18
 BETWEEN = re.compile(r"(?<=[0-9A-Za-z]) (?=[0-9A-Za-z])")
 _NONE = float("-inf")
 
@@ -94,15 +96,15 @@ class Pieces:
 
     @cached_property
     def trie(self) -> dict:
-        """Character: (score of the piece that ends here, minus infinity if none does, what follows)."""
+        """Character: (score of the piece that ends here, minus infinity if none does, what follows, the piece's id)."""
         top: dict = {}
-        for p, (score, _) in sorted(self.score.items()):
+        for p, (score, number) in sorted(self.score.items()):
             node = top
             for c in p[:-1]:
                 if c not in node:
-                    node[c] = (_NONE, {})
+                    node[c] = (_NONE, {}, -1)
                 node = node[c][1]
-            node[p[-1]] = (score, node[p[-1]][1] if p[-1] in node else {})
+            node[p[-1]] = (score, node[p[-1]][1] if p[-1] in node else {}, number)
         return top
 
     @cached_property
@@ -156,7 +158,7 @@ class Pieces:
                 if hit is None:
                     break
                 j += 1
-                score, node = hit
+                score, node, _ = hit
                 score += own
                 if score > top[j]:
                     top[j] = score
@@ -171,9 +173,31 @@ class Pieces:
         return out[::-1], top[-1]
 
     def path(self, unit: str) -> tuple[bytes, float]:
-        pieces, score = self.best(unit)
-        known = self.score
-        return array("I", [x for p in pieces for x in ((known[p][1],) if p in known else self.ids(p))]).tobytes(), score
+        """Ids and score of the best path, as ``best`` finds it."""
+        n, trie, unknown = len(unit), self.trie, self.unknown
+        top, back, number = [_NONE] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
+        top[0] = 0.0
+        for i, c in enumerate(unit):
+            own, hit, j = top[i], trie.get(c), i + 1
+            if (hit is None or hit[0] == _NONE) and own + unknown > top[j]:
+                top[j], back[j], number[j] = own + unknown, i, -1
+            while hit is not None:
+                score = hit[0] + own
+                if score > top[j]:
+                    top[j], back[j], number[j] = score, i, hit[2]
+                if j == n:
+                    break
+                hit = hit[1].get(unit[j])
+                j += 1
+        out, j = [], n
+        while j:
+            i = back[j]
+            if number[j] < 0:
+                out += reversed(self.ids(unit[i:j]))
+            else:
+                out.append(number[j])
+            j = i
+        return array("I", out[::-1]).tobytes(), top[n]
 
     def merge(self, units: list[str]) -> list[bytes]:
         """Ids of the model's own scheme by unit; behind a character that joins nothing the library puts no space mark."""
@@ -217,10 +241,20 @@ class Pieces:
 
     def encode(self, s: str) -> tuple[bytes, bytes, float]:
         """Of a normal string: ids of the model's scheme, ids and score of the best path."""
-        if not s:
-            return b"", b"", 0.0
-        ids, best, scores = zip(*self.resolve(self.units(s)))
-        return b"".join(ids), b"".join(best), float(sum(scores))
+        return self.encode_all([s])[0]
+
+    def encode_all(self, strings: list[str]) -> list[tuple[bytes, bytes, float]]:
+        """The same of several; units of theirs that are not known yet are learned at once, each a single time."""
+        units = [self.units(s) for s in strings]
+        got = [list(map(self.known.get, u)) for u in units]
+        gaps = [None in g for g in got]
+        new = self.learn(list({u for us, g, gap in zip(units, got, gaps) if gap for u, x in zip(us, g) if x is None})) if any(gaps) else {}
+        out = []
+        for us, g, gap in zip(units, got, gaps):
+            found = [new[u] if x is None else x for u, x in zip(us, g)] if gap else g
+            ids, best, scores = zip(*found) if found else ((), (), ())
+            out.append((b"".join(ids), b"".join(best), float(sum(scores))))
+        return out
 
     def encode_best(self, s: str) -> tuple[bytes, float]:
         return self.encode(s)[1:]
@@ -351,11 +385,20 @@ SCHEMA = "row long, n_ids long, ids binary, n_best long, best_ids binary, best_s
 def _whole(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     m = model(path)
     for batch in batches:
-        rows = []
+        rows, held = [], []
+
+        def flush():
+            rows.extend((row, len(ids) // 4, ids, len(best) // 4, best, score) for (row, _), (ids, best, score) in zip(held, m.encode_all([s for _, s in held])))
+            held.clear()
+
+        chars = 0
         for row, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            s = m.normal(text.as_py() or "")
-            ids, best, score = m.encode(s)
-            rows.append((row, len(ids) // 4, ids, len(best) // 4, best, score))
+            held.append((row, m.normal(text.as_py() or "")))
+            chars += len(held[-1][1])
+            if chars >= _AT_ONCE:
+                flush()
+                chars = 0
+        flush()
         yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 6, (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.float64()))], names=["row", "n_ids", "ids", "n_best", "best_ids", "best_score"])
 
 

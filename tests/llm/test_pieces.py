@@ -145,3 +145,18 @@ def test_chunks_of_a_text_without_cuts_are_linear():
         assert "".join(c[skip:until] for c, _, skip, until, _ in chunks) == s
         assert [last for *_, last in chunks] == [False] * (len(chunks) - 1) + [True]
         assert sum(len(c) for c, *_ in chunks) <= most * len(s)
+
+
+def test_new_units_of_several_texts_are_learned_at_once():
+    from strandmill.llm import pieces
+
+    m, asked = pieces.Pieces(pieces.piece_model()), []
+    learn = m.learn
+    m.learn = lambda units: asked.append(units) or learn(units)
+    strings = [m.normal(t) for t in ("one word twice twice", "", "a word of one ☃", "zqxjv 12.5")]
+    got = m.encode_all(strings)
+    assert len(asked) == 1 and len(asked[0]) == len(set(asked[0]))
+    for s, (ids, best, score) in zip(strings, got):
+        want = [m.best(u) for u in m.units(s)]
+        assert abs(score - sum(w[1] for w in want)) < 1e-9 and (ids, best, score) == m.encode(s)
+        assert list(memoryview(best).cast("I")) == [i for w in want for p in w[0] for i in m.ids(p)]
