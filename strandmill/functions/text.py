@@ -98,7 +98,7 @@ def count_chars(text: Column, chars: str) -> Column:
     return F.length(text) - F.length(F.regexp_replace(text, chars + "+", ""))
 
 
-def any_of(c: Column, patterns: tuple[str, ...]) -> Column:
+def any_pattern(c: Column, patterns: tuple[str, ...]) -> Column:
     return c.rlike("|".join(f"(?:{p})" for p in patterns))
 
 
@@ -213,8 +213,8 @@ def without_metadata_lines(text: Column) -> Column:
     def keep(line: Column) -> Column:
         """What marks a line has a digit or is an address, of an affiliation " of " or "@"; only lines with that are matched."""
         s = strip(line)
-        metadata = s.rlike("[0-9]|http") & any_of(s, METADATA)
-        affiliation = (F.length(s) < 120) & s.rlike("of|@") & any_of(s, AFFILIATION)
+        metadata = s.rlike("[0-9]|http") & any_pattern(s, METADATA)
+        affiliation = (F.length(s) < 120) & s.rlike("of|@") & any_pattern(s, AFFILIATION)
         return (F.length(s) >= 3) & ~metadata & ~affiliation
 
     return F.array_join(F.filter(lines(text), keep), "\n")

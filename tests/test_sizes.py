@@ -26,6 +26,14 @@ def test_categories_are_those_of_the_patterns(spark):
     assert plan.lower().count("rlike") < len(X.CATEGORIES)
 
 
+def test_lines_of_page_furniture_are_dropped(spark):
+    drop = ["doi: 10.1234/x", "arXiv: 2101.00001", "Received 3 May 2020", "2020 IEEE", "© 2020", "see https://example.org/a", "123", " 12 ", "ab", "", "Department of Physics", "University of X", "a@b.c"]
+    kept = ["doi 10.1234/x", "arXiv 2101.00001", "Received in May 2020", "IEEE 2020", "https://x.y", "1234", "１２３", "School of the arts" + " x" * 60, "a of b", "  indented line", "文字文"]
+    lines = [x for pair in zip(drop, kept + [""] * 2) for x in pair]
+    df = spark.createDataFrame([(1, "\n".join(lines)), (2, ""), (3, None)], "i int, t string")
+    assert [r[0] for r in df.orderBy("i").select(X.without_metadata_lines(F.col("t"))).collect()] == ["\n".join(kept), "", None]
+
+
 def test_parts_of_long_texts_are_those_of_the_text(spark):
     text = "".join(chr(c) for c in (97, 0x4E00, 10, 0x1F600, 98)) * 300
     places = [(0, 120), (136, 120), (255, 1), (255, 30), (256, 20), (1380, 120), (1490, 30), (1500, 20)]
