@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources import shared
@@ -35,23 +35,48 @@ def gaps(scores: DataFrame, item: str, dim: str, score: str, top: int = 3) -> Da
     return p.withColumn("rn", F.row_number().over(Window.partitionBy("a", "b").orderBy(F.desc("delta"), "dim"))).filter(F.col("rn") <= top).drop("rn")
 
 
-def leaderboard(scores: DataFrame, item: str, score: str, digits: int | None = None) -> DataFrame:
+def leaderboard(scores: DataFrame, item: str, score: str, digits: int | None = None, order: str | None = None) -> DataFrame:
     """(item, mean, best, n, spread, place): population spread, ties by item.
 
-    With ``digits`` means are rounded before places are dealt, so that means which differ only by the order of their sum are a tie.
+    With ``digits`` figures are rounded before places are dealt, so that means which differ only by the order of their sum are a tie.
+    With ``order``, a column, as well, a mean that lies so near to half that the order of its sum decides is that of the sum in this order
+    (equal ones by score), so no mean hangs on how rows are dealt out.
     Items are dealt by ranges of their order; a place is that in the range and the items of the ranges before.
     """
-    g = scores.groupBy(item).agg(F.avg(score).alias("mean"), F.max(score).alias("best"), F.count("*").alias("n"), F.stddev_pop(score).alias("spread"))
+    size = F.avg(F.abs(score)) * (F.count(score) + 2)
+    g = scores.groupBy(item).agg(F.avg(score).alias("mean"), F.max(score).alias("best"), F.count("*").alias("n"), F.stddev_pop(score).alias("spread"), size.alias("__size"))
     if digits is not None:
-        g = g.withColumn("mean", F.round("mean", digits))
-    order = [F.desc("mean"), F.asc_nulls_last(item)]
-    ranged = g.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)})
+        g = _settled(scores, shared.keep(g, "means"), item, score, digits, order) if order is not None else g
+        g = g.withColumns({c: rounded(F.col(c), digits) for c in ("mean", "best", "spread")})
+    by = [F.desc("mean"), F.asc_nulls_last(item)]
+    ranged = g.drop("__size").repartitionByRange(*by).sortWithinPartitions(*by).withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)})
     ranged = shared.keep(ranged, "ranged")
     sizes = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
     before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
     return ranged.join(F.broadcast(before), "__part").select(item, "mean", "best", "n", "spread", (F.col("__before") + F.col("__at") + 1).alias("place"))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """A double rounded as SQL does it: the product with the power of ten is, half away from zero, and not the decimal that is shown for x."""
+    y = x * 10**digits
+    return F.when(F.abs(y) < float("inf"), F.round(y) / 10**digits).otherwise(x)
+
+
+def _settled(scores: DataFrame, g: DataFrame, item: str, score: str, digits: int, order: str) -> DataFrame:
+    """``g`` with the means that rounding leaves open summed one score after another; only rows of these items are shuffled.
+
+    Two sums of n doubles differ by at most n steps of 2^-52 of the sum of their sizes; two steps more are for the division and the product.
+    """
+    width = F.col("__size") * 10**digits * 2.0**-52
+    open_ = g.filter((width >= 0.5) | (F.abs(F.abs("mean") * 10**digits % 1 - 0.5) <= width)).select(F.col(item).alias("__item"))
+    rows = scores.select(F.col(item).alias("__item"), F.col(order).alias("__order"), F.col(score).alias("__score"))
+    rows = rows.alias("r").join(open_.alias("o"), F.col("r.__item").eqNullSafe(F.col("o.__item")), "left_semi")
+    w = Window.partitionBy("__item").orderBy("__order", "__score").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.select("__item", "__score", F.sum("__score").over(w).alias("__sum"), F.row_number().over(w).alias("__row"))
+    means = rows.groupBy("__item").agg((F.max_by("__sum", "__row") / F.count("__score")).alias("__mean"))
+    return g.join(means, g[item].eqNullSafe(means["__item"]), "left").withColumn("mean", F.coalesce("__mean", "mean")).drop("__item", "__mean")
+
+
 def matrix(scores: DataFrame, item: str, dim: str, score: str, dims: list[str], missing: float = 5.0) -> DataFrame:
     """A row per item and a column per dimension."""
     return scores.groupBy(item).pivot(dim, dims).agg(F.first(score)).fillna(missing, dims)

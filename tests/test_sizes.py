@@ -1,7 +1,11 @@
 """What larger tables showed: results that depended on the order of a sum, work that grew faster than its input."""
 
+import math
+import operator
 import random
+from functools import reduce
 
+import duckdb
 from pyspark.sql import functions as F
 
 from strandmill.functions import formula, fragments, latex
@@ -17,6 +21,33 @@ def test_means_that_round_to_the_same_are_a_tie(spark):
     assert [(r["i"], r["mean"]) for r in board.orderBy("place").collect()] == [(3, 0.9), (1, 0.2), (2, 0.2), (None, 0.2), (4, None)]
 
 
+def test_means_at_half_do_not_hang_on_how_rows_are_dealt(spark):
+    rng, rows, want = random.Random(5), [], {}
+    for item in [*range(300), None]:
+        cents = [rng.randrange(30000) * rng.choice((1, 1, -1)) for _ in range(64)]
+        cents[-1] += (2 - sum(cents)) % 4
+        rows += [(item, at, c / 100) for at, c in enumerate(cents)] + [(item, 64, None)]
+        scaled = abs(reduce(operator.add, [c / 100 for c in cents], 0.0) / 64) * 10**6
+        want[item] = math.copysign(math.floor(scaled) + (scaled % 1 >= 0.5), sum(cents)) / 10**6
+    rows += [(1000, 0, None), (1001, 0, float("nan")), (1001, 1, 1.0), (1002, 0, 1e16), (1002, 1, 1.0), (1002, 2, -1e16), (1003, 0, 1e305)]
+    want |= {1000: None, 1002: 0.0, 1003: 1e305}
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "i long, at long, v double").repartition(7)
+    board = comparing.leaderboard(df, "i", "v", 6, order="at").orderBy("place").collect()
+    assert math.isnan(board[0]["mean"]) and {r["i"]: r["mean"] for r in board[1:]} == want
+    assert [r["i"] for r in board[1:]] == sorted(want, key=lambda i: (want[i] is None, -(want[i] or 0.0), i is None, i))
+    assert [r["place"] for r in board] == list(range(1, len(want) + 2))
+
+
+def test_doubles_are_rounded_as_sql_rounds_them(spark):
+    rng = random.Random(6)
+    values = [rng.randrange(10**9) / 10**7 * rng.choice((1, -1)) for _ in range(3000)] + [(10 * rng.randrange(10**8) + 5) / 10**7 for _ in range(3000)] + [1e300, 1e305, -1e305, math.inf, -math.inf, 0.0]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    db = duckdb.connect()
+    want = db.execute("SELECT list_transform(?::DOUBLE[], lambda x: round(x, 6))", [values]).fetchall()[0][0]
+    assert [r[0] for r in df.select(comparing.rounded(F.col("v"), 6)).collect()] == want
+
+
 def test_categories_are_those_of_the_patterns(spark):
     texts = ["状态x动作y奖励", "状态\n动作奖励", "奖励动作状态", r"min f s.t. \max g", "min f max g", r"\max min", "Cobb and Douglas", "Douglas Cobb", "an SNR and DQN", "CobbDouglas 经济成本", "", None]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
